@@ -122,33 +122,38 @@ def rows(columns: list[list]):
         yield (doc_id, *stats, base_failed(stats[0], stats[-1]), encode(votes(text or "", words, *stats)))
 
 
-def fit(codes: np.ndarray, counts: np.ndarray, n: int = len(RULES), rounds: int = 200, tol: float = 1e-9) -> dict:
-    """EM over vote patterns. Unknowns: the share of good documents, and for each rule the chance of a right
-    vote on good and on bad documents, given that it votes. Beta(8, 2) priors keep rules better than chance and
-    name the classes; the pseudo-counts vanish against a corpus."""
+def fit(codes: np.ndarray, counts: np.ndarray, n: int = len(RULES), rounds: int = 500, tol: float = 1e-10) -> dict:
+    """EM over vote patterns. Unknowns: the share of good documents and, for each rule and class, the chances
+    of a bad vote, a good vote and an abstention; a rule's accuracy is its chance of the right vote given that
+    it votes. The first posteriors come from a vote count in which one bad vote outweighs several good ones
+    (most rules can only see one kind of defect), which also names the classes. Dirichlet pseudo-counts keep
+    chances off 0 and vanish against a corpus."""
     v = decode(codes.astype(np.int64), n)
     w = counts.astype(np.float64)
-    good, bad, voted = (v == 1).astype(float), (v == 0).astype(float), (v != ABSTAIN).astype(float)
-    share, right_good, right_bad, last = 0.8, np.full(n, 0.8), np.full(n, 0.8), -np.inf
-    post = np.full(len(v), share)
+    seen = np.stack([(v == k).astype(float) for k in range(3)])  # bad, good, abstain
+    weight = 1.5 * seen[1].sum(1) / n - 2.0 * seen[0].sum(1) + 1.0
+    post, last = 1 / (1 + np.exp(-weight)), -np.inf
+    prior = {"good": np.array([0.1, 1.0, 0.5]), "bad": np.array([0.6, 0.5, 0.5])}
     for _ in range(rounds):
-        lg = np.log(share) + good @ np.log(right_good) + bad @ np.log1p(-right_good)
-        lb = np.log1p(-share) + good @ np.log1p(-right_bad) + bad @ np.log(right_bad)
+        share = float(np.clip((w @ post + 8) / (w.sum() + 10), 0.001, 0.999))
+        chance = {}
+        for name, q in (("good", w * post), ("bad", w * (1 - post))):
+            c = np.stack([q @ seen[k] + prior[name][k] for k in range(3)])
+            chance[name] = c / c.sum(0)
+        lg = np.log(share) + sum(seen[k] @ np.log(chance["good"][k]) for k in range(3))
+        lb = np.log1p(-share) + sum(seen[k] @ np.log(chance["bad"][k]) for k in range(3))
         top = np.maximum(lg, lb)
         total = top + np.log(np.exp(lg - top) + np.exp(lb - top))
         post = np.exp(lg - total)
-        g, b = w * post, w * (1 - post)
-        share = float(np.clip((g.sum() + 8) / (w.sum() + 10), 0.001, 0.999))
-        right_good = np.clip((g @ good + 8) / (g @ voted + 10), 0.5, 0.999)
-        right_bad = np.clip((b @ bad + 8) / (b @ voted + 10), 0.5, 0.999)
         now = float(w @ total)
         if abs(now - last) <= tol * max(1.0, abs(now)):
             break
         last = now
-    return {"share": share, "right_good": right_good, "right_bad": right_bad, "posterior": post}
+    accuracy = {name: c[k] / (c[0] + c[1]) for (name, c), k in zip(chance.items(), (1, 0))}
+    return {"share": share, "right_good": accuracy["good"], "right_bad": accuracy["bad"], "posterior": post}
 
 
-def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def weak_supervision(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, posterior (probability that the document is good)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
