@@ -14,18 +14,14 @@ occur; an empty table gives an empty result; columns other than doc_id and text
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.llm.common import Scratch, arrow_rows
+from tabulark.llm.textstats import TextStats, text_stats
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
-LETTERS = re.compile(r"[^\W\d_]")
 ABSTAIN = 2
 #: Names of the rules, in the order of their digits in a pattern.
 RULES = ["symbols", "letters", "case", "word_length", "repeats", "dup_lines", "variety", "sentences", "length", "markup"]
@@ -37,40 +33,6 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern long"
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words that lie in a window of three words found twice or more in the text, the first one included."""
-    windows = list(zip(words, words[1:], words[2:]))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
-        return 0
-    covered, until = 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered += i + 3 - max(i, until)
-            until = i + 3
-    return covered
-
-
-def dup_lines(text: str) -> int:
-    """Lines with a word that equal an earlier line."""
-    seen, n = set(), 0
-    for line in text.split("\n"):
-        if line in seen:
-            n += 1
-        elif line.encode().split():
-            seen.add(line)
-    return n
-
-
-def statistics(text: str | None) -> tuple:
-    text = text or ""
-    raw = text.encode()
-    words = raw.split()
-    joined = b"".join(words)
-    word_chars = len(text) - (len(raw) - len(joined))
-    return words, len(words), word_chars, len(SYMBOLS.findall(text)), dup_lines(text), repeat_words(words)
-
-
 def three_way(value: float, bad: float, good: float) -> int:
     """Bad beyond `bad`, good on the near side of `good`, no vote between; either may be the larger bound."""
     if (value >= bad) if bad > good else (value <= bad):
@@ -78,26 +40,23 @@ def three_way(value: float, bad: float, good: float) -> int:
     return 1 if ((value <= good) if bad > good else (value >= good)) else ABSTAIN
 
 
-def votes(text: str, words: list[bytes], n_words: int, word_chars: int, n_symbols: int, n_dup: int, n_repeat: int) -> list[int]:
+def votes(s: TextStats) -> list[int]:
     """One vote for each of RULES, from statistics of the whole text."""
-    if not n_words:
+    n = s.n_words
+    if not n:
         return [0] + [ABSTAIN] * (len(RULES) - 1)
-    letters = len(LETTERS.findall(text))
-    upper = sum(map(str.isupper, text))
-    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-    ended = sum(x.rstrip(" \t\x0b\x0c\r").endswith((".", "!", "?", '"', "”", "»")) for x in lines)
-    variety = len(set(words)) / n_words
+    length = s.word_chars / n
     return [
-        three_way(n_symbols / n_words, 0.25, 0.05),
-        three_way(letters / max(1, word_chars), 0.6, 0.8),
-        three_way(upper / max(1, letters), 0.4, 0.2),
-        0 if not 2.5 <= word_chars / n_words <= 15 else 1 if 3.5 <= word_chars / n_words <= 11 else ABSTAIN,
-        three_way(n_repeat / n_words, 0.3, 0.1),
-        three_way(n_dup / len(lines), 0.3, 0.05),
-        three_way(variety, 0.15, 0.35) if n_words >= 50 else ABSTAIN,
-        three_way(ended / len(lines), 0.2, 0.6),
-        three_way(n_words, 10, 50),
-        three_way((text.count("|") + text.count("<") + text.count("{")) / n_words, 0.2, 0.02),
+        three_way(s.n_symbols / n, 0.25, 0.05),
+        three_way(s.letters / max(1, s.word_chars), 0.6, 0.8),
+        three_way(s.upper / max(1, s.letters), 0.4, 0.2),
+        0 if not 2.5 <= length <= 15 else 1 if 3.5 <= length <= 11 else ABSTAIN,
+        three_way(s.n_repeat_words / n, 0.3, 0.1),
+        three_way(s.n_dup_lines / s.n_lines, 0.3, 0.05),
+        three_way(len(s.distinct) / n, 0.15, 0.35) if n >= 50 else ABSTAIN,
+        three_way(s.ended_lines / s.n_lines, 0.2, 0.6),
+        three_way(n, 10, 50),
+        three_way(s.markup / n, 0.2, 0.02),
     ]
 
 
@@ -118,8 +77,9 @@ def decode(codes: np.ndarray, n: int) -> np.ndarray:
 
 def rows(columns: list[list]):
     for doc_id, text in zip(*columns):
-        words, *stats = statistics(text)
-        yield (doc_id, *stats, base_failed(stats[0], stats[-1]), encode(votes(text or "", words, *stats)))
+        s = text_stats(text)
+        stats = (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words)
+        yield (doc_id, *stats, base_failed(s.n_words, s.n_repeat_words), encode(votes(s)))
 
 
 def fit(codes: np.ndarray, counts: np.ndarray, n: int = len(RULES), rounds: int = 500, tol: float = 1e-10) -> dict:

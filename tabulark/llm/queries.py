@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from tabulark.llm.common import table
+from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -15,5 +20,5 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
