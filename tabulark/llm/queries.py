@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
+from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
@@ -16,9 +17,13 @@ def op6_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
