@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.fingerprints import fingerprint_documents
+from tabulark.llm.line_dedup import dedup_lines
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
@@ -17,6 +18,10 @@ def op6_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -25,5 +30,15 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op9_fingerprints, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+repeated AS (SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.last AS gone FROM lines l LEFT JOIN repeated r ON l.key = r.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}
