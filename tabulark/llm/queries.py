@@ -5,11 +5,16 @@ from __future__ import annotations
 from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.fingerprints import fingerprint_documents
+from tabulark.llm.html_text import extract_pages
 from tabulark.llm.line_dedup import dedup_lines
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
 
+def op1_html_extraction(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,7 +35,7 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_sharding, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op6_sharding, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
