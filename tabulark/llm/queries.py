@@ -7,6 +7,7 @@ from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.html_text import extract_pages
 from tabulark.llm.line_dedup import dedup_lines
+from tabulark.llm.packing import pack_documents
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
@@ -23,6 +24,10 @@ def op6_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op6_sharding, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
