@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulark.llm.common import SPACE_CHARS, range_bounds, range_bucket
+from tabulark.llm.common import SPACE_CHARS, Scratch, range_bounds, range_bucket
 
+#: Range heads sent to every executor, three numbers each; beyond that Spark joins by shuffle.
+BROADCAST_HEADS = 500_000
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -97,6 +99,8 @@ def fingerprint_documents(docs: DataFrame, size: int = 5, scale: int = 8, rows_p
     ends = ends.select("high", F.coalesce(F.lead("low").over(ring), F.min("low").over(Window.partitionBy(F.lit(1)))).alias("wrap"))
     heads = heads.join(F.broadcast(ends), F.col("bucket") == F.col("high"), "left")
     heads = heads.select("id.doc_id", "id.tie", F.coalesce("above", "wrap").alias("before"))
+    heads = Scratch(docs.sparkSession).write(heads, "heads")
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
     donors = rows.alias("r").join(heads.alias("h"), F.expr("r.doc_id <=> h.doc_id and r.tie = h.tie"))
     donors = donors.groupBy("h.before").agg(F.first("r.text").alias("head_text"))
 
