@@ -6,6 +6,7 @@ from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.html_text import extract_pages
+from tabulark.llm.interpolated_lm import interpolated_scores
 from tabulark.llm.line_dedup import dedup_lines
 from tabulark.llm.near_dedup import near_duplicate_classes
 from tabulark.llm.packing import pack_documents
@@ -26,6 +27,10 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op4_minhash_near_dedup, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
