@@ -8,6 +8,7 @@ from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.html_text import extract_pages
 from tabulark.llm.interpolated_lm import interpolated_scores
 from tabulark.llm.line_dedup import dedup_lines
+from tabulark.llm.mixing import mixing_rates
 from tabulark.llm.near_dedup import near_duplicate_classes
 from tabulark.llm.packing import pack_documents
 from tabulark.llm.quality_rules import weak_supervision
@@ -22,6 +23,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     found = near_duplicate_classes(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,7 +56,7 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH lines AS (
