@@ -1 +1,5 @@
+"""Query families: each module has QUERIES and ORACLES by name."""
 
+from tabulark.plans import bank_queries
+
+FAMILIES = [bank_queries]
