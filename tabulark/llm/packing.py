@@ -21,7 +21,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,40 +30,50 @@ from tabulark.llm.common import Scratch, _batch, range_bounds, range_bucket, sub
 
 END_ID = 1
 DIMS, BITS, TIE_BITS = 3, 10, 22
-#: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters are normalised by str.lower() alone, and the pattern sees them as the tokenizer does.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž]*")
 
 
 class WordTokenizer:
-    """Ids as the tokenizers library gives them, from remembered words. A pre-token's ids do not depend on its
-    neighbours, so each distinct one is encoded once; texts beyond PLAIN, or with a special token's opening, go
-    to the library whole."""
+    """Ids as the tokenizers library gives them, from remembered words. The pre-tokenizer's pieces never reach
+    over white space, so the ids of a white-space separated word do not depend on its neighbours, and each distinct
+    word is encoded once, many to a call with a special token between them. Texts beyond PLAIN, or with a special
+    token's opening, go to the library whole."""
+
+    GAP = "<|startoftext|>"
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library, self.known, self.most = Tokenizer.from_file(path), {}, most
         self.library.no_truncation()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+        self.gap = self.library.token_to_id(self.GAP)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, words: list[str], group: int = 2000) -> None:
+        groups = [words[at : at + group] for at in range(0, len(words), group)]
+        for at in range(0, len(groups), 16):
+            some = groups[at : at + 16]
+            for ws, e in zip(some, self.library.encode_batch_fast([self.GAP.join(ws) for ws in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u2")
+                ends = (2 * np.append(np.flatnonzero(ids == self.gap), len(ids))).tolist()
+                data, start = ids.tobytes(), 0
+                for w, end in zip(ws, ends, strict=True):
+                    self.known[w] = data[start:end]
+                    start = end + 2
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text. The vocabulary has fewer than 65,536 ids."""
         if len(self.known) > self.most:
             self.known.clear()
-        parts: list[list[str] | None] = []
-        for text in texts:
-            plain = "<|" not in text and PLAIN.fullmatch(text)
-            parts.append(PIECES.findall(text.lower()) if plain else None)
-        new = list({p for ps in parts if ps for p in ps if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            self.known.update(zip(new[at : at + 20_000], self._encode(new[at : at + 20_000])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ps)) if ps is not None else self._encode([t])[0] for ps, t in zip(parts, texts)]
+        parts = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
+        known = self.known
+        new = {w for ws in parts if ws for w in ws if w not in known}
+        self._learn(list(new))
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) if ws is not None else self._whole(t) for ws, t in zip(parts, texts)]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
