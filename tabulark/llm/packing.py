@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,16 @@ from tabulark.llm.common import Scratch, _batch, range_bounds, range_bucket, sub
 
 END_ID = 1
 DIMS, BITS, TIE_BITS = 3, 10, 22
+#: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters are normalised by str.lower() alone, and the pattern sees them as the tokenizer does.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž]*")
 
 
 class WordTokenizer:
     """Ids as the tokenizers library gives them, from remembered words. The pre-tokenizer's pieces never reach
-    over white space, so the ids of a white-space separated word do not depend on its neighbours, and each distinct
-    word is encoded once, many to a call with a special token between them. Texts beyond PLAIN, or with a special
+    over white space, so the ids of a white-space separated word do not depend on its neighbours; each distinct word
+    is taken apart once, and each distinct piece is encoded once, many to a call with a special token between. Texts beyond PLAIN, or with a special
     token's opening, go to the library whole."""
 
     GAP = "<|startoftext|>"
@@ -45,14 +48,21 @@ class WordTokenizer:
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.library, self.known, self.pieces, self.most = Tokenizer.from_file(path), {}, {}, most
         self.library.no_truncation()
         self.gap = self.library.token_to_id(self.GAP)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: list[str], group: int = 2000) -> None:
+    def _learn(self, words: list[str]) -> None:
+        apart = [PIECES.findall(w) for w in words]
+        self._encode(list({p for ps in apart for p in ps if p not in self.pieces}))
+        get = self.pieces.__getitem__
+        for w, ps in zip(words, apart):
+            self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+
+    def _encode(self, words: list[str], group: int = 2000) -> None:
         groups = [words[at : at + group] for at in range(0, len(words), group)]
         for at in range(0, len(groups), 16):
             some = groups[at : at + 16]
@@ -61,13 +71,14 @@ class WordTokenizer:
                 ends = (2 * np.append(np.flatnonzero(ids == self.gap), len(ids))).tolist()
                 data, start = ids.tobytes(), 0
                 for w, end in zip(ws, ends, strict=True):
-                    self.known[w] = data[start:end]
+                    self.pieces[w] = data[start:end]
                     start = end + 2
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text. The vocabulary has fewer than 65,536 ids."""
         if len(self.known) > self.most:
             self.known.clear()
+            self.pieces.clear()
         parts = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
         known = self.known
         new = {w for ws in parts if ws for w in ws if w not in known}
@@ -113,7 +124,7 @@ def directions(seed: int = 11) -> np.ndarray:
 def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
     sizes = np.array([len(i) for i in ids])[:, None]
-    mean = np.add.reduceat(table[np.concatenate(ids)], starts, dtype=np.float64) / sizes
+    mean = np.add.reduceat(table[np.concatenate(ids)], starts) / sizes
     unit = 0.5 * (1 + np.tanh(mean / 0.35))
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
