@@ -6,7 +6,8 @@ estimates their Jaccard similarity; pairs whose estimate could belong to a link
 MISS) become candidates. Candidate groups are verified exactly on full sets, and links give the classes.
 
 Frequent values need other handling, since a list must not make all its pairs. For lists longer than `list_bound`:
-  * only nodes in such lists ("touched") are looked at again, over their full sets;
+  * only nodes that meet nobody else but in such lists ("touched": as many of their retained values are frequent as
+    a linked pair shares) are looked at again, over their full sets;
   * shingles are reordered, those frequent among touched nodes last, and each node keeps the prefix that any
     linked partner must hit (n - ceil(s n) + 1 values): exact, so a shared passage or line no longer brings
     unrelated texts together;
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 
 from tabulark.llm.common import Scratch, WordHashes, _batch, lower_words_of, shingles, sub_batches
 
-SKETCH, LISTED, MISS = 16, 10, 2e-6
+SKETCH, MISS = 16, 2e-6
 NO_ID = -(2**63)
 BROADCAST_IDS = 2_000_000  # ids sent to every executor, 16 MB; beyond that Spark joins by shuffle
 BLOCK_SETS, BLOCK_HASHES = 512, 1_000_000
@@ -248,7 +249,7 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     def run(batches):
         for batch in batches:
             for part in sub_batches(batch, 2_000_000):
-                out = [(int(v), key, n, sketch) for key, n, sketch in zip(*(c.to_pylist() for c in part.columns)) for v in np.frombuffer(sketch, np.int64)[:LISTED]]
+                out = [(int(v), key, n, sketch) for key, n, sketch in zip(*(c.to_pylist() for c in part.columns)) for v in np.frombuffer(sketch, np.int64)]
                 yield _batch(out, pa.schema([("value", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())]))
 
     entry_ddl = "value long, key binary, n long, sketch binary"
@@ -256,7 +257,11 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     counts = scratch.write(entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     entries = scratch.write(entries.join(counts, "value"), "entries")
     edges = list_pairs(entries.where(F.col("m") <= list_bound).drop("m"), shared, percent)
-    touched = scratch.write(entries.where(F.col("m") > list_bound).select("key").distinct(), "touched")
+    # Two linked sets share at least `shared` of their union's 16 smallest values. If a node retains fewer frequent
+    # values than that, one of those it shares is not frequent, and the pair has met in a short list.
+    often = entries.where(F.col("m") > list_bound).groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.first("n").alias("n"))
+    needed = F.greatest(F.lit(1), F.floor(F.lit(shared) * F.least(F.col("n"), F.lit(SKETCH)) / SKETCH))
+    touched = scratch.write(often.where(F.col("often") >= needed).select("key"), "touched")
     if touched.limit(1).count():
         edges = edges.unionByName(_frequent_edges(scratch, docs, nodes, touched, size, percent, shared, list_bound))
     groups = components(scratch, edges, "groups")
