@@ -41,10 +41,11 @@ class Scratch:
     """Tables written in the shared folder to cut lineage: a lost executor then costs a re-read, not a rerun."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tabulark-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/tabulark-{uuid.uuid4().hex}", {}, 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.n += 1
+        path = f"{self.root}/{name}-{self.n}"
         schema = df.schema
         df.write.parquet(path)
         self.paths[name] = path

@@ -75,13 +75,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def rounds(n: int, batch: int, epochs: int, steps: int = 800) -> int:
+    """Passes over n rows: `epochs`, and more where that would be under `steps` batches."""
+    return max(epochs, math.ceil(steps * batch / max(n, batch))) if n else 0
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, factors: int = 8, epochs: int = 8, batch: int = 64, rate: float = 0.08, l2: float = 1e-5, seed: int = 7) -> dict:
     """AdaGrad on the logistic loss. Targets may be fractions."""
     rng = np.random.default_rng(seed)
     base = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     model = {"w0": math.log(base / (1 - base)), "w": np.zeros(DIMS), "v": rng.normal(0, 0.02, (DIMS, factors))}
     gw, gv, g0 = np.full(DIMS, 1e-6), np.full((DIMS, factors), 1e-6), 1e-6
-    for _ in range(epochs if len(y) else 0):
+    for _ in range(rounds(len(y), batch, epochs)):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]

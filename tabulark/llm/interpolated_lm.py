@@ -23,7 +23,6 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +34,11 @@ END = np.int64(0x7E3D5A1B9C2F4E61)
 TOP = 1024
 BUCKETS = 64  # of context counts, by bit length
 VOCABULARY_LIMIT = 12_000_000  # words of 12 bytes each in every Python worker
-DENSE = pa.schema([("bucket", pa.int32()), ("train", pa.bool_()), ("pairs", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()),
-                   ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                   ("base_score", pa.float64()), ("part", pa.float64())])
-DENSE_DDL = "bucket int, train boolean, pairs binary, docs binary, ids binary, uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double"
+PACKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+PACKED_DDL = "bucket long, batch long, kind int, a binary, b binary"
+RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+META, TRAIN, HELD, PART = range(4)
 
 
 def token_hashes(text: str | None, known: WordHashes) -> np.ndarray:
@@ -91,11 +91,17 @@ class Vocabulary:
     """Word hashes and counts, ranked by count; `place` finds ranks, -1 for unknown words."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((words, -counts))
-        words, self.counts = words[order], counts[order]
-        by_hash = np.argsort(words)
-        self.sorted, self.rank = words[by_hash], by_hash.astype(np.int32)
         self.total, self.size = int(counts.sum()), len(words)
+        order = np.argsort(words)
+        self.sorted = words[order]
+        counts = counts[order]
+        del order
+        if self.size and counts.max() < 2**31:
+            counts = counts.astype(np.int32)
+        by_count = np.argsort(-counts, kind="stable")
+        self.counts = counts[by_count]
+        self.rank = np.empty(self.size, np.int32)
+        self.rank[by_count] = np.arange(self.size, dtype=np.int32)
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         if not self.size:
@@ -181,14 +187,20 @@ def _bigrams(texts: list[str | None], known: WordHashes, vocabulary: Vocabulary)
     return h, w, np.repeat(np.arange(len(texts)), sizes), sizes
 
 
-def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def _bucket_of(key: np.ndarray, buckets: int, counts: np.ndarray, total: int) -> np.ndarray:
+    """Bigrams meet by context, so that a bucket's sorted contexts pack as well however many buckets there are; a
+    context too frequent for one bucket is spread over several by its next word."""
+    h, w = key >> 32, key & 0xFFFFFFFF
+    spread = np.maximum(1, counts[h].astype(np.int64) * 4 * buckets // max(total, 1))
+    with np.errstate(over="ignore"):
+        sub = (w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % spread.astype(np.uint64)
+        x = (h.astype(np.uint64) + (sub << np.uint64(40))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _parted(key: np.ndarray, buckets: int):
+def _parted(key: np.ndarray, buckets: int, v: Vocabulary):
     """(bucket, indices in order of key) for each bucket that has any."""
-    b = _bucket_of(key, buckets)
+    b = _bucket_of(key, buckets, v.counts, v.total)
     order = np.lexsort((key, b))
     cuts = np.flatnonzero(np.diff(b[order])) + 1
     for at in np.split(order, cuts) if len(order) else []:
@@ -218,8 +230,10 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
     found = counts.toArrow()
     vocabulary = Vocabulary(found.column("word").to_numpy(), found.column("c").to_numpy())
     del found
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(vocabulary)
     total, size, top = vocabulary.total, vocabulary.size, min(TOP, vocabulary.size)
+    del vocabulary
     buckets = max(8, math.ceil(total / tokens_per_bucket))
 
     # First pass over the texts: dense counts, and held-out statistics of all other bigram types.
@@ -231,7 +245,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
                 both = (h < top) & (w < top)
                 dense += np.bincount(h[both] * top + w[both], minlength=top * top)
                 key = (h[~both] << 32) | w[~both]
-                rows = [(b, _pack(key[at])) for b, at in _parted(key, buckets)]
+                rows = [(b, _pack(key[at])) for b, at in _parted(key, buckets, v)]
                 if rows:
                     yield _batch(rows, pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())]))
         at = np.flatnonzero(dense)
@@ -268,71 +282,87 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
     model = spark.sparkContext.broadcast((weights, dense.astype(np.float32 if total < 2**24 else np.float64)))
 
     # Second pass: texts give their statistics and the scores of what is known on the spot; other bigrams meet
-    # their counts in the bucket and leave sums per text.
+    # their counts in a bucket, and sums per text go back to the batch they came from, packed both ways.
     def emit(batches):
         known, v = WordHashes(), shared.value
         lam, table = model.value
+        counted = np.append(v.counts, np.zeros(1, v.counts.dtype))  # place -1 is an unknown word
         for whole in batches:
             for part in sub_batches(whole, 16_000_000):
                 doc_ids, texts, held_out = (c.to_pylist() for c in part.columns)
                 h, w, doc, sizes = _bigrams(texts, known, v)
-                counted = np.append(v.counts, 0)  # place -1 is an unknown word
                 c_h, c_w = counted[h], counted[w]
-                base = np.bincount(doc, np.log10((c_w + 1) / (total + size + 1)), len(texts))
+                base = np.bincount(doc, np.log10((c_w + 1.0) / (total + size + 1)), len(texts))
                 n_known = np.bincount(doc, c_w > 0, len(texts)).astype(np.int64)
                 both = (h >= 0) & (w >= 0) & (h < top) & (w < top)
                 here = both | (c_h == 0) | (c_w == 0)
                 c_hw = np.zeros(len(h))
                 c_hw[both] = table[h[both] * top + w[both]]
                 local = np.bincount(doc[here], log10_probability(lam, c_hw[here], c_h[here], c_w[here], total, size), len(texts))
-                uids = np.array([xxhash.xxh3_64_intdigest(f"{d}|{t or ''}".encode()) for d, t in zip(doc_ids, texts)], np.uint64).view(np.int64)
-                rows = [(int(u) % buckets, None, None, None, None, int(u), d, o, int(n), int(k), float(b), float(p)) for u, d, o, n, k, b, p in zip(uids, doc_ids, held_out, sizes, n_known, base, local)]
-                yield _batch(rows, DENSE)
-                out = np.array(held_out, bool)[doc]
-                for is_train, pick in ((True, ~here & ~out), (False, ~here & out)):
+                missing = np.array([d is None for d in doc_ids])
+                ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
+                out = np.array(held_out, bool)
+                meta = b"".join(x.tobytes() for x in (ids, missing, out, sizes.astype(np.int64), n_known, base, local))
+                # The batch is named by its content: a task that runs again gives the same names.
+                name = xxhash.xxh3_64(meta)
+                for t in texts:
+                    name.update((t or "").encode())
+                batch = int(np.uint64(name.intdigest()).view(np.int64))
+                yield _batch([(batch % buckets, batch, META, meta, None)], PACKED)
+                for kind, pick in ((TRAIN, ~here & ~out[doc]), (HELD, ~here & out[doc])):
                     key, who = (h[pick] << 32) | w[pick], doc[pick].astype(np.uint32)
-                    rows = []
-                    for b, at in _parted(key, buckets):
-                        some, number = np.unique(who[at], return_inverse=True)
-                        rows.append((b, is_train, _pack(key[at]), planes(number.astype(np.uint32)), uids[some].tobytes(), None, None, None, None, None, None, None))
+                    rows = [(b, batch, kind, _pack(key[at]), planes(who[at])) for b, at in _parted(key, buckets, v)]
                     if rows:
-                        yield _batch(rows, DENSE)
+                        yield _batch(rows, PACKED)
 
     def score(batches):
         v, (lam, _) = shared.value, model.value
-        keys, docs_, trains = [], [], []
-        for batch in batches:
-            is_meta = batch.column(2).is_null()
-            meta = batch.filter(is_meta)
-            if meta.num_rows:
-                yield meta.select(["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part"])
-            blobs = batch.filter(pc.invert(is_meta))
-            for t, p, d, i in zip(*(blobs.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                keys.append(_unpack(p))
-                docs_.append(np.frombuffer(i, np.int64)[from_planes(d, np.uint32)])
-                trains.append(np.full(len(keys[-1]), t))
+        keys, who, trains, names = [], [], [], []
+        for b in batches:
+            for bucket, batch, kind, first, second in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == META:
+                    yield _batch([(0, batch, META, first, None)], PACKED)
+                else:
+                    keys.append(_unpack(first))
+                    who.append(from_planes(second, np.uint32))
+                    trains.append(kind == TRAIN)
+                    names.append(batch)
         if not keys:
             return
-        key, who, is_train = np.concatenate(keys), np.concatenate(docs_), np.concatenate(trains)
-        types, place = np.unique(key, return_inverse=True)
-        c_hw = np.bincount(place, is_train, len(types))
-        lp = log10_probability(lam, c_hw, v.counts[types >> 32], v.counts[types & 0xFFFFFFFF], total, size)
-        uid, place2 = np.unique(who, return_inverse=True)
-        part = np.bincount(place2, lp[place], len(uid))
-        for at in range(0, len(uid), 50_000):
-            u, p = uid[at : at + 50_000], part[at : at + 50_000]
-            none = [pa.nulls(len(u), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(u), *none, pa.array(p)], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part"])
-
-    met = docs.mapInArrow(emit, DENSE_DDL).repartition(buckets, "bucket")
-    parts = met.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double")
-    # Rows of equal id and text share a uid; each of them sent all its parts, so the sum is shared among them.
-    rows = parts.groupBy("uid").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("held_out", True).alias("held_out"), F.first("n_tokens", True).alias("n_tokens"), F.first("n_known", True).alias("n_known"),
-        F.first("base_score", True).alias("base_score"), F.sum("part").alias("total"), F.count("n_tokens").alias("copies"),
-    )
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("total") / F.col("copies")).alias("score"))
+        sizes = [len(k) for k in keys]
+        types, place = np.unique(np.concatenate(keys), return_inverse=True)
+        c_hw = np.bincount(place, np.repeat(trains, sizes), len(types))
+        lp = log10_probability(lam, c_hw, v.counts[types >> 32], v.counts[types & 0xFFFFFFFF], total, size)[place]
+        at = 0
+        for n, docs_, batch in zip(sizes, who, names):
+            sums = np.bincount(docs_, lp[at : at + n])
+            some = np.unique(docs_)
+            yield _batch([(0, batch, PART, planes(some.astype(np.uint32)), sums[some].astype(np.float32).tobytes())], PACKED)
+            at += n
+
+    def settle(batches):
+        metas: dict[int, list[bytes]] = {}
+        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        for b in batches:
+            for _, batch, kind, first, second in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == META:
+                    metas.setdefault(batch, []).append(first)
+                else:
+                    parts.setdefault(batch, []).append((first, second))
+        for batch, found in metas.items():
+            n = len(found[0]) // 42
+            cut = np.cumsum([0, 8 * n, n, n, 8 * n, 8 * n, 8 * n, 8 * n])
+            ids, missing, out, sizes, n_known, base, local = (np.frombuffer(found[0][i:j], t) for i, j, t in zip(cut, cut[1:], (np.int64, bool, bool, np.int64, np.int64, float, float)))
+            sums = np.zeros(n)
+            for first, second in parts.get(batch, ()):
+                sums[from_planes(first, np.uint32)] += np.frombuffer(second, np.float32)
+            full = local + sums / len(found)  # batches of equal content share a name, and each sent all its parts
+            for _ in found:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(out), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(full)], schema=RESULT)
+
+    met = docs.mapInArrow(emit, PACKED_DDL).repartition(buckets, "bucket").mapInArrow(score, PACKED_DDL)
+    rows = met.repartition(max(8, buckets // 2), "batch").mapInArrow(settle, RESULT_DDL)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _stats(frame: pd.DataFrame) -> pa.RecordBatch:

@@ -320,10 +320,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """`docs` with its columns, texts without their repeated lines, n_chars brought up to date."""
-    done = LineIndex.of(docs, min_chars, min_docs, keep_postings=False).apply(docs)
+    """`docs` with its columns, texts without their repeated lines, n_chars brought up to date. Rows travel as one
+    struct, so no column of theirs can clash with the operator's own."""
+    packed = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    done = LineIndex.of(packed, min_chars, min_docs, keep_postings=False).apply(packed)
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    done = done.withColumn("text", text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

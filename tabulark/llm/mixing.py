@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tabulark.llm.common import Scratch, WordHashes, sub_batches
 from tabulark.llm.factorisation import DIMS, features, fit
+from tabulark.llm.factorisation import rounds as training_rounds
 
 #: Domains of the labelled table: 2 * quality + toxic.
 DOMAINS = ["low", "low_toxic", "good", "good_toxic"]
@@ -33,7 +34,7 @@ def train_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, clas
     w, g = np.zeros((DIMS, classes)), np.full((DIMS, classes), 1e-6)
     target = np.rint(y).astype(int)
     bias = np.log((np.bincount(target, minlength=classes) + 0.5) / (len(y) + 0.5 * classes)) if len(y) else np.zeros(classes)
-    for _ in range(epochs if len(y) else 0):
+    for _ in range(training_rounds(len(y), batch, epochs)):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
@@ -169,7 +170,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as its copies say."""
-    found = mixture(docs, labels, **options).where("_copies > 0")
+    """The rows of `docs`, all columns, each as often as its copies say. Rows travel as one struct, so no column of
+    theirs can clash with the operator's own."""
+    packed = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    found = mixture(packed, labels, **options).where("_copies > 0")
     found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return found.select(*[f"`{c}`" for c in docs.columns])
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

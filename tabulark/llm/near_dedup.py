@@ -310,8 +310,8 @@ def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose document is the smallest id of its class, all columns; of rows with one id, those
-    with the id's smallest text set name stay."""
+    """The rows of `docs`, all columns, whose document is the smallest id of its class. Of several rows with one id
+    all go if one of them is a copy of a smaller id, and all stay otherwise."""
     found = near_duplicate_classes(docs, size, percent)
-    gone = found.where(~F.col("kept")).select(as_id(F.col("doc_id")).alias("_id")).distinct()
-    return docs.join(gone, as_id(F.col("doc_id")) == F.col("_id"), "left_anti")
+    gone = found.where(~F.col("kept")).select(as_id(F.col("doc_id")).alias("__gone_id")).distinct()
+    return docs.join(gone, as_id(docs["doc_id"]) == gone["__gone_id"], "left_anti")
