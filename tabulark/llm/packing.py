@@ -38,51 +38,55 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž]*")
 
 
 class WordTokenizer:
-    """Ids as the tokenizers library gives them, from remembered words. The pre-tokenizer's pieces never reach
-    over white space, so the ids of a white-space separated word do not depend on its neighbours; each distinct word
-    is taken apart once, and each distinct piece is encoded once, many to a call with a special token between. Texts beyond PLAIN, or with a special
-    token's opening, go to the library whole."""
+    """Ids as the tokenizers library gives them, from remembered pieces. The pre-tokenizer's pieces never reach over
+    white space and a piece's ids do not depend on its neighbours, so each distinct word of a batch is taken apart
+    once, and each new piece is encoded once. Many pieces go to one call, parted by a digit: digits are pieces of
+    one character and one id, which no other piece contains. Texts beyond PLAIN, or with a special token's opening,
+    go to the library whole."""
 
-    GAP = "<|startoftext|>"
-
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.pieces, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.library, self.pieces, self.most = Tokenizer.from_file(path), {}, most
         self.library.no_truncation()
-        self.gap = self.library.token_to_id(self.GAP)
+        self._forget()
+        self.gap = int(np.frombuffer(self.pieces["0"], "<u2")[0])
+
+    def _forget(self) -> None:
+        self.pieces.clear()
+        self.pieces.update((d, self._whole(d)) for d in "0123456789")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        apart = [PIECES.findall(w) for w in words]
-        self._encode(list({p for ps in apart for p in ps if p not in self.pieces}))
-        get = self.pieces.__getitem__
-        for w, ps in zip(words, apart):
-            self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def _encode(self, words: list[str], group: int = 2000) -> None:
-        groups = [words[at : at + group] for at in range(0, len(words), group)]
+    def _encode(self, pieces: list[str], group: int = 500) -> None:
+        groups = [pieces[at : at + group] for at in range(0, len(pieces), group)]
         for at in range(0, len(groups), 16):
             some = groups[at : at + 16]
-            for ws, e in zip(some, self.library.encode_batch_fast([self.GAP.join(ws) for ws in some], add_special_tokens=False)):
+            for ps, e in zip(some, self.library.encode_batch_fast([" 0 ".join(ps) for ps in some], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u2")
                 ends = (2 * np.append(np.flatnonzero(ids == self.gap), len(ids))).tolist()
                 data, start = ids.tobytes(), 0
-                for w, end in zip(ws, ends, strict=True):
-                    self.pieces[w] = data[start:end]
+                for p, end in zip(ps, ends, strict=True):
+                    self.pieces[p] = data[start:end]
                     start = end + 2
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text. The vocabulary has fewer than 65,536 ids."""
-        if len(self.known) > self.most:
-            self.known.clear()
-            self.pieces.clear()
+        if len(self.pieces) > self.most:
+            self._forget()
         parts = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        known = self.known
-        new = {w for ws in parts if ws for w in ws if w not in known}
-        self._learn(list(new))
+        distinct: set[str] = set()
+        for ws in parts:
+            if ws:
+                distinct.update(ws)
+        pieces = self.pieces
+        mixed = {w: PIECES.findall(w) for w in distinct if not w.isalpha()}
+        new = {w for w in distinct if w not in pieces and w not in mixed}
+        new.update(p for ps in mixed.values() for p in ps if p not in pieces)
+        self._encode(list(new))
+        get = pieces.__getitem__
+        known = {w: b"".join(map(get, mixed[w])) if w in mixed else get(w) for w in distinct}
         get = known.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._whole(t) for ws, t in zip(parts, texts)]
 
