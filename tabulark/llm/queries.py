@@ -57,7 +57,28 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: 52 bits of an md5, as the rendezvous draw takes them.
+DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
+
 ORACLES: dict[str, str] = {
+    # All pairs that share a shingle, verified; then everything reachable over links.
+    "op4_minhash_near_dedup": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS (SELECT d.doc_id, count(s.s) AS n FROM documents d LEFT JOIN shingles s ON d.doc_id = s.doc_id GROUP BY d.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM sizes UNION SELECT d, b FROM reach JOIN links ON r = a)
+SELECT d AS doc_id, any_value(n) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach JOIN sizes ON doc_id = d GROUP BY d""",
+    # The checksum's table follows from its polynomial.
+    "op6_sharding": f"""
+WITH polynomial AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, polynomial),
+drawn AS (SELECT doc_id, arg_max(s, (h, -s)) FILTER (WHERE s < 16) AS shard, arg_max(s, (h, -s)) AS grown FROM (SELECT doc_id, s, {DRAW.format("doc_id || '|' || s")} AS h FROM (SELECT DISTINCT doc_id FROM documents), range(17) AS r(s)) GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY {DRAW.format("doc_id || '|' || text_crc32 || '|' || size || '|slot'")}, doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM sized JOIN drawn USING (doc_id)""",
     "op8_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
