@@ -41,6 +41,7 @@ from tabulark.llm.common import Scratch, WordHashes, _batch, lower_words_of, shi
 SKETCH, MISS = 16, 2e-6
 NO_ID = -(2**63)
 BROADCAST_IDS = 2_000_000  # ids sent to every executor, 16 MB; beyond that Spark joins by shuffle
+BROADCAST_VALUES = 4_000_000  # frequent shingles sent to every executor, 32 MB; beyond that they are joined
 BLOCK_SETS, BLOCK_HASHES = 512, 1_000_000
 
 
@@ -279,10 +280,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     return out.select("doc_id", F.col("n").alias("n_shingles"), "key", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched: DataFrame, size: int, percent: int, shared: int, list_bound: int) -> DataFrame:
+def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched: DataFrame, size: int, percent: int, shared: int, list_bound: int, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """Edges among the nodes that meet in lists longer than the bound."""
     known = nodes.join(touched, "key", "left_semi")
-    sets = full_sets(docs, known, size)
+    sets = scratch.write(full_sets(docs, known, size), "touched-sets")
 
     def spread(batches):
         for batch in batches:
@@ -293,12 +294,31 @@ def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched
                         piece = values[at : at + 100_000]
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(piece), pa.binary()), pa.array([n] * len(piece), pa.int64()), pa.array(piece)], names=["key", "n", "value"])
 
-    rows = scratch.write(sets.select("key", "n", "hashes").mapInArrow(spread, "key binary, n long, value long"), "rows")
+    columns = sets.select("key", "n", "hashes")
+    rows = columns.mapInArrow(spread, "key binary, n long, value long")
     frequent = rows.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > list_bound).select("value", F.lit(1).alias("often"))
     frequent = scratch.write(frequent, "frequent")
-    order = Window.partitionBy("key").orderBy(F.col("often").asc_nulls_first(), "value")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = rows.join(frequent, "value", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= prefix)
+    if frequent.count() <= broadcast_values:
+        shared_values = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.select("value").toArrow().column(0).to_numpy()))
+
+        def prefixes(batches):
+            often = shared_values.value
+            for batch in batches:
+                for part in sub_batches(batch, 1_000_000):
+                    for key, n, hashes in zip(*(c.to_pylist() for c in part.columns)):
+                        values = np.sort(np.frombuffer(hashes, np.int64))
+                        common = np.zeros(len(values), bool)
+                        if len(often):
+                            common = often[np.minimum(np.searchsorted(often, values), len(often) - 1)] == values
+                        order = np.argsort(common, kind="stable")[: n + (-n * percent // 100) + 1]
+                        marks = pa.array([1 if c else None for c in common[order]], pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(order), pa.binary()), pa.array([n] * len(order), pa.int64()), pa.array(values[order]), marks], names=["key", "n", "value", "often"])
+
+        ranked = columns.mapInArrow(prefixes, "key binary, n long, value long, often int")
+    else:
+        order = Window.partitionBy("key").orderBy(F.col("often").asc_nulls_first(), "value")
+        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        ranked = rows.join(frequent, "value", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= prefix).select("key", "n", "value", "often")
     ranked = scratch.write(ranked, "prefixes")
     rare = ranked.where("often is null").select("value", "key", "n")
     pairs = rare.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")

@@ -229,8 +229,10 @@ def brute_classes(rows, size, percent):
     return label, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("bound", [50, 2])
-def test_near_duplicates(spark, bound):
+@pytest.mark.parametrize(("bound", "sent"), [(50, 10), (2, 10**6), (2, 0)])
+def test_near_duplicates(spark, bound, sent, monkeypatch):
+    frequent = near_dedup._frequent_edges
+    monkeypatch.setattr(near_dedup, "_frequent_edges", lambda *a: frequent(*a, broadcast_values=sent))
     rng = np.random.default_rng(4)
     base = [f"v{k}" for k in range(120)]
     rows = []
