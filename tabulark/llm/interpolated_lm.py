@@ -33,6 +33,7 @@ from tabulark.llm.common import Scratch, WordHashes, _batch, fold, lower_words_o
 END = np.int64(0x7E3D5A1B9C2F4E61)
 TOP = 1024
 BUCKETS = 64  # of context counts, by bit length
+BATCH_BYTES, WORDS = 6_000_000, 150_000  # text and remembered words of a worker at a time
 VOCABULARY_LIMIT = 12_000_000  # words of 12 bytes each in every Python worker
 PACKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 PACKED_DDL = "bucket long, batch long, kind int, a binary, b binary"
@@ -238,9 +239,9 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
 
     # First pass over the texts: dense counts, and held-out statistics of all other bigram types.
     def count(batches):
-        known, v, dense = WordHashes(), shared.value, np.zeros(top * top, np.int64)
+        known, v, dense = WordHashes(WORDS), shared.value, np.zeros(top * top, np.int64)
         for whole in batches:
-            for part in sub_batches(whole, 16_000_000):
+            for part in sub_batches(whole, BATCH_BYTES):
                 h, w, _, _ = _bigrams(part.column(0).to_pylist(), known, v)
                 both = (h < top) & (w < top)
                 dense += np.bincount(h[both] * top + w[both], minlength=top * top)
@@ -284,11 +285,11 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
     # Second pass: texts give their statistics and the scores of what is known on the spot; other bigrams meet
     # their counts in a bucket, and sums per text go back to the batch they came from, packed both ways.
     def emit(batches):
-        known, v = WordHashes(), shared.value
+        known, v = WordHashes(WORDS), shared.value
         lam, table = model.value
         counted = np.append(v.counts, np.zeros(1, v.counts.dtype))  # place -1 is an unknown word
         for whole in batches:
-            for part in sub_batches(whole, 16_000_000):
+            for part in sub_batches(whole, BATCH_BYTES):
                 doc_ids, texts, held_out = (c.to_pylist() for c in part.columns)
                 h, w, doc, sizes = _bigrams(texts, known, v)
                 c_h, c_w = counted[h], counted[w]
