@@ -44,7 +44,7 @@ class WordTokenizer:
     one character and one id, which no other piece contains. Texts beyond PLAIN, or with a special token's opening,
     go to the library whole."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.library, self.pieces, self.most = Tokenizer.from_file(path), {}, most
@@ -145,7 +145,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         tokenizer, table = WordTokenizer(path), directions()
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 3_000_000):
                 doc_ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 end = np.array([END_ID], "<u2").tobytes()
                 raw = [b + end for b in tokenizer.ids(texts)]
