@@ -31,12 +31,12 @@ def _canonical(s, d):
 
 
 def _boxes(s, d, side):
-    k, rows = F.col("l_partkey"), read(s, d, "lineitem").where("l_linenumber = 1 and l_orderkey < 3000").distinct()
-    rows = rows.where((F.col("l_suppkey") % 2) == side)
+    """One box for each order and side. A page is 40 neighbouring orders, so that it holds few boxes at any size."""
+    k, rows = F.col("l_partkey"), read(s, d, "lineitem").where((F.col("l_suppkey") % 2) == side)
     x, y = (F.col("l_suppkey") * 37 % 500).cast("double"), (k * 13 % 700).cast("double")
     one = rows.groupBy("l_orderkey").agg(F.min(F.struct(x.alias("x"), y.alias("y"), F.col("l_quantity").alias("q"))).alias("b"))
     box = F.struct(F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), (F.col("b.x") + 20 + F.col("b.q")).alias("x2"), (F.col("b.y") + 30 + F.col("b.q")).alias("y2"))
-    return one.select(F.col("l_orderkey").alias("left_id" if side == 0 else "right_id"), (F.col("l_orderkey") % 40).cast("long").alias("page"), box.alias("box"))
+    return one.select(F.col("l_orderkey").alias("left_id" if side == 0 else "right_id"), F.floor(F.col("l_orderkey") / 40).alias("page"), box.alias("box"))
 
 
 def _boxes_sql(side, name):
