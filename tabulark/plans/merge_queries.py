@@ -53,19 +53,19 @@ def _dedup_boxes(s, d):
 
 def _gate_rows(s, d):
     """Documents seen as question rows for the gate."""
-    t = read(s, d, "documents").where("n_chars < 6000")
+    t = read(s, d, "documents")
     k, none = F.col("doc_id"), F.lit(None).cast("string")
     option = lambda i: F.struct(F.lit("ABCD"[i]).alias("label"), F.concat(F.lit(f"option {i} "), F.col("source")).alias("text"))
     options = F.slice(F.array(*[option(i) for i in range(4)]), 1, (k % 5).cast("int"))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     return t.select(
-        "doc_id", F.when(k % 17 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 700)).alias("stem"), F.when(k % 3 == 0, "single_choice").when(k % 3 == 1, "short_answer").otherwise("true_false").alias("qtype"),
+        "doc_id", F.when(k % 17 == 0, F.lit(" ")).otherwise(F.col("text")).alias("stem"), F.when(k % 3 == 0, "single_choice").when(k % 3 == 1, "short_answer").otherwise("true_false").alias("qtype"),
         F.col("lang").alias("section"), F.when(k % 3 == 1, empty("struct<label:string,text:string>")).when(k % 3 == 2, F.slice(options, 1, 2)).otherwise(options).alias("options"),
         F.when(k % 7 == 0, none).when(k % 11 == 0, F.lit("。")).otherwise(F.substring("text", 3, 5)).alias("answer"), F.when(k % 4 == 0, "llm_fallback").when(k % 4 == 1, "llm_annotation").otherwise("document_answer_table").alias("answer_source"),
         F.lit(0.9).alias("answer_confidence"), F.when(k % 6 == 0, empty("string")).otherwise(F.array(F.lit("P1L001"))).alias("answer_line_ids"), F.when(k % 5 == 0, none).otherwise(F.lit("see above")).alias("explanation"),
         F.when(k % 5 == 0, "llm_fallback").otherwise("document").alias("explanation_source"), F.array(F.when(k % 13 == 0, "missing").when(k % 13 == 1, "retry").otherwise("exact")).alias("anchors"),
         F.when(k % 9 == 0, F.array(F.lit("note"))).otherwise(empty("string")).alias("issues"), F.lit(False).alias("is_composite"), empty("string").alias("shared_line_ids"), F.array(F.lit("P1L001")).alias("stem_line_ids"),
-        F.substring("text", 1, 700).alias("source_lines"), empty("struct<qno:string,stem:string,answer:string>").alias("sub_questions"), empty("struct<page:int,bbox:string,source:string>").alias("images"), empty("string").alias("word_bank"),
+        F.col("text").alias("source_lines"), empty("struct<qno:string,stem:string,answer:string>").alias("sub_questions"), empty("struct<page:int,bbox:string,source:string>").alias("images"), empty("string").alias("word_bank"),
         F.lit(5.0).alias("score"), F.lit(3).alias("difficulty"), F.array(F.lit("kp")).alias("nodes"),
     )
 

@@ -8,6 +8,11 @@ from tests.test_queries import QUERIES, rows
 
 # Clauses of the SQL twins that leave rows out, and what stands in their place.
 BOX_CUTS = [("l_linenumber = 1 AND l_orderkey < 3000 AND ", ""), ("l_orderkey % 40", "l_orderkey // 40")]
+SCORE_CUTS = [
+    ("substring(text, 1, 700) END AS stem", "text END AS stem"), (" FROM documents WHERE n_chars < 6000", " FROM documents"),
+    ("'' THEN 0.5 ELSE 0 END\n", "'' THEN 0.5 ELSE 0 END - CASE WHEN length(stem) > CASE WHEN k % 3 = 1 OR contains(stem, '材料') THEN 3000 ELSE 800 END THEN 0.4 ELSE 0 END\n"),
+]
+RULE_CUTS = [("substring(text, 1, 700)", "text"), (" FROM documents WHERE n_chars < 6000", " FROM documents")]
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +53,19 @@ def test_dedup_sees_every_order(spark, far):
     want = {r[0] for r in con.execute("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey % 2 = 0").fetchall()}
     assert {r.image_id for r in QUERIES["bucket_dedup"](spark, d).collect()} == want
     assert QUERIES["bucket_dedup_stats"](spark, d).first().original == len(want)
+
+
+@pytest.mark.parametrize("name, cuts", [("quality_score", SCORE_CUTS), ("rule_failures", RULE_CUTS)])
+def test_gate_scores_whole_documents(name, cuts, spark, far):
+    same(spark, far, name, without(mq.ORACLES[name], cuts))
+
+
+def test_gate_judges_whole_documents(spark, far):
+    d, con = far
+    got = {r.doc_id: r for r in QUERIES["gate_decision"](spark, d).collect()}
+    size = dict(con.execute("SELECT doc_id, length(text) FROM documents").fetchall())
+    assert got.keys() == size.keys()
+    # Only rules 1 and 2 come before the stem's length; every 17th stem is blank.
+    long = {k for k, n in size.items() if k % 17 and n > 3000}
+    assert long and all(got[k].reason in ("r02", "r03") and got[k].decision == "reject" for k in long)
+    assert QUERIES["gate_distribution"](spark, d).agg({"n": "sum"}).first()[0] == len(size) > 0
