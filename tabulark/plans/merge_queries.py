@@ -102,12 +102,18 @@ def _fields(s, d):
 
 
 def _graded(s, d):
-    t = read(s, d, "documents").select("doc_id", "lang", F.substring("text", 1, 300).alias("a"))
+    t = read(s, d, "documents").select("doc_id", "lang", F.col("text").alias("a"))
     k = F.col("doc_id") % 6
     b = F.when(k == 0, F.col("a")).when(k == 1, F.replace("a", F.lit(" "), F.lit("  "))).when(k == 2, F.replace("a", F.lit("."), F.lit(""))).when(k == 3, F.concat("a", F.lit("zz"))).when(k == 4, F.lit(None).cast("string")).otherwise(F.upper("a"))
     return t.withColumn("b", b)
 
 
+def _coverage(s, d):
+    """Each whole text against its first half."""
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return read(s, d, "documents").select("doc_id", sm.chunk_coverage(F.col("text"), half).alias("coverage"))
+
+
 def _overlap(s, d):
     rows = read(s, d, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("l_suppkey"), (F.col("l_suppkey") % 5).alias("v"))))).alias("entries"))
     left = rows.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("left_id"), (F.col("l_orderkey") % 20 - F.col("l_orderkey") % 2).alias("page"), "entries")
@@ -140,7 +146,7 @@ QUERIES = {
     "canonical_merge": _canonical,
     "arbitrate_lines": lambda s, d: merge.arbitrate(_two_sides(s, d)).select("doc_id", "line_no", "winner", "conflict_type", "confidence", "needs_review"),
     "similarity_join": lambda s, d: merge.similar_pairs(lines(s, d).where("line_no = 2").withColumn("k", F.length("text") % 50), lines(s, d).where("line_no = 1").select((F.length("text") % 50).alias("k"), F.col("doc_id").alias("other_id"), "text"), ["k"], 0.6).select("doc_id", "other_id", F.round("similarity", 6).alias("similarity")),
-    "coverage_ratio": lambda s, d: read(s, d, "documents").select("doc_id", sm.chunk_coverage(F.substring("text", 1, 400), F.substring("text", 1, 200)).alias("coverage")),
+    "coverage_ratio": _coverage,
     "best_overlap_match": _overlap,
     "majority_vote": _votes,
     "two_tier_match": _two_tier,

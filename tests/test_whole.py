@@ -13,6 +13,7 @@ SCORE_CUTS = [
     ("'' THEN 0.5 ELSE 0 END\n", "'' THEN 0.5 ELSE 0 END - CASE WHEN length(stem) > CASE WHEN k % 3 = 1 OR contains(stem, '材料') THEN 3000 ELSE 800 END THEN 0.4 ELSE 0 END\n"),
 ]
 RULE_CUTS = [("substring(text, 1, 700)", "text"), (" FROM documents WHERE n_chars < 6000", " FROM documents")]
+COVERAGE_CUTS = [("substring(text, 1, 400) AS a", "text AS a"), ("substring(text, 1, 200) AS b", "substring(text, 1, length(text) // 2) AS b")]
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,19 @@ def test_gate_judges_whole_documents(spark, far):
     long = {k for k, n in size.items() if k % 17 and n > 3000}
     assert long and all(got[k].reason in ("r02", "r03") and got[k].decision == "reject" for k in long)
     assert QUERIES["gate_distribution"](spark, d).agg({"n": "sum"}).first()[0] == len(size) > 0
+
+
+def test_coverage_of_whole_texts(spark, far):
+    same(spark, far, "coverage_ratio", without(mq.ORACLES["coverage_ratio"], COVERAGE_CUTS))
+
+
+def test_verdicts_compare_whole_texts(spark, tmp_path):
+    """The second side differs from the first behind 300 characters only."""
+    head = "a" * 400
+    docs = [(1, head + " b"), (2, head + ".b"), (3, head), (5, head + "b"), (6, head), (8, head + "b"), (11, "A" * 400 + "b")]
+    spark.createDataFrame([(k, "en", t) for k, t in docs], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {name: {r.verdict: r.n for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("verdict_hist", "ab_lenient")}
+    assert found["verdict_hist"] == {"format": 1, "punct_diff": 1, "mismatch": 3, "exact": 2}
+    assert found["ab_lenient"] == {"format": 1, "semantic": 3, "format_diff": 1, "raw_exact": 2}
+    rate = QUERIES["ab_pass_rate"](spark, str(tmp_path)).first()
+    assert (rate.passed, rate.total) == (4, 7)
