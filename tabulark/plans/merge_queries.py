@@ -92,7 +92,7 @@ closure AS (WITH RECURSIVE c AS (SELECT code, code AS ancestor, 0 AS distance FR
 
 
 def _points(s, d):
-    return read(s, d, "customer").where("c_custkey < 600").select(F.col("c_custkey").alias("question_id"), F.explode(F.array(F.concat(F.lit("nation_"), F.col("c_nationkey")), F.when(F.col("c_custkey") % 3 == 0, F.lit("nowhere")).otherwise(F.lit("region_1")))).alias("point"))
+    return read(s, d, "customer").select(F.col("c_custkey").alias("question_id"), F.explode(F.array(F.concat(F.lit("nation_"), F.col("c_nationkey")), F.when(F.col("c_custkey") % 3 == 0, F.lit("nowhere")).otherwise(F.lit("region_1")))).alias("point"))
 
 
 def _fields(s, d):
@@ -115,9 +115,11 @@ def _coverage(s, d):
 
 
 def _overlap(s, d):
-    rows = read(s, d, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("l_suppkey"), (F.col("l_suppkey") % 5).alias("v"))))).alias("entries"))
-    left = rows.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("left_id"), (F.col("l_orderkey") % 20 - F.col("l_orderkey") % 2).alias("page"), "entries")
-    right = rows.where("l_orderkey % 2 = 1").select(F.col("l_orderkey").alias("right_id"), (F.col("l_orderkey") % 20 - F.col("l_orderkey") % 2).alias("page"), "entries")
+    """Even orders against odd ones of the same 20 neighbours, so that a page holds few orders at any size."""
+    page = F.floor(F.col("l_orderkey") / 20).alias("page")
+    rows = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("l_suppkey"), (F.col("l_suppkey") % 5).alias("v"))))).alias("entries"))
+    left = rows.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("left_id"), page, "entries")
+    right = rows.where("l_orderkey % 2 = 1").select(F.col("l_orderkey").alias("right_id"), page, "entries")
     return merge.best_overlap(left, right, "page").select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 

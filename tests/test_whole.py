@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tabulark.plans import merge_queries as mq
+from tabulark.plans import merge_queries as mq, stream_queries as sq
 from tests.test_queries import QUERIES, rows
 
 # Clauses of the SQL twins that leave rows out, and what stands in their place.
@@ -86,3 +86,26 @@ def test_verdicts_compare_whole_texts(spark, tmp_path):
     assert found["ab_lenient"] == {"format": 1, "semantic": 3, "format_diff": 1, "raw_exact": 2}
     rate = QUERIES["ab_pass_rate"](spark, str(tmp_path)).first()
     assert (rate.passed, rate.total) == (4, 7)
+
+
+def test_overlap_meets_every_order(spark, far):
+    d, con = far
+    found = {}
+    for k, v in con.execute("SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem").fetchall():
+        found.setdefault(k, set()).add(v)
+    want = {}
+    for k, own in found.items():
+        # Entries agree wherever a supplier is common, so the score is 0.6 of the share in common plus 0.4.
+        scores = [(round(0.6 * len(own & found[o]) / len(own) + 0.4, 6), -o) for o in range(k // 20 * 20 + 1, k // 20 * 20 + 20, 2) if own & found.get(o, set())]
+        if k % 2 == 0 and scores:
+            want[k] = (-max(scores)[1], max(scores)[0])
+    assert {r.left_id: (r.right_id, r.score) for r in QUERIES["best_overlap_match"](spark, d).collect()} == want != {}
+
+
+def test_points_of_every_customer(spark, far):
+    d, con = far
+    assert {r.question_id for r in QUERIES["deepest_match"](spark, d).collect()} == {r[0] for r in con.execute("SELECT c_custkey FROM customer").fetchall()}
+
+
+def test_first_success_of_every_event(spark, far):
+    same(spark, far, "first_success", without(sq.ORACLES["first_success"], [("event_id < 5000 AND ", "")]))
