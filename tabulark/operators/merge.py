@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulark.functions.similarity import box_iou, center, center_distance, hybrid_similarity
+from tabulark.functions.similarity import box_iou, center, center_distance, char_jaccard, hybrid_similarity
 from tabulark.functions.text import drop_space
 
 # Marks of formula or table text, and the signatures that a choice must not lose.
@@ -59,9 +59,14 @@ def guard(winner: Column, conflict: Column, confidence: Column, kept: Column, te
     return F.struct(F.when(bad, "ppsv3").otherwise(winner).alias("winner"), F.when(bad, F.greatest(F.lit(0.3), confidence - 0.2)).otherwise(confidence).alias("confidence"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], at_least: float = 0.6) -> DataFrame:
-    """Equi-join on `keys`, pairs under the similarity dropped. The keys narrow the pairs before Python sees them."""
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], at_least: float = 0.6, where: Column | None = None) -> DataFrame:
+    """Equi-join on `keys`, pairs under the similarity dropped, and those that `where` excludes. Python sees only the
+    pairs that can reach the similarity by their lengths and characters: no sequence ratio exceeds 2 min / (a + b)."""
     pairs = left.join(right.withColumnRenamed("text", "other_text"), keys)
+    pairs = pairs if where is None else pairs.where(where)
+    a, b = F.length(F.trim("text")), F.length(F.trim("other_text"))
+    within = F.when((a > 0) & (b > 0), 1.4 * F.least(a, b) / (a + b) + 0.3 * char_jaccard(F.col("text"), F.col("other_text")) > at_least - 1e-9)
+    pairs = pairs.where(within if at_least >= 0 else F.lit(True))
     return pairs.withColumn("similarity", hybrid_similarity(F.col("text"), F.col("other_text"))).where(F.col("similarity") > at_least)
 
 

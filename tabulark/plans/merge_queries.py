@@ -11,7 +11,7 @@ from tabulark.plans.proxies import LINES_SQL, lines, read
 
 def _two_sides(s, d):
     """Lines of neighbouring documents as two extractions: texts and a kind."""
-    a = lines(s, d).where("line_no <= 6")
+    a = lines(s, d)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), "line_no", F.col("text").alias("native_text"))
     out = a.withColumnRenamed("text", "pp_text").join(b, ["doc_id", "line_no"], "left")
     native = F.when(F.col("doc_id") % 5 == 0, F.concat("pp_text", F.lit(" x"))).when(F.col("doc_id") % 5 == 1, F.substring("pp_text", 1, 10)).when(F.col("doc_id") % 5 == 2, F.replace("pp_text", F.lit(" "), F.lit("  "))).otherwise(F.coalesce("native_text", F.lit("")))
@@ -108,6 +108,14 @@ def _graded(s, d):
     return t.withColumn("b", b)
 
 
+def _similar_lines(s, d):
+    """Every line against every other line whose length has the same last digits."""
+    rows = lines(s, d).withColumn("k", F.length("text") % 50)
+    other = rows.select("k", F.col("doc_id").alias("other_id"), F.col("line_no").alias("other_no"), "text")
+    pairs = merge.similar_pairs(rows, other, ["k"], 0.6, (F.col("doc_id") != F.col("other_id")) | (F.col("line_no") != F.col("other_no")))
+    return pairs.select("doc_id", "other_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _coverage(s, d):
     """Each whole text against its first half."""
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
@@ -124,7 +132,7 @@ def _overlap(s, d):
 
 
 def _votes(s, d):
-    rows = read(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("v"), F.col("l_linenumber").alias("p"), "l_suppkey")
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("v"), F.col("l_linenumber").alias("p"), "l_suppkey")
     return merge.majority(rows, "k", "v", "p")
 
 
@@ -147,7 +155,7 @@ DX, DY = "((l.x1 + l.x2) / 2 - (r.x1 + r.x2) / 2)", "((l.y1 + l.y2) / 2 - (r.y1
 QUERIES = {
     "canonical_merge": _canonical,
     "arbitrate_lines": lambda s, d: merge.arbitrate(_two_sides(s, d)).select("doc_id", "line_no", "winner", "conflict_type", "confidence", "needs_review"),
-    "similarity_join": lambda s, d: merge.similar_pairs(lines(s, d).where("line_no = 2").withColumn("k", F.length("text") % 50), lines(s, d).where("line_no = 1").select((F.length("text") % 50).alias("k"), F.col("doc_id").alias("other_id"), "text"), ["k"], 0.6).select("doc_id", "other_id", F.round("similarity", 6).alias("similarity")),
+    "similarity_join": _similar_lines,
     "coverage_ratio": _coverage,
     "best_overlap_match": _overlap,
     "majority_vote": _votes,

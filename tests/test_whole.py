@@ -1,9 +1,11 @@
 """Queries read all rows and whole texts. Where SQL stands beside a query with a cut, the cut is taken out of its text here."""
 
+import difflib
+
 import duckdb
 import pytest
 
-from tabulark.plans import merge_queries as mq, stream_queries as sq
+from tabulark.plans import line_queries as lq, merge_queries as mq, stream_queries as sq
 from tests.test_queries import QUERIES, rows
 
 # Clauses of the SQL twins that leave rows out, and what stands in their place.
@@ -109,3 +111,22 @@ def test_points_of_every_customer(spark, far):
 
 def test_first_success_of_every_event(spark, far):
     same(spark, far, "first_success", without(sq.ORACLES["first_success"], [("event_id < 5000 AND ", "")]))
+
+
+@pytest.mark.parametrize("name, oracles, cut", [("arbitrate_lines", mq.ORACLES, " WHERE line_no <= 6"), ("majority_vote", mq.ORACLES, " WHERE l_linenumber <= 3"), ("best_pass", lq.ORACLES, " WHERE l_linenumber <= 3")])
+def test_every_line_takes_part(name, oracles, cut, spark, far):
+    same(spark, far, name, without(oracles[name], [(cut, "")]))
+
+
+def test_similarity_join_takes_every_line(spark, tmp_path):
+    texts = ["one line here\n\nsecond line of text", "x\ny\nz\none more line\nsecond line of tent", "second lime of test\n" + "long " * 13 + "line!", "zzzzzzzzzzzzzzzzzzz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(k, i, t) for k, text in enumerate(texts) for i, t in enumerate(text.split("\n"))]
+    want = []
+    for k, i, a in lines:
+        for o, j, b in lines:
+            x, y = a.strip(" "), b.strip(" ")
+            if len(a) % 50 == len(b) % 50 and (k, i) != (o, j) and x and y and min(len(x), len(y)) / max(len(x), len(y)) >= 0.3:
+                found = 0.7 * difflib.SequenceMatcher(None, x, y).ratio() + 0.3 * len(set(x) & set(y)) / len(set(x) | set(y))
+                want += [(k, o, round(found, 6))] if found > 0.6 else []
+    assert sorted(map(tuple, QUERIES["similarity_join"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) >= 6
