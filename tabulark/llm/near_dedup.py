@@ -19,8 +19,8 @@ matrix products, and a spanning forest of the links leaves the task instead of t
 group is ever a row.
 
 Defined cases: null and empty texts have no shingles and stand alone; fewer words than a shingle make one shingle;
-null ids take part and never name a class unless nothing else does; repeated rows share a class and are kept or
-dropped alike; an empty table gives an empty result; columns other than doc_id and text are not read.
+null ids take part and never name a class unless nothing else does; repeated rows with an id share a class and are
+kept or dropped alike; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabulark.llm.common import Scratch, WordHashes, _batch, lower_words_of, shingles, sub_batches
@@ -238,8 +239,9 @@ def verified_links(scratch: Scratch, groups: DataFrame, percent: int) -> DataFra
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, list_bound: int = 50) -> DataFrame:
-    """doc_id, n_shingles, key, component_id, kept for every row of `docs`. Texts are linked when
-    100 |A & B| >= percent |A | B| for their sets of `size`-word shingles."""
+    """doc_id, n_shingles, key, component_id, kept, chosen for every row of `docs`. Texts are linked when
+    100 |A & B| >= percent |A | B| for their sets of `size`-word shingles. Of the kept rows of a class, `chosen` marks
+    those of the smallest key."""
     scratch = Scratch(docs.sparkSession)
     shared = least_shared(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -274,10 +276,11 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     classes = components(scratch, links, "classes")
     named = nodes.join(classes, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "key").alias("class"))
     named = scratch.write(named, "named")
-    lowest = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = sketches.select("doc_id", "n", "key").join(named.join(lowest, "class").select("key", "component_id"), "key", "left")
+    lowest = named.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key"))["key"].alias("head"))
+    out = sketches.select("doc_id", "n", "key").join(named.join(lowest, "class").select("key", "component_id", (F.col("key") == F.col("head")).alias("head")), "key", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "key", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(own)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "key", own.alias("component_id"), kept.alias("kept"), (kept & ((F.col("n") == 0) | F.col("head"))).alias("chosen"))
 
 
 def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched: DataFrame, size: int, percent: int, shared: int, list_bound: int, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
@@ -329,9 +332,38 @@ def _frequent_edges(scratch: Scratch, docs: DataFrame, nodes: DataFrame, touched
     return list_pairs(rare, shared, percent).unionByName(stars)
 
 
+def with_keys(docs: DataFrame, size: int) -> DataFrame:
+    """n, key, row: the set size and name of each row's text, and the row."""
+
+    def run(batches):
+        known = WordHashes()
+        for whole in batches:
+            for part in sub_batches(whole, 4_000_000):
+                sets = [shingles(known.of(lower_words_of(text)), size) for text in part.column(0).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), part.column(1)], names=["n", "key", "row"])
+
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return packed.mapInArrow(run, T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), packed.schema["row"]]))
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, whose document is the smallest id of its class. Of several rows with one id
-    all go if one of them is a copy of a smaller id, and all stay otherwise."""
-    found = near_duplicate_classes(docs, size, percent)
-    gone = found.where(~F.col("kept")).select(as_id(F.col("doc_id")).alias("__gone_id")).distinct()
-    return docs.join(gone, as_id(docs["doc_id"]) == gone["__gone_id"], "left_anti")
+    """The rows of `docs`, all columns, that stand for their class: those of the smallest id, and of several texts with
+    that id those of the smallest key. Each row is judged by its own text, so that one id (or no id) on several texts
+    loses the copies only. Repeated rows of one id stay together; of copies without any id one stays."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(near_duplicate_classes(docs, size, percent).select(as_id(F.col("doc_id")).alias("__id"), "n_shingles", "key", "chosen"), "judged")
+    fates = found.groupBy("__id").agg(F.bool_or("chosen").alias("stays"), F.bool_or(~F.col("chosen")).alias("goes"), F.count_if(F.col("n_shingles") > 0).alias("n"))
+    bare = (F.col("__id") == NO_ID) & (F.col("n") > 1)
+    fates = scratch.write(fates.where(F.col("goes") | bare).select("__id", (F.col("stays") & (F.col("goes") | bare)).alias("mixed")), "fates")
+    clear = docs.join(fates.select("__id"), as_id(docs["doc_id"]) == F.col("__id"), "left_anti")
+    mixed = fates.where("mixed").select("__id")
+    if not mixed.limit(1).count():
+        return clear
+    rows = with_keys(docs.join(mixed, as_id(docs["doc_id"]) == F.col("__id"), "left_semi"), size)
+    gone = found.where(~F.col("chosen")).select("__id", F.col("key").alias("__key")).distinct()
+    rows = rows.join(gone, (as_id(F.col("row.doc_id")) == F.col("__id")) & (F.col("key") == F.col("__key")), "left_anti")
+    none = F.col("row.doc_id").isNull() & (F.col("n") > 0)
+    first = rows.where(none).groupBy("key").agg(F.min_by("row", "row.text").alias("row"))
+    rows = rows.where(~none).select("row").unionByName(first.select("row"))
+    return clear.unionByName(rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
