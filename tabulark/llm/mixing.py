@@ -1,11 +1,11 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier fitted on a labelled table gives every document posteriors p over domains. Rates r >= lower are then
-fitted so that the expected token totals sum_i r_i t_i p_ik match the targets T_k: projected gradient on
+fitted so that the expected token totals sum_i r_i t_i p_ik match the targets T_k: the minimum of
   1/2 sum_k (sum_i r_i t_i p_ik - T_k)^2 / (T_k T) + mu/2 sum_i (t_i / T) (r_i - 1)^2,   T = sum_k T_k,
-where the second term makes the answer unique and keeps rates near one. A step needs the K domain totals alone,
-which are summed where the documents are. A document's rate follows from its posteriors and the totals of all
-steps so far, so steps carry K numbers and no table of rates is passed on.
+where the second term makes the answer unique and keeps rates near one. Newton's method finds the K residuals at the
+minimum from sums taken where the documents are. A document's rate follows from its posteriors and these residuals,
+so no table of rates is passed on.
 
 Defined cases: null text counts as empty; a document without words has rate 1 (or `lower`, if larger) and adds
 nothing; a domain without mass cannot be reached and is left out of the targets; without labels all documents
@@ -14,6 +14,8 @@ share one uniform posterior; repeated rows get equal rates; an empty table stays
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,36 +97,57 @@ def _posterior_matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(slim: DataFrame, targets: np.ndarray, moment: np.ndarray, mu: float, lower: float, rounds: int, tol: float) -> tuple[list[np.ndarray], float]:
-    """The residuals of each step and the step length. `slim` has tokens and p; every step is one pass that
-    sums K numbers per task."""
+def fit_rates(slim: DataFrame, targets: np.ndarray, mu: float, lower: float, rounds: int, tol: float) -> tuple[list[np.ndarray], float]:
+    """The residuals e at the optimum as the only step, and the step length 1 / mu, for `rates`. At the optimum
+    r = max(lower, 1 - p e / mu), and e minimizes a convex function of K numbers. Damped Newton steps go on until e
+    and the residuals of its rates differ by `tol` at most; each try is one pass that sums 1 + K + K * K numbers a task."""
     k, total = len(targets), float(targets.sum())
-    scale = np.where(targets > 0, targets, np.inf)
-    norm = moment / np.sqrt(np.outer(scale, scale)) if total else np.zeros((k, k))
-    eta = 1 / (float(np.linalg.eigvalsh(norm).max(initial=0.0)) + mu + 1e-12)
-    steps: list[np.ndarray] = []
-
-    def totals(batches):
-        done = np.zeros(k)
-        for b in batches:
-            p = _posterior_matrix(b.column(1), k)
-            done += (b.column(0).to_numpy() * rates(p, steps, mu, eta, lower)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(k)), pa.array(done)], names=["k", "t"])
-
-    for _ in range(rounds):
-        found = slim.mapInArrow(totals, "k long, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()
-        now = np.zeros(k)
+    at = np.zeros(k)
+    if total <= 0:
+        return [at], 1 / mu
+    reach = np.flatnonzero(targets > 0)
+
+    def look(e: np.ndarray):
+        def sums(batches):
+            value, totals, square = 0.0, np.zeros(k), np.zeros((k, k))
+            for b in batches:
+                t, p = b.column(0).to_numpy().astype(float), _posterior_matrix(b.column(1), k)
+                s, r = p @ e, rates(p, [e], mu, 1 / mu, lower)
+                edge = mu * (1 - lower)
+                low = np.minimum(s, edge)
+                value += t @ (low * low / (2 * mu) - low - lower * (s - low))
+                totals += (t * r) @ p
+                square += (p * (t * (s < edge))[:, None]).T @ p
+            numbers = np.concatenate([[value], totals, square.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(numbers))), pa.array(numbers)], names=["k", "t"])
+
+        found = slim.mapInArrow(sums, "k long, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()
+        now = np.zeros(1 + k + k * k)
         for row in found:
             now[row.k] = row.t
-        e = (now - targets) / scale
-        if steps and np.abs(e - steps[-1]).max() < tol:
-            break
-        steps.append(e)
-    return steps, eta
+        value = (now[0] + (targets * (e * e / 2 + e)).sum()) / total
+        return value, (targets * (1 + e) - now[1 : k + 1])[reach] / total, now[k + 1 :].reshape(k, k)[np.ix_(reach, reach)] / (mu * total)
+
+    share = targets[reach] / total
+    value, slope, square = look(at)
+    n = 1
+    while np.abs(slope / share).max() > tol and n < rounds:
+        step, part = np.zeros(k), 1.0
+        step[reach] = np.linalg.solve(np.diag(share) + square, -slope)
+        gain = float(slope @ step[reach])
+        while n < rounds:
+            tried, n = look(at + part * step), n + 1
+            if tried[0] <= value + 1e-4 * part * gain + 1e-12 * abs(value) or np.abs(tried[1] / share).max() <= tol or part < 1e-9:
+                at, (value, slope, square) = at + part * step, tried
+                break
+            part /= 2
+    if np.abs(slope / share).max() > tol:
+        warnings.warn(f"mixing rates: {np.abs(slope / share).max():.2e} from the optimum after {n} passes", stacklevel=2)
+    return [at], 1 / mu
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, temperature: float = 0.7, budget: float | None = None,
-            keep_text: bool = True, mu: float = 0.02, lower: float = 0.0, rounds: int = 40, tol: float = 1e-4) -> DataFrame:
+            keep_text: bool = True, mu: float = 0.001, lower: float = 0.0, rounds: int = 300, tol: float = 1e-7) -> DataFrame:
     """`docs` with _tokens, _p, _rate and _copies.
 
     `weights` are target shares of the domains; by default shares rise as mass ** temperature. `budget` is the
@@ -136,24 +159,19 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: list[float] | None = No
     scored = with_posteriors(docs, model).withColumn("_draw", draw)
     scored = scratch.write(scored if keep_text else scored.drop("text"), "scored")
     slim = scored.where("_tokens > 0").select("_tokens", "_p")
-    k = len(DOMAINS)
-    names = [(i, j) for i in range(k) for j in range(i, k)]
     t, p = F.col("_tokens").cast("double"), F.col("_p")
-    sums = slim.agg(*[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(k)], *[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i, j in names]).first()
-    mass, moment = np.array(sums[:k]), np.zeros((k, k))
-    for (i, j), v in zip(names, sums[k:]):
-        moment[i, j] = moment[j, i] = v
+    mass = np.array(slim.agg(*[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first())
     share = np.array(weights, float) if weights else np.where(mass > 0, np.maximum(mass, 1e-300) ** temperature, 0.0)
     share = np.where(mass > 0, share, 0.0)
     share = share / share.sum() if share.sum() > 0 else share
     if budget is None:
         budget = float(mass.sum()) if lower < 1 else max((m / s for m, s in zip(mass, share) if s > 0), default=0.0)
-    steps, eta = fit_rates(slim, share * budget, moment, mu, lower, rounds, tol)
+    steps, eta = fit_rates(slim, share * budget, mu, lower, rounds, tol)
 
     def apply(batches):
         for whole in batches:
             for b in sub_batches(whole):
-                q = _posterior_matrix(b.column(b.schema.get_field_index("_p")), k)
+                q = _posterior_matrix(b.column(b.schema.get_field_index("_p")), len(DOMAINS))
                 r = np.where(b.column(b.schema.get_field_index("_tokens")).to_numpy() > 0, rates(q, steps, mu, eta, lower), max(1.0, lower))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=[*b.schema.names, "_rate"])
 

@@ -1,8 +1,9 @@
 """Corpus operators do the whole of their job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tabulark.llm import near_dedup
+from tabulark.llm import mixing, near_dedup
 
 
 def text(name, changed=()):
@@ -18,3 +19,17 @@ def test_each_row_is_judged_by_its_own_text(spark):
     kept = sorted(map(str, [(r.doc_id, r.text) for r in got.collect()]))
     options = [[(1, a), (5, b), (5, None), (None, c), (None, ""), (None, d), (7, e), (8, "Same words"), (8, "Same words")] for e in (text("e"), text("e", [50]))]
     assert kept in [sorted(map(str, x)) for x in options]
+
+
+def test_default_mixing_meets_targets(spark, sf):
+    for temperature, lower in ((0.7, 0.0), (0.9, 1.0)):
+        got = mixing.mixing_rates(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), temperature=temperature, lower=lower).toPandas()
+        p, t = got[[f"p_{k}" for k in mixing.DOMAINS]].to_numpy(), got.n_tokens.to_numpy()
+        mass = (t[:, None] * p).sum(0)
+        share = mass**temperature / (mass**temperature).sum()
+        target = share * (mass.sum() if lower < 1 else (mass / share).max())
+        off = ((got.rate * t).to_numpy()[:, None] * p).sum(0) / target - 1
+        print("off target", temperature, lower, np.abs(off).max())
+        # The optimum: rates follow from the residuals.
+        assert np.abs(got.rate - np.maximum(lower, 1 - p @ off / 0.001))[t > 0].max() < 1e-3
+        assert lower or np.abs(off).max() < 0.01
