@@ -4,7 +4,8 @@ The builder knows void and raw-text elements, the end tags that HTML lets author
 body, and misnested end tags. The renderer applies visibility (elements that are never shown, `hidden`, inline
 `display:none`, `visibility:hidden` with its inherited override, closed `details` and `dialog`), collapses white
 space as browsers do, separates blocks by line breaks and paragraphs by an empty line, marks and indents list
-items, keeps preformatted text, and aligns the cells of each table in columns.
+items, keeps preformatted text, and aligns the cells of each table in columns, colspan and rowspan included.
+Visibility is inherited by tables, row groups, rows and cells; `collapse` counts as `hidden`.
 
 Defined cases: null html gives an empty text; markup that is cut off or never closed is closed at the end; text
 without markup is rendered as one block; tables nested deeper than MAX_TABLES and columns wider than MAX_PAD
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabulark.llm.common import sub_batches
 
-MAX_TABLES, MAX_PAD = 20, 60
+MAX_TABLES, MAX_PAD, MAX_GAP, MAX_ROWS = 20, 60, 10_000, 65_534
 
 # Fixed values of the HTML standard: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,10 +255,10 @@ class Writer:
         return lines
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
-    """Lines of the visible text of a tree, by a walk with its own stack."""
+def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:
+    """Lines of the visible text of a tree, by a walk with its own stack; `visible` is what the root inherits."""
     out = Writer()
-    stack: list[tuple] = [("enter", root, True, False, 0)]
+    stack: list[tuple] = [("enter", root, visible, False, 0)]
     counters: list[list[int]] = []
     while stack:
         step, node, visible, pre, level = stack.pop()
@@ -294,9 +295,10 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 out.br()
             continue
         if tag == "table" and depth < MAX_TABLES and node is not root:
-            if visible:
+            lines = _table(node, depth + 1, visible)
+            if visible or lines:
                 out.block(True)
-                out.verbatim(_table(node, depth + 1))
+                out.verbatim(lines)
                 out.block(True)
             continue
         block = (tag in BLOCK and "inline" not in style.get("display", "")) or style.get("display") in ("block", "flex", "grid", "list-item")
@@ -357,48 +359,77 @@ def _span(node: Node, name: str) -> int:
     return min(1000, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 5 else 1
 
 
-def _table(table: Node, depth: int) -> list[str]:
-    """Caption and rows with aligned columns; a cell with several lines takes several lines of its row."""
+def _rows_of(node: Node) -> int:
+    """Rows that a cell takes; 0 means to the end of its row group."""
+    value = node.attrs.get("rowspan", "1")
+    return min(MAX_ROWS, int(value) or MAX_ROWS) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
+def _shown(node: Node, visible: bool) -> bool:
+    own = _style(node).get("visibility")
+    return visible if own is None else own not in ("hidden", "collapse")
+
+
+def _table(table: Node, depth: int, visible: bool) -> list[str]:
+    """Caption and rows with aligned columns; a cell with several lines takes several lines of its row. Columns that a
+    cell above spans stay free, within its row group. Hidden cells keep their column."""
     above, rows = [], []
-    stack = [k for k in reversed(table.kids)]
+    taken: dict[int, tuple[int, int]] = {}  # column -> first row that is free again, first column behind the cell
+    group = None
+    stack = [(k, table, visible) for k in reversed(table.kids)]
     while stack:
-        k = stack.pop()
+        k, parent, seen = stack.pop()
         if isinstance(k, str):
             if k.strip():
-                above += render(_wrap(k), depth)
+                above += render(_wrap(k), depth, seen)
         elif _gone(k):
             continue
         elif k.tag in ("thead", "tbody", "tfoot"):
-            stack.extend(reversed(k.kids))
+            seen = _shown(k, seen)
+            stack.extend((kid, k, seen) for kid in reversed(k.kids))
         elif k.tag == "tr":
-            row = []
+            if parent is not group:
+                group = parent
+                taken.clear()
+            seen, row, at = _shown(k, seen), [], 0
             for cell in k.kids:
                 if isinstance(cell, str):
-                    if cell.strip():
-                        row.append((render(_wrap(cell), depth), 1))
-                elif not _gone(cell):
-                    row.append((render(_wrap(*cell.kids) if cell.tag in ("td", "th") and not cell.attrs else _wrap(cell), depth), _span(cell, "colspan")))
+                    if not cell.strip():
+                        continue
+                    lines, span, down = render(_wrap(cell), depth, seen), 1, 1
+                elif _gone(cell):
+                    continue
+                else:
+                    lines = render(_wrap(*cell.kids) if cell.tag in ("td", "th") and not cell.attrs else _wrap(cell), depth, seen)
+                    span, down = _span(cell, "colspan"), _rows_of(cell)
+                while at in taken and taken[at][0] > len(rows):
+                    at = taken[at][1]
+                row.append((at, lines, span))
+                if down > 1:
+                    for c in range(at, at + span):
+                        taken[c] = (len(rows) + down, at + span)
+                at += span
             rows.append(row)
         else:
-            above += render(_wrap(k), depth)
+            above += render(_wrap(k), depth, seen)
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             if span == 1:
                 w = max(map(_width, lines), default=0)
                 if w <= MAX_PAD:
                     widths[at] = max(widths.get(at, 0), w)
-            at += span
     out = list(above)
     for row in rows:
-        for n in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, ""
-            for i, (lines, span) in enumerate(row):
+        for n in range(max((len(lines) for _, lines, _ in row), default=0)):
+            end, line = 0, ""
+            for i, (at, lines, span) in enumerate(row):
+                if at > end:
+                    line += " " * min(MAX_GAP, sum(widths.get(c, 0) for c in range(end, at)) + 2 * (at - end))
                 text = lines[n] if n < len(lines) else ""
                 room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
                 line += text + (" " * (max(0, room - _width(text)) + 2) if i + 1 < len(row) else "")
-                at += span
+                end = at + span
             out.append(line.rstrip(" "))
     return out
 

@@ -1,9 +1,10 @@
 """Corpus operators do the whole of their job."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tabulark.llm import mixing, near_dedup
+from tabulark.llm import html_text, mixing, near_dedup
 
 
 def text(name, changed=()):
@@ -33,3 +34,22 @@ def test_default_mixing_meets_targets(spark, sf):
         # The optimum: rates follow from the residuals.
         assert np.abs(got.rate - np.maximum(lower, 1 - p @ off / 0.001))[t > 0].max() < 1e-3
         assert lower or np.abs(off).max() < 0.01
+
+
+HIDDEN, SHOWN = "style='visibility:hidden'", "style='visibility:visible'"
+TABLES = {
+    "<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>dd<td>e</table>": "aa  b   c\n    dd  e",
+    "<table><tr><td>a<td rowspan=2>bb<td>c<tr><td>dd<td>e</table>": "a   bb  c\ndd      e",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</tbody><tbody><tr><td>e<td>f</tbody></table>": "a  b\n   c\n   d\ne  f",
+    "<table><tr><td rowspan=2 colspan=2>wide<td>b<tr><td>c<tr><td>x<td>y<td>z</table>": "wide  b\n      c\nx  y  z",
+    f"<table {HIDDEN}><tr><td>no<td {SHOWN}>yes<tr><td>no</table>": "yes",
+    f"<div {HIDDEN}>no<table><tr {SHOWN}><td>a<td>b<tr><td>no</table></div>": "a  b",
+    f"<table><thead {HIDDEN}><tr><td>no<tbody><tr style='visibility:collapse'><td>no<tr><td>a</table>": "a",
+    f"<table><tr {HIDDEN}><td>no<td {SHOWN}>yes</table>": "yes",
+    f"x<table {HIDDEN}><tr><td>no</table>": "x",
+}
+
+
+@pytest.mark.parametrize("page", TABLES)
+def test_tables_span_rows_and_inherit_visibility(page):
+    assert html_text.html_to_text(page).replace("\n\n", "\n").strip() == TABLES[page]
