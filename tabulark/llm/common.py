@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is spark.checkpoint.dir; where that is unset,
-    as in local tests, a temporary folder takes its place for the rest of the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and the master is local,
+    as in tests, a temporary folder takes its place for the rest of the session; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -62,30 +67,66 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ as UTF-8, as they stand. bytes.split() parts at these six bytes only."""
-    return text.encode().split() if text else []
+def text_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of a string array, A-Z lower-cased if asked for: a code per word, the distinct words,
+    and where each text's words begin, with their total at the end. Null texts have no words."""
+    texts = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = split.flatten().dictionary_encode()
+    codes, at = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # beside leading and trailing space
+    if empty >= 0:
+        real = codes != empty
+        at = np.concatenate([[0], np.cumsum(real)])[at]
+        codes = codes[real]
+    return codes, coded.dictionary, at
 
 
-def lower_words_of(text: str | None) -> list[bytes]:
-    """The words after lower-casing A-Z; bytes.lower() leaves other letters alone."""
-    return text.encode().lower().split() if text else []
+def string_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit multilinear hashes of strings: a fixed multiplier for each place of a byte, then a finalizer."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    sizes, begins = np.diff(ends), ends[:-1] - ends[0]
+    place = (np.arange(len(data)) - np.repeat(begins, sizes)).astype(np.uint64)
+    sums = np.zeros(len(words), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        terms = (data.astype(np.uint64) + np.uint64(1)) * (mix((place + np.uint64(1)) * _M1) | np.uint64(1))
+        sums[full] = np.add.reduceat(terms, begins[full])
+    return mix(sums + _M1)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered; emptied when it has grown to `most` words."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per lower-cased word of a string array, and where each text's words begin (one more at the end)."""
+    codes, words, at = text_words(texts)
+    return string_hashes(words)[codes], at
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library keeps its own counsel
+    _trim = None
 
-    def of(self, words: Iterable[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64)
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function that gives freed memory back to the system when its partition ends: Python workers live
+    on, and what one stage has freed would otherwise stay with them while others need it."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        release_memory()
+
+    return inner
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -126,7 +167,7 @@ def arrow_rows(fn, schema: pa.Schema):
             if out:
                 yield _batch(out, schema)
 
-    return run
+    return tidy(run)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

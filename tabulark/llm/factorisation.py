@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.common import WordHashes, arrow_rows, fold, sub_batches
+from tabulark.llm.common import arrow_rows, fold, string_hashes, sub_batches, tidy
 from tabulark.llm.textstats import text_stats
 
 WORD_DIMS, BINS = 8192, 8
@@ -44,7 +44,7 @@ DIMS = WORD_DIMS + BINS * len(EDGES)
 _EDGES = [np.array(v) for v in EDGES.values()]
 
 
-def features(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct places and their values."""
     s = text_stats(text)
     n, lines = max(1, s.n_words), max(1, s.n_lines)
@@ -55,7 +55,7 @@ def features(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     places = [WORD_DIMS + BINS * i + int(np.searchsorted(e, v, "right")) for i, (e, v) in enumerate(zip(_EDGES, values, strict=True))]
     if not s.distinct:
         return np.array(places, np.int32), np.ones(len(places), np.float32)
-    at = (hashes.of(s.distinct) % np.uint64(WORD_DIMS)).astype(np.int64)
+    at = (string_hashes(pa.array(s.distinct, pa.binary())) % np.uint64(WORD_DIMS)).astype(np.int64)
     tf = np.bincount(at, s.counts, WORD_DIMS)
     ids = np.flatnonzero(tf)
     x = np.log1p(tf[ids])
@@ -115,9 +115,8 @@ FEATURE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("ids",
 
 
 def _feature_rows(columns: list[list]):
-    hashes = WordHashes()
     for doc_id, text, y in zip(*columns):
-        ids, x = features(text, hashes)
+        ids, x = features(text)
         yield doc_id, y, ids.tobytes(), x.tobytes()
 
 
@@ -137,10 +136,9 @@ def scorer(model: dict):
     """A mapInArrow function: (id, text) batches to (id, score) batches."""
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
-            for part in sub_batches(whole):
-                rows = [features(t, hashes) for t in part.column(1).to_pylist()]
+            for part in sub_batches(whole, 4_000_000):
+                rows = [features(t) for t in part.column(1).to_pylist()]
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 z, _ = logits(model, np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), starts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(z.astype(float)))], names=[part.schema.field(0).name, "score"])
@@ -152,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """doc_id, held_out, score, predicted for every row of `docs`."""
     model = fit(docs, labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(scorer(model), "doc_id long, score double")
+    scored = texts.mapInArrow(tidy(scorer(model)), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -170,4 +168,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
                 kept = [s for b in score([pa.RecordBatch.from_arrays([ids, part.column(at)], names=["i", "text"])]) for s in b.column(1).to_pylist()]
                 yield part.filter(pa.array([s >= threshold for s in kept]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.common import Scratch, WordHashes, _batch, fold, lower_words_of, sub_batches
+from tabulark.llm.common import Scratch, _batch, fold, string_hashes, sub_batches, text_words, tidy, word_hashes
 
 #: The end token's hash; a word's hash is an xxh3 value and equals it with chance 2**-64.
 END = np.int64(0x7E3D5A1B9C2F4E61)
 TOP = 1024
 BUCKETS = 64  # of context counts, by bit length
-BATCH_BYTES, WORDS = 6_000_000, 150_000  # text and remembered words of a worker at a time
+BATCH_BYTES = 6_000_000  # text of a worker at a time
 VOCABULARY_LIMIT = 12_000_000  # words of 12 bytes each in every Python worker
 PACKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 PACKED_DDL = "bucket long, batch long, kind int, a binary, b binary"
@@ -42,11 +42,6 @@ RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_s
 META, TRAIN, HELD, PART = range(4)
 
 
-def token_hashes(text: str | None, known: WordHashes) -> np.ndarray:
-    words = known.of(lower_words_of(text)).view(np.int64)
-    return np.append(words, END)
-
-
 def bit_length(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, 0)
 
@@ -63,29 +58,29 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """word (hash), c: token counts of `docs`, pre-aggregated in each task."""
 
     def run(batches):
-        known, counts = WordHashes(), Counter()
+        def merged():
+            keys, place = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64)
 
-        def flush():
-            keys = np.fromiter(counts, np.int64, len(counts))
-            values = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
+        def flush(keys, values):
             for at in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(values[at : at + 100_000])], names=["word", "c"])
 
+        seen = []
         for whole in batches:
             for part in sub_batches(whole):
-                words, ends = Counter(), 0
-                for text in part.column(0).to_pylist():
-                    words.update(lower_words_of(text))
-                    ends += 1
-                for w, n in zip(known.of(words).view(np.int64).tolist(), words.values()):
-                    counts[w] += n
-                counts[int(END)] += ends
-                if len(counts) > 1_000_000:
-                    yield from flush()
-        yield from flush()
+                codes, words, at = text_words(part.column(0))
+                counts = np.bincount(codes, minlength=len(words))
+                used = counts > 0  # the dictionary may hold the empty word
+                seen.append((np.append(string_hashes(words).view(np.int64)[used], END), np.append(counts[used], len(at) - 1)))
+                if sum(len(k) for k, _ in seen) > 1_000_000:
+                    seen = [merged()]
+                    if len(seen[0][0]) > 500_000:
+                        yield from flush(*seen.pop())
+        if seen:
+            yield from flush(*merged())
 
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -177,12 +172,12 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def _bigrams(texts: list[str | None], known: WordHashes, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+def _bigrams(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
     """Ranks of contexts and words and the text's number, for every token of a batch."""
-    hashes = [token_hashes(t, known) for t in texts]
-    sizes = np.array([len(h) for h in hashes])
-    w = vocabulary.place(np.concatenate(hashes))
+    codes, words, at = text_words(texts)
+    sizes = np.diff(at) + 1
     end = vocabulary.place(np.array([END]))[0]
+    w = np.insert(vocabulary.place(string_hashes(words).view(np.int64))[codes], at[1:], end)
     h = np.empty_like(w)
     h[1:], h[0] = w[:-1], end  # the token before a text's first is an end token too
     return h, w, np.repeat(np.arange(len(texts)), sizes), sizes
@@ -239,10 +234,10 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
 
     # First pass over the texts: dense counts, and held-out statistics of all other bigram types.
     def count(batches):
-        known, v, dense = WordHashes(WORDS), shared.value, np.zeros(top * top, np.int64)
+        v, dense = shared.value, np.zeros(top * top, np.int64)
         for whole in batches:
             for part in sub_batches(whole, BATCH_BYTES):
-                h, w, _, _ = _bigrams(part.column(0).to_pylist(), known, v)
+                h, w, _, _ = _bigrams(part.column(0), v)
                 both = (h < top) & (w < top)
                 dense += np.bincount(h[both] * top + w[both], minlength=top * top)
                 key = (h[~both] << 32) | w[~both]
@@ -272,8 +267,8 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
             yield _stats(cells(number, v.counts[cell // top], v.counts[cell % top], total, size))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), -1)), pa.array(cell), pa.array(np.zeros(len(cell), np.int64)), pa.array(number.astype(float))], names=["b", "q1", "q2", "w"])
 
-    met = train.select("text").mapInArrow(count, "bucket int, pairs binary").repartition(buckets, "bucket")
-    stats = scratch.write(met.mapInArrow(gather, "b long, q1 long, q2 long, w double").groupBy("b", "q1", "q2").agg(F.sum("w").alias("w")), "stats")
+    met = train.select("text").mapInArrow(tidy(count), "bucket int, pairs binary").repartition(buckets, "bucket")
+    stats = scratch.write(met.mapInArrow(tidy(gather), "b long, q1 long, q2 long, w double").groupBy("b", "q1", "q2").agg(F.sum("w").alias("w")), "stats")
     found = stats.toPandas()  # bounded: the classes of `cells`, and TOP * TOP dense counts
     dense = np.zeros(max(1, top * top))
     at = found["b"] == -1
@@ -285,13 +280,13 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
     # Second pass: texts give their statistics and the scores of what is known on the spot; other bigrams meet
     # their counts in a bucket, and sums per text go back to the batch they came from, packed both ways.
     def emit(batches):
-        known, v = WordHashes(WORDS), shared.value
+        v = shared.value
         lam, table = model.value
         counted = np.append(v.counts, np.zeros(1, v.counts.dtype))  # place -1 is an unknown word
         for whole in batches:
             for part in sub_batches(whole, BATCH_BYTES):
                 doc_ids, texts, held_out = (c.to_pylist() for c in part.columns)
-                h, w, doc, sizes = _bigrams(texts, known, v)
+                h, w, doc, sizes = _bigrams(part.column(1), v)
                 c_h, c_w = counted[h], counted[w]
                 base = np.bincount(doc, np.log10((c_w + 1.0) / (total + size + 1)), len(texts))
                 n_known = np.bincount(doc, c_w > 0, len(texts)).astype(np.int64)
@@ -338,7 +333,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
         for n, docs_, batch in zip(sizes, who, names):
             sums = np.bincount(docs_, lp[at : at + n])
             some = np.unique(docs_)
-            yield _batch([(0, batch, PART, planes(some.astype(np.uint32)), sums[some].astype(np.float32).tobytes())], PACKED)
+            yield _batch([(0, batch, PART, planes(some.astype(np.uint32)), sums[some].tobytes())], PACKED)
             at += n
 
     def settle(batches):
@@ -356,13 +351,13 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, held: int = 2, vocabula
             ids, missing, out, sizes, n_known, base, local = (np.frombuffer(found[0][i:j], t) for i, j, t in zip(cut, cut[1:], (np.int64, bool, bool, np.int64, np.int64, float, float)))
             sums = np.zeros(n)
             for first, second in parts.get(batch, ()):
-                sums[from_planes(first, np.uint32)] += np.frombuffer(second, np.float32)
+                sums[from_planes(first, np.uint32)] += np.frombuffer(second, float)
             full = local + sums / len(found)  # batches of equal content share a name, and each sent all its parts
             for _ in found:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(out), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(full)], schema=RESULT)
 
-    met = docs.mapInArrow(emit, PACKED_DDL).repartition(buckets, "bucket").mapInArrow(score, PACKED_DDL)
-    rows = met.repartition(max(8, buckets // 2), "batch").mapInArrow(settle, RESULT_DDL)
+    met = docs.mapInArrow(tidy(emit), PACKED_DDL).repartition(buckets, "bucket").mapInArrow(tidy(score), PACKED_DDL)
+    rows = met.repartition(max(8, buckets // 2), "batch").mapInArrow(tidy(settle), RESULT_DDL)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -379,12 +374,12 @@ def _score_by_joins(scratch: Scratch, docs: DataFrame, counts: DataFrame) -> Dat
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("w", pa.int64()), ("k", pa.int64())])
 
     def spread(batches):
-        known = WordHashes()
         for whole in batches:
             for part in sub_batches(whole, 4_000_000):
-                for d, t, o in zip(*(c.to_pylist() for c in part.columns)):
+                hashes, starts = word_hashes(part.column(1))
+                for i, (d, t, o) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
                     uid = int(np.uint64(xxhash.xxh3_64_intdigest(f"{d}|{t or ''}".encode())).view(np.int64))
-                    tokens = token_hashes(t, known).tolist()
+                    tokens = [*hashes[starts[i] : starts[i + 1]].view(np.int64).tolist(), int(END)]
                     pairs = Counter(zip([int(END), *tokens], tokens))
                     rows = [(uid, d, o, h, w, k) for (h, w), k in pairs.items()]
                     for at in range(0, len(rows), 50_000):

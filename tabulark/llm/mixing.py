@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulark.llm.common import Scratch, WordHashes, sub_batches
+from tabulark.llm.common import Scratch, sub_batches, tidy
 from tabulark.llm.factorisation import DIMS, features, fit
 from tabulark.llm.factorisation import rounds as training_rounds
 
@@ -67,11 +67,10 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with _tokens (words) and _p, the posterior of each domain."""
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
-            for part in sub_batches(whole):
+            for part in sub_batches(whole, 4_000_000):
                 texts = part.column(0).to_pylist()
-                rows = [features(t, hashes) for t in texts]
+                rows = [features(t) for t in texts]
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 ids, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
                 p = softmax(model["bias"] + np.add.reduceat(model["w"][ids] * x[:, None], starts).astype(float))
@@ -82,7 +81,7 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     schema = docs.schema
     out = docs.select(F.col("text").cast("string").alias("_text"), *kept)
     full = T.StructType([*schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
-    return out.mapInArrow(run, full)
+    return out.mapInArrow(tidy(run), full)
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray], mu: float, eta: float, lower: float) -> np.ndarray:
@@ -175,7 +174,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: list[float] | None = No
                 r = np.where(b.column(b.schema.get_field_index("_tokens")).to_numpy() > 0, rates(q, steps, mu, eta, lower), max(1.0, lower))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=[*b.schema.names, "_rate"])
 
-    out = scored.mapInArrow(apply, T.StructType([*scored.schema.fields, T.StructField("_rate", T.DoubleType())]))
+    out = scored.mapInArrow(tidy(apply), T.StructType([*scored.schema.fields, T.StructField("_rate", T.DoubleType())]))
     return out.withColumn("_copies", F.floor(F.col("_rate") + F.col("_draw")).cast("long")).drop("_draw")
 
 

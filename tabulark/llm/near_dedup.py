@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabulark.llm.common import Scratch, WordHashes, _batch, lower_words_of, shingles, sub_batches
+from tabulark.llm.common import Scratch, _batch, shingles, sub_batches, tidy, word_hashes
 
 SKETCH, MISS = 16, 2e-6
 NO_ID = -(2**63)
@@ -69,17 +69,17 @@ def shingle_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
     order (all of them for None)."""
 
     def run(batches):
-        known = WordHashes()
         for whole in batches:
             for part in sub_batches(whole, 4_000_000):
+                hashes, at = word_hashes(part.column(1))
                 out = []
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                    s = shingles(known.of(lower_words_of(text)), size)
-                    out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:keep].tobytes()))
+                for i, doc_id in enumerate(part.column(0).to_pylist()):
+                    s = shingles(hashes[at[i] : at[i + 1]], size)
+                    out.append((doc_id, len(s), xxhash.xxh3_128_digest(s), s[:keep].tobytes()))
                 yield _batch(out, SETS)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, SET_DDL)
+    return slim.mapInArrow(tidy(run), SET_DDL)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -116,7 +116,7 @@ def list_pairs(entries: DataFrame, shared: int, percent: int) -> DataFrame:
                     yield _batch(sorted(out), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     lists = entries.groupBy("value").agg(F.collect_list(F.struct("key", "n", "sketch")).alias("members")).where(F.size("members") > 1)
-    return lists.select("members").mapInArrow(run, "a binary, b binary").distinct()
+    return lists.select("members").mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -336,15 +336,15 @@ def with_keys(docs: DataFrame, size: int) -> DataFrame:
     """n, key, row: the set size and name of each row's text, and the row."""
 
     def run(batches):
-        known = WordHashes()
         for whole in batches:
             for part in sub_batches(whole, 4_000_000):
-                sets = [shingles(known.of(lower_words_of(text)), size) for text in part.column(0).to_pylist()]
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                hashes, at = word_hashes(part.column(0))
+                sets = [shingles(hashes[i:j], size) for i, j in zip(at, at[1:])]
+                keys = [xxhash.xxh3_128_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), part.column(1)], names=["n", "key", "row"])
 
     packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), packed.schema["row"]]))
+    return packed.mapInArrow(tidy(run), T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), packed.schema["row"]]))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

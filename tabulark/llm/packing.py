@@ -15,80 +15,131 @@ once; an empty table gives an empty result; columns other than doc_id and text a
 
 from __future__ import annotations
 
+import json
 import math
-import re
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulark.llm.common import Scratch, _batch, range_bounds, range_bucket, sub_batches
+from tabulark.llm.common import Scratch, _batch, range_bounds, range_bucket, sub_batches, text_words, tidy
 
 END_ID = 1
 DIMS, BITS, TIE_BITS = 3, 10, 22
-#: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters are normalised by str.lower() alone, and the pattern sees them as the tokenizer does.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž]*")
+#: The vocabulary file's own rules, by which words can be taken apart outside the library.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: A character for which lower-casing alone may not be the normalizer's answer, or the opening of a special token.
+UNUSUAL = r"[^\x20-\x7e¡-įı-ňŊ-ž]|<\|"
 
 
 class WordTokenizer:
-    """Ids as the tokenizers library gives them, from remembered pieces. The pre-tokenizer's pieces never reach over
-    white space and a piece's ids do not depend on its neighbours, so each distinct word of a batch is taken apart
-    once, and each new piece is encoded once. Many pieces go to one call, parted by a digit: digits are pieces of
-    one character and one id, which no other piece contains. Texts beyond PLAIN, or with a special token's opening,
-    go to the library whole."""
+    """Ids as the tokenizers library gives them. For a file with the rules above: the pre-tokenizer's pieces never reach
+    over white space and a piece's ids do not depend on its neighbours, so each distinct word of a batch is taken apart
+    once, each distinct piece is looked up once, and new pieces go to the library's model, many to a call; a piece's last
+    token is the only one whose name has the word-end suffix. Words with UNUSUAL characters go to the library whole. For
+    files with other rules all texts do. Pieces are remembered in two generations of `most` pieces at most."""
 
-    def __init__(self, path: str, most: int = 150_000):
-        from tokenizers import Tokenizer
+    SUFFIX = "</w>"
 
-        self.library, self.pieces, self.most = Tokenizer.from_file(path), {}, most
+    def __init__(self, path: str, most: int = 80_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.young, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
         self.library.no_truncation()
-        self._forget()
-        self.gap = int(np.frombuffer(self.pieces["0"], "<u2")[0])
-
-    def _forget(self) -> None:
-        self.pieces.clear()
-        self.pieces.update((d, self._whole(d)) for d in "0123456789")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _encode(self, pieces: list[str], group: int = 500) -> None:
-        groups = [pieces[at : at + group] for at in range(0, len(pieces), group)]
-        for at in range(0, len(groups), 16):
-            some = groups[at : at + 16]
-            for ps, e in zip(some, self.library.encode_batch_fast([" 0 ".join(ps) for ps in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u2")
-                ends = (2 * np.append(np.flatnonzero(ids == self.gap), len(ids))).tolist()
-                data, start = ids.tobytes(), 0
-                for p, end in zip(ps, ends, strict=True):
-                    self.pieces[p] = data[start:end]
-                    start = end + 2
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text. The vocabulary has fewer than 65,536 ids."""
-        if len(self.pieces) > self.most:
-            self._forget()
-        parts = [t.lower().split() if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        distinct: set[str] = set()
-        for ws in parts:
-            if ws:
-                distinct.update(ws)
-        pieces = self.pieces
-        mixed = {w: PIECES.findall(w) for w in distinct if not w.isalpha()}
-        new = {w for w in distinct if w not in pieces and w not in mixed}
-        new.update(p for ps in mixed.values() for p in ps if p not in pieces)
-        self._encode(list(new))
-        get = pieces.__getitem__
-        known = {w: b"".join(map(get, mixed[w])) if w in mixed else get(w) for w in distinct}
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self._whole(t) for ws, t in zip(parts, texts)]
+        self.library.no_padding()
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        rules = json.loads(self.library.to_str())
+        model = rules["model"]
+        own = model["type"] == "BPE" and model["end_of_word_suffix"] == self.SUFFIX and not model["dropout"] and not model["ignore_merges"]
+        every_byte = own and all(b + end in model["vocab"] for b in pre_tokenizers.ByteLevel.alphabet() for end in ("", self.SUFFIX))
+        self.by_words = every_byte and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+        if self.by_words:
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[i for w, i in model["vocab"].items() if w.endswith(self.SUFFIX)]] = True
+            by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            slim = rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_bytes]}}
+            self.parts = Tokenizer.from_str(json.dumps(slim))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str], group: int = 1000) -> None:
+        for at in range(0, len(pieces), group):
+            some = pieces[at : at + group]
+            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (self.dtype.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data, start = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.young[p] = data[start:end]
+                start = end
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        old, young = self.old, self.young
+        if old:
+            young.update((p, old[p]) for p in pieces if p in old and p not in young)
+        self._learn([p for p in pieces if p and p not in young])
+        return [young[p] if p else b"" for p in pieces]
+
+    def _pool(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(found), self.dtype), sizes
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        odd = pc.match_substring_regex(words, UNUSUAL)
+        lower = pc.utf8_lower(words.filter(pc.invert(odd)))
+        mixed = pc.invert(pc.utf8_is_alpha(lower))
+        parted = pc.replace_with_mask(lower, mixed, pc.replace_substring_regex(lower.filter(mixed), PIECE, r"\0 "))
+        codes, pieces, at = text_words(parted, lower=False)
+        pool, sizes = self._pool(self._ids_of(pieces.to_pylist()))
+        plain, plain_sizes = gathered(pool, sizes, codes)
+        plain_sizes = np.diff(np.concatenate([[0], np.cumsum(plain_sizes)])[at])
+        rest, rest_sizes = self._pool(self._whole(words.filter(odd).to_pylist()))
+        odd = odd.to_numpy(zero_copy_only=False)
+        order = np.empty(len(words), np.int64)  # word -> its place in plain, then rest
+        order[~odd], order[odd] = np.arange(len(plain_sizes)), len(plain_sizes) + np.arange(len(rest_sizes))
+        return gathered(np.concatenate([plain, rest]), np.concatenate([plain_sizes, rest_sizes]), order)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, without end tokens, and how many each has."""
+        if not self.by_words:
+            return self._pool(self._whole(pc.fill_null(texts, "").to_pylist()))
+        codes, words, at = text_words(texts, lower=False)
+        out, sizes = gathered(*self._words(words), codes)
+        return out, np.diff(np.concatenate([[0], np.cumsum(sizes)])[at])
+
+
+def gathered(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`pool` holds runs of the given sizes; the runs numbered by `codes`, one after another, and their sizes."""
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    return pool[np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+_WORKER: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker with what it remembers; a worker serves many tasks."""
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = WordTokenizer(path)
+    return _WORKER[path]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -125,10 +176,9 @@ def directions(seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(1 << 16, DIMS)).astype(np.float32)
 
 
-def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
-    sizes = np.array([len(i) for i in ids])[:, None]
-    mean = np.add.reduceat(table[np.concatenate(ids)], starts) / sizes
+def curve_keys(ids: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents whose ids, one at least, lie one after another."""
+    mean = np.add.reduceat(table[ids & (len(table) - 1)], np.cumsum(sizes) - sizes) / sizes[:, None]
     unit = 0.5 * (1 + np.tanh(mean / 0.35))
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
@@ -136,34 +186,38 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
 TOKEN_DDL = "doc_id long, n long, key long, crc long, ids binary"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE_DDL.split(", ")])
+PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECE_DDL.split(", ")])
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n, key, crc, ids: the tokens of each document with its end token, and its place on the curve."""
 
     def run(batches):
-        tokenizer, table = WordTokenizer(path), directions()
+        tokenizer, table = worker_tokenizer(path), directions()
         for whole in batches:
-            for part in sub_batches(whole, 3_000_000):
-                doc_ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                end = np.array([END_ID], "<u2").tobytes()
-                raw = [b + end for b in tokenizer.ids(texts)]
-                keys = curve_keys([np.frombuffer(b, "<u2") for b in raw], table)
-                crcs = [zlib.crc32(b) for b in raw]
-                ties = [xxhash.xxh3_64_intdigest(f"{d}|{c}".encode()) >> (64 - TIE_BITS) for d, c in zip(doc_ids, crcs)]
-                full = [(int(k) << TIE_BITS) | t for k, t in zip(keys, ties)]
-                yield _batch(list(zip(doc_ids, (len(b) // 2 for b in raw), full, crcs, raw)), TOKENS)
+            for part in sub_batches(whole, 4_000_000):
+                bare, n = tokenizer.ids(part.column(1))
+                ends = np.cumsum(n + 1)
+                ids = np.full(ends[-1], END_ID, bare.dtype)
+                here = np.ones(len(ids), bool)
+                here[ends - 1] = False
+                ids[here] = bare
+                keys, bytes_at = curve_keys(ids, n + 1, table), ids.itemsize * np.append(0, ends)
+                data = memoryview(ids.tobytes())
+                crcs = [zlib.crc32(data[i:j]) for i, j in zip(bytes_at, bytes_at[1:])]
+                ties = [xxhash.xxh3_64_intdigest(f"{d}|{c}".encode()) >> (64 - TIE_BITS) for d, c in zip(part.column(0).to_pylist(), crcs)]
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bytes_at.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1), pa.array((keys << TIE_BITS) | np.array(ties, np.int64)), pa.array(crcs, pa.int64()), raw], schema=TOKENS)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, TOKEN_DDL)
+    return slim.mapInArrow(tidy(run), TOKEN_DDL)
 
 
 def cut(length: int):
     """A mapInArrow function from placed documents to pieces."""
 
-    def pieces(doc_id, ids, at):
-        data = np.frombuffer(ids, "<u2").astype("<u4")
+    def pieces(doc_id, ids, n, at):
+        data = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
         start = 0
         while start < len(data):
             take = min(len(data) - start, length - (at + start) % length)
@@ -176,7 +230,7 @@ def cut(length: int):
             for part in sub_batches(whole):
                 out = [p for row in zip(*(c.to_pylist() for c in part.columns)) for p in pieces(*row)]
                 for at in range(0, len(out), 50_000):
-                    yield _batch(out[at : at + 50_000], PIECE)
+                    yield _batch(out[at : at + 50_000], PIECES)
 
     return run
 
@@ -207,4 +261,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     first = running_starts(totals, "bucket", "segment", "n")
     inside = Window.partitionBy("bucket").orderBy("key", "doc_id", "crc").rowsBetween(Window.unboundedPreceding, -1)
     placed = tokens.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(first, "bucket")
-    return placed.select("doc_id", "ids", (F.col("_first") + F.col("_in")).alias("at")).mapInArrow(cut(length), PIECE_DDL)
+    return placed.select("doc_id", "ids", "n", (F.col("_first") + F.col("_in")).alias("at")).mapInArrow(tidy(cut(length)), PIECE_DDL)
