@@ -53,13 +53,15 @@ class Scratch:
         path = f"{self.root}/{name}-{self.n}"
         schema = df.schema
         df.write.parquet(path)
-        self.paths[name] = path
+        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later stage reads."""
-        if path := self.paths.get(name):
-            _delete(self.spark, path)
+    def drop(self, *names: str) -> None:
+        """Delete the tables written under these names, or under names that begin with one that ends in `*`. Only for
+        tables that nothing still to be run reads."""
+        for name in [n for n in self.paths if any(n == m or (m.endswith("*") and n.startswith(m[:-1])) for m in names)]:
+            for path in self.paths.pop(name):
+                _delete(self.spark, path)
 
 
 def fold(doc_id: Column, n: int) -> Column:

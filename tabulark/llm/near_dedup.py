@@ -133,12 +133,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             moved = label.join(step, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label"))
             label = moved
         label = scratch.write(label, f"{name}-label{n}")
+        scratch.drop(f"{name}-label{n - 1}")
         left = edges.join(step, "a").select(F.col("to").alias("x"), "b")
         both = left.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         edges = scratch.write(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges{n + 1}")
+        scratch.drop(f"{name}-step{n}", f"{name}-edges{n}")
         n += 1
     if label is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        kind = edges.schema["a"].dataType
+        return scratch.spark.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("label", kind)]))
     return label
 
 
@@ -202,6 +205,9 @@ def verified_links(scratch: Scratch, groups: DataFrame, percent: int) -> DataFra
     up, down = (parts.select("group", (F.col("c") - d).alias("c"), F.col("parts").alias(n)) for d, n in ((1, "up"), (-1, "down")))
     sized = parts.join(up, ["group", "c"], "left").join(down, ["group", "c"], "left").na.fill(0, ["up", "down"])
     alone = scratch.write(groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("group"), "many")
+    # Rows of 40 bytes, one per group and size class: broadcast, a large group stays spread as it is.
+    if parts.count() <= BROADCAST_IDS:
+        sized, alone = F.broadcast(sized), F.broadcast(alone)
     base = base.join(alone, "group", "left_semi").join(sized, ["group", "c"])
     base = base.withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")))
 
@@ -238,11 +244,11 @@ def verified_links(scratch: Scratch, groups: DataFrame, percent: int) -> DataFra
     return placed.groupBy("group", "c", "i", "d", "j").applyInPandas(links, "a binary, b binary")
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, list_bound: int = 50) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, list_bound: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, key, component_id, kept, chosen for every row of `docs`. Texts are linked when
     100 |A & B| >= percent |A | B| for their sets of `size`-word shingles. Of the kept rows of a class, `chosen` marks
     those of the smallest key."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     shared = least_shared(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.write(shingle_sets(docs, size, SKETCH), "sketches")
@@ -259,6 +265,7 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     entries = nodes.select("key", "n", "sketch").mapInArrow(run, entry_ddl)
     counts = scratch.write(entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     entries = scratch.write(entries.join(counts, "value"), "entries")
+    scratch.drop("counts")
     edges = list_pairs(entries.where(F.col("m") <= list_bound).drop("m"), shared, percent)
     # Two linked sets share at least `shared` of their union's 16 smallest values. If a node retains fewer frequent
     # values than that, one of those it shares is not frequent, and the pair has met in a short list.
@@ -268,14 +275,18 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, li
     if touched.limit(1).count():
         edges = edges.unionByName(_frequent_edges(scratch, docs, nodes, touched, size, percent, shared, list_bound))
     groups = components(scratch, edges, "groups")
+    scratch.drop("entries", "touched", "touched-sets", "frequent", "prefixes", "groups-edges*", "groups-step*")
 
     members = scratch.write(groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node"), "members")
     sets = full_sets(docs, members.select(F.col("node").alias("key"), "doc_id"), size)
     grouped = scratch.write(sets.join(members.select(F.col("node").alias("key"), F.col("label").alias("group")), "key"), "grouped")
+    scratch.drop("members", "groups-label*")
     links = verified_links(scratch, grouped, percent)
     classes = components(scratch, links, "classes")
+    scratch.drop("grouped", "parts", "many", "classes-edges*")
     named = nodes.join(classes, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "key").alias("class"))
     named = scratch.write(named, "named")
+    scratch.drop("nodes", "classes-label*", "classes-step*")
     lowest = named.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key"))["key"].alias("head"))
     out = sketches.select("doc_id", "n", "key").join(named.join(lowest, "class").select("key", "component_id", (F.col("key") == F.col("head")).alias("head")), "key", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -352,13 +363,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     that id those of the smallest key. Each row is judged by its own text, so that one id (or no id) on several texts
     loses the copies only. Repeated rows of one id stay together; of copies without any id one stays."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.write(near_duplicate_classes(docs, size, percent).select(as_id(F.col("doc_id")).alias("__id"), "n_shingles", "key", "chosen"), "judged")
+    found = scratch.write(near_duplicate_classes(docs, size, percent, scratch=scratch).select(as_id(F.col("doc_id")).alias("__id"), "n_shingles", "key", "chosen"), "judged")
+    scratch.drop("sketches", "named")
     fates = found.groupBy("__id").agg(F.bool_or("chosen").alias("stays"), F.bool_or(~F.col("chosen")).alias("goes"), F.count_if(F.col("n_shingles") > 0).alias("n"))
     bare = (F.col("__id") == NO_ID) & (F.col("n") > 1)
     fates = scratch.write(fates.where(F.col("goes") | bare).select("__id", (F.col("stays") & (F.col("goes") | bare)).alias("mixed")), "fates")
     clear = docs.join(fates.select("__id"), as_id(docs["doc_id"]) == F.col("__id"), "left_anti")
     mixed = fates.where("mixed").select("__id")
     if not mixed.limit(1).count():
+        scratch.drop("judged")
         return clear
     rows = with_keys(docs.join(mixed, as_id(docs["doc_id"]) == F.col("__id"), "left_semi"), size)
     gone = found.where(~F.col("chosen")).select("__id", F.col("key").alias("__key")).distinct()
