@@ -148,3 +148,59 @@ def same_number_set(a: Column, b: Column) -> Column:
 
 def same_number_list(a: Column, b: Column) -> Column:
     return numbers(a) == numbers(b)
+
+
+# Rewrites of LaTeX for the comparison of answers and of mathematics, applied in this order.
+CIRCLED = {"1": "①", "2": "②", "3": "③", "4": "④", "5": "⑤", "i": "①", "ii": "②", "iii": "③", "iv": "④", "v": "⑤"}
+ANSWER_SYMBOLS = {
+    r"\bigcup": "U", r"\cup": "U", r"\cap": "n", r"\infty": "inf", r"\in": "in", r"\geqslant": ">=", r"\geq": ">=", r"\leqslant": "<=", r"\leq": "<=", r"\neq": "!=", r"\times": "*",
+    r"\cdot": "*", r"\pi": "pi", r"\cos": "cos", r"\sin": "sin", r"\tan": "tan", r"\log": "log", r"\lg": "lg", r"\ln": "ln", r"\{": "{", r"\}": "}", r"\mid": "|",
+}
+SCORES = [r"[（(][^）)]*\d+\s*分[^）)]*[）)]\s*$", r"(?:…+\s*)?\d+\s*分\s*$"]
+RUN_NOISE = [(r"(?<!\d)\d{1,3}\s*[.、．]\s*", " "), (r"[（(]\s*\d{1,3}\s*[）)]\s*", " ")]
+RUN_SCORES = [r"\(\d+分\)", r"……\d+分", r"…\d+分", r"\(0\.\d+~0\.\d+均可\)"]
+
+
+def answer_text(c: Column, norm=nfkc) -> Column:
+    """Answers for the comparison with expected ones: quotes, formula shells, fractions and symbols in plain text, no
+    score, no leading number, one `/` for every separator, no white space or closing punctuation."""
+    out = F.trim(norm(F.coalesce(c, F.lit(""))))
+    out = F.translate(out, "’‘“”$", "''\"\"")
+    for _ in range(3):
+        out = F.regexp_replace(out, r"\\d?frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}", "$1/$2")
+    out = F.regexp_replace(out, r"\\sqrt\{([^{}]+)\}", "sqrt($1)")
+    out = F.regexp_replace(out, r"\\(?:left|right|big|Big|bigg|Bigg|text|mathbf|mathbb)\b", "")
+    for token, plain in ANSWER_SYMBOLS.items():
+        out = F.replace(out, F.lit(token), F.lit(plain))
+    for p in SCORES:
+        out = F.regexp_replace(out, p, "")
+    out = F.regexp_replace(out, r"^(?:\d{1,3}\s*[.、．:：]\s*)+", "")
+    out = drop_space(F.regexp_replace(out, r"(?U)(?:\s*##\s*|\s*/\s*|\s*、\s*|\s*[，,;；|]\s*)+", "/"))
+    return F.regexp_replace(out, r"""^[。．.;；，,?!？！:："']+|[。．.;；，,?!？！:："']+$""", "")
+
+
+def math_text(c: Column) -> Column:
+    """LaTeX as plain text, where $ or a backslash occurs; other texts as they are."""
+    raw = F.coalesce(c, F.lit(""))
+    out = F.regexp_replace(F.translate(raw, "$", ""), r"\\[()\[\]]", "")
+    for name, sign in CIRCLED.items():
+        out = F.regexp_replace(out, rf"(?i)\\textcircled\s*\{{\s*{name}\s*\}}", sign)
+    for _ in range(4):
+        out = F.regexp_replace(out, r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
+    for pattern, into in (
+        (r"\\sqrt\s*\{([^{}]*)\}", "sqrt($1)"), (r"\\(?:left|right|bigl|bigr|Bigl|Bigr|bigg|Bigg|big|Big|quad|qquad|;|,|!| )", ""), (r"\\([{}])", "$1"), (r"\\mid", "|"), (r"\\pi", "π"),
+        (r"\\text\s*\{([^{}]*)\}", "$1"), (r"\\([a-zA-Z]+)", "$1"), (r"[{}]", ""),
+    ):
+        out = F.regexp_replace(out, pattern, into)
+    return F.when(F.contains(raw, F.lit("$")) | F.contains(raw, F.lit("\\")), out).otherwise(raw)
+
+
+def run_text(c: Column) -> Column:
+    """Texts of two runs for their comparison: without numbering, scores and list separators."""
+    out = F.coalesce(c, F.lit(""))
+    for pattern, into in RUN_NOISE:
+        out = F.regexp_replace(out, pattern, into)
+    out = F.translate(out, "（）", "()")
+    for pattern in RUN_SCORES:
+        out = F.regexp_replace(out, pattern, "")
+    return drop_space(F.translate(out, "；、，", "   "))

@@ -47,19 +47,26 @@ def word_bank_groups(rows: DataFrame, is_bank: Column, at_least: int = 2) -> Dat
     return merged(marked, "doc_id", "section", "run").where(F.col("n") >= at_least)
 
 
-def shared_material(rows: DataFrame, rounds: int = 12) -> DataFrame:
+def shared_material(rows: DataFrame) -> DataFrame:
     """doc_id, pos, head: questions that share a line of material, directly or over others, and the first of them.
-    Labels spread along shared lines; a document's chain is as long as its questions, and each round at least
-    doubles the reach by following labels of labels."""
+    Labels spread along shared lines until no label changes; each round about doubles the reach by following labels
+    of labels. Rounds are cut by checkpoints where a checkpoint folder is set."""
     links = rows.select("doc_id", "pos", F.explode("shared_line_ids").alias("line"))
     label = rows.select("doc_id", "pos", F.col("pos").alias("head"))
-    for _ in range(rounds):
+    reliable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
+    while True:
+        before = label
         low = links.join(label, ["doc_id", "pos"]).groupBy("doc_id", "line").agg(F.min("head").alias("low"))
         near = links.join(low, ["doc_id", "line"]).groupBy("doc_id", "pos").agg(F.min("low").alias("low"))
         label = label.join(near, ["doc_id", "pos"], "left").select("doc_id", "pos", F.least("head", F.coalesce("low", "head")).alias("head"))
         up = label.select("doc_id", F.col("pos").alias("head"), F.col("head").alias("over"))
         label = label.join(up, ["doc_id", "head"]).select("doc_id", "pos", F.col("over").alias("head"))
-    return label
+        label = label.checkpoint() if reliable else label.persist()
+        changed = label.join(before.withColumnRenamed("head", "_old"), ["doc_id", "pos"]).where("head <> _old").limit(1).count()
+        if before.is_cached:
+            before.unpersist()
+        if not changed:
+            return label
 
 
 def composites(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -83,6 +90,27 @@ def candidates_for(new: DataFrame, stored: DataFrame, k: int = 50) -> DataFrame:
     return new.join(top, "subject")
 
 
-def retryable(rows: DataFrame, ingested: int = 0) -> Column:
+def retryable(rows: DataFrame | None = None, ingested: int = 0) -> Column:
     """Whether a document's pass should run again: nothing was ingested, or some questions are blocked or empty."""
     return (F.col("ingested") <= ingested) | (F.col("blocked") > 0) | (F.col("empty") > 0)
+
+
+def retry_hints(rows: DataFrame, most: int = 20) -> DataFrame:
+    """pos, hint for the first `most` questions of a pass that a second pass should mend: a stem without valid lines, a
+    choice question's options, sub-question options, an answer that nothing supports. Rows: pos, question_number, stem,
+    stem_status, qtype, options (array), bad_options array<string>, sub_options_bad, answer, answer_source."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    choice = F.col("qtype").isin("single_choice", "multiple_choice")
+    none = choice & (F.coalesce(F.size("options"), F.lit(0)) <= 0) & (F.coalesce(F.size("bad_options"), F.lit(0)) <= 0)
+    bad = F.concat(F.lit("options "), F.array_join(F.sort_array("bad_options"), "/"))
+    parts = F.filter(F.array(
+        F.when(empty("stem") | F.coalesce("stem_status", F.lit("missing")).isin("retry", "missing"), F.lit("stem lines")), F.when(none, F.lit("all options")), F.when(choice & (F.size("bad_options") > 0), bad),
+        F.when(F.coalesce("sub_options_bad", F.lit(False)), F.lit("sub-question options")), F.when(empty("answer") & (F.col("answer_source") == "llm_fallback"), F.lit("answer lines")),
+    ), lambda p: p.isNotNull())
+    found = rows.select("pos", F.concat(F.lit("question "), "question_number", F.lit(": "), F.array_join(parts, "; ")).alias("hint"), F.size(parts).alias("_n")).where("_n > 0")
+    return found.orderBy("pos").limit(most).select("pos", "hint")
+
+
+def without_placeholders(rows: DataFrame) -> DataFrame:
+    """Annotated questions without those that are placeholders: no stem lines, no answer, no options."""
+    return rows.where((F.size("stem_line_ids") > 0) | (F.trim(F.coalesce("answer", F.lit(""))) != "") | (F.size("options") > 0))

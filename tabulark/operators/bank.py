@@ -12,6 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 CONFIDENCE = T.DecimalType(4, 3)
 
@@ -222,3 +223,37 @@ def promote(candidates: DataFrame, questions: DataFrame) -> tuple[DataFrame, Dat
     """Candidates become questions unless their hash is taken: (new questions, refused candidates)."""
     taken = questions.select("content_hash")
     return candidates.join(taken, "content_hash", "left_anti"), candidates.join(taken, "content_hash", "left_semi")
+
+
+def ingestable(block: str) -> Column:
+    """Whether a question may be stored: confidence from 0.8 on, no blocking issue, stem and answer not blank."""
+    full = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    free = ~F.exists(F.coalesce("issues", F.array().cast("array<string>")), lambda i: F.contains(i, F.lit(block)))
+    return (F.coalesce("confidence", F.lit(0.0)) >= 0.8) & free & full("stem") & full("answer")
+
+
+def image_order(images: DataFrame) -> DataFrame:
+    """`images` with image_order, their place inside a question from 0 on by page, top and id."""
+    order = Window.partitionBy("question_id").orderBy("page", "top", "image_id")
+    return images.withColumn("image_order", F.row_number().over(order) - 1)
+
+
+def images_of(images: DataFrame, question_id: int) -> DataFrame:
+    """A question's images in their order."""
+    return images.where(F.col("question_id") == question_id).orderBy("image_order")
+
+
+def with_created(df: DataFrame, dim: DataFrame, key: str, aliases: dict[str, str] | None = None, closed: list[str] | None = None, unknown: str = "未知") -> tuple[DataFrame, DataFrame]:
+    """get-or-create: (`df` with code, the dimension with what it lacked). Aliases are folded; with a `closed` domain
+    anything else becomes `unknown`; new names get codes counted on from the highest."""
+    folded = F.trim(F.coalesce(F.col(key), F.lit("")))
+    for old, new in (aliases or {}).items():
+        folded = F.when(folded == old, F.lit(new)).otherwise(folded)
+    folded = F.when(folded == "", unknown).otherwise(folded)
+    folded = F.when(folded.isin(*closed), folded).otherwise(unknown) if closed is not None else folded
+    rows = df.withColumn("_key", folded)
+    lacking = rows.select(F.col("_key").alias(key)).distinct().join(dim.select(key), key, "left_anti")
+    top = dim.agg(F.coalesce(F.max("code"), F.lit(0)).alias("_top"))
+    fresh = lacking.join(F.broadcast(top)).select(key, (F.col("_top") + F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key))).cast(dim.schema["code"].dataType).alias("code"))  # names of a dimension
+    grown = dim.select(key, "code").unionByName(fresh)
+    return rows.join(grown.withColumnRenamed(key, "_key"), "_key", "left").drop("_key"), grown

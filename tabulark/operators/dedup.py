@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulark.functions.similarity import center, grid
-from tabulark.functions.text import compact_answer
+from tabulark.functions.text import compact_answer, content_hash
 
 
 def first_per_hash(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -80,12 +80,67 @@ def dedup_statistics(rows: DataFrame) -> DataFrame:
 
 
 def figure_ids(images: DataFrame) -> DataFrame:
-    """FIG001.. for the images of a document that have no id yet."""
-    order = Window.partitionBy("doc_id").orderBy("page", "image_id")
-    fresh = images.where("figure_id is null").withColumn("figure_id", F.format_string("FIG%03d", F.row_number().over(order)))
-    return images.where("figure_id is not null").unionByName(fresh)
+    """FIG001.. for the images of a document that have no id yet, counted on from the highest id there is."""
+    taken = F.coalesce(F.regexp_extract("figure_id", r"^FIG(\d+)$", 1).try_cast("int"), F.lit(0))
+    rows = images.withColumn("_top", F.max(taken).over(Window.partitionBy("doc_id")))
+    order = Window.partitionBy("doc_id", F.col("figure_id").isNull()).orderBy("page", "image_id")
+    fresh = F.format_string("FIG%03d", F.col("_top") + F.row_number().over(order))
+    return rows.withColumn("figure_id", F.coalesce("figure_id", fresh)).drop("_top")
 
 
 def merge_duplicates(instances: DataFrame, groups: DataFrame) -> DataFrame:
     """Instances with their question replaced by the group's head. `groups` has question_id and head."""
     return instances.join(groups, "question_id", "left").withColumn("question_id", F.coalesce("head", "question_id")).drop("head")
+
+
+def others_with_hash(rows: DataFrame) -> DataFrame:
+    """id, other_id: for each question the smallest other id of its subject with its content hash. Ids meet their
+    group's two smallest, so a large group makes no pairs."""
+    keys = ["subject", "content_hash"]
+    low = rows.where("content_hash is not null").groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    second = rows.join(low, keys).where("id <> first").groupBy(*keys).agg(F.min("id").alias("second"))
+    pairs = rows.join(low.where("first <> last").join(second, keys), keys)
+    return pairs.select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other_id"))
+
+
+def candidate_dedup(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """`new` candidates with candidate_id: the stored candidate of the document and hash, else the first new one."""
+    keys = ["document_id", "content_hash"]
+    known = stored.groupBy(*keys).agg(F.min("id").alias("_known"))
+    return new.join(known, keys, "left").withColumn("candidate_id", F.coalesce("_known", F.min("id").over(Window.partitionBy(*keys)))).drop("_known")
+
+
+def content_updates(questions: DataFrame, updates: DataFrame) -> DataFrame:
+    """`questions` (id, subject, stem, options, qtype, sub_questions, answer, status, content_hash) after `updates` (id,
+    stem, options, sub_questions, answer; null leaves a field). The hash is computed anew only where hashed content
+    changed; a changed hash that another question of the subject has, with another answer, sends an approved question
+    back to review, outcome `conflict`; with the same answer it is `same`."""
+    fields = ["stem", "options", "sub_questions", "answer"]
+    rows = questions.join(updates.select("id", *[F.col(c).alias(f"_n_{c}") for c in fields]), "id", "left")
+    changed = F.lit(False)
+    for c in fields[:3]:
+        changed = changed | (F.col(f"_n_{c}").isNotNull() & ~F.col(f"_n_{c}").eqNullSafe(F.col(c)))
+    rows = rows.withColumn("_changed", changed)
+    for c in fields:
+        rows = rows.withColumn(c, F.coalesce(f"_n_{c}", c))
+    rows = rows.drop(*[f"_n_{c}" for c in fields])
+    fresh = content_hash(F.col("stem"), F.col("options"), F.col("qtype"), F.col("sub_questions"))
+    rows = rows.withColumn("content_hash", F.when(F.col("_changed"), fresh).otherwise(F.col("content_hash")))
+    stored = questions.select("subject", "content_hash", F.struct("id", F.trim(F.coalesce("answer", F.lit(""))).alias("answer")).alias("_o"))
+    # Two stored ids a hash are enough to find one that is not the question itself.
+    stored = stored.groupBy("subject", "content_hash").agg(F.min("_o").alias("_first"), F.max("_o").alias("_last"))
+    rows = rows.join(stored, ["subject", "content_hash"], "left")
+    other = F.when(F.col("_first.id") != F.col("id"), F.col("_first")).when(F.col("_last.id") != F.col("id"), F.col("_last"))
+    own = F.trim(F.coalesce("answer", F.lit("")))
+    differ = (own != "") & (other["answer"] != "") & (compact_answer(own) != compact_answer(other["answer"]))
+    outcome = F.when(~F.col("_changed"), "kept").when(other.isNull(), "updated").when(differ, "conflict").otherwise("same")
+    rows = rows.withColumn("outcome", outcome).withColumn("status", F.when((F.col("outcome") == "conflict") & (F.col("status") == "approved"), "reviewing").otherwise(F.col("status")))
+    return rows.drop("_changed", "_first", "_last")
+
+
+def backfill_hashes(questions: DataFrame, types: DataFrame) -> DataFrame:
+    """`questions` (id, stem, options, sub_questions, type_id, content_hash) whose null hashes are computed, with the type
+    code of `types` (type_id, qtype); the hash of the bare stem where that gives none. 'types' is a closed dimension."""
+    rows = questions.join(types.select("type_id", "qtype"), "type_id", "left")
+    full = content_hash(F.col("stem"), F.col("options"), F.col("qtype"), F.col("sub_questions"))
+    return rows.withColumn("content_hash", F.coalesce("content_hash", full, F.sha2("stem", 256)))

@@ -98,3 +98,72 @@ def structure_report(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def natural_key(c: Column) -> Column:
     """Sorts question numbers as people do: digits padded."""
     return F.regexp_replace(F.regexp_replace(c, r"(\d+)", "0000000000$1"), r"0*(\d{10})", "$1")
+
+
+def line_coverage(text: Column, other: Column) -> Column:
+    """Share of the text's lines that are not blank which `other` contains, both compacted; 1.0 without such lines."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), tx.half_width), lambda x: x != "")
+    whole = tx.half_width(other)
+    return F.when(F.size(lines) == 0, 1.0).otherwise(F.size(F.filter(lines, lambda x: F.contains(whole, x))) / F.size(lines))
+
+
+LINE_FIELDS = ["stem_line_ids", "shared_material_line_ids", "answer_line_ids", "explanation_line_ids"]
+
+
+def compare_lists(field: Column, expected: Column, actual: Column, context_matched: Column, norm=lambda c: c) -> Column:
+    """Verdict on two lists: line ids by their number (granularity where the texts match all the same), answer images
+    both empty, anything else element by element after `norm`; missing or extra where one side is null."""
+    n, m = F.coalesce(F.size(expected), F.lit(0)), F.coalesce(F.size(actual), F.lit(0))
+    n, m = F.greatest(n, F.lit(0)), F.greatest(m, F.lit(0))
+    by_number = F.when(n == m, "match").when(F.coalesce(context_matched, F.lit(False)) & (n > 0) & (m > 0), "granularity").otherwise("mismatch")
+    same = (n == m) & ((F.transform(expected, norm) == F.transform(actual, norm)) | (expected == actual))
+    return (
+        F.when((field == "answer_images") & (n == 0) & (m == 0), "match").when(field.isin(*LINE_FIELDS), by_number).when(expected.isNull() & actual.isNull(), "match")
+        .when(expected.isNull(), "missing").when(actual.isNull(), "extra").when(same, "match").otherwise("mismatch")
+    )
+
+
+def compare_texts(expected: Column, actual: Column, norm=lambda c: c) -> Column:
+    """Verdict on two texts as `verdict_shared`, with missing or extra where one side is null."""
+    both = F.regexp_replace(verdict_shared(expected, actual, norm), "^exact$", "match")
+    return F.when(expected.isNull() & actual.isNull(), "match").when(expected.isNull(), "missing").when(actual.isNull(), "extra").otherwise(both)
+
+
+def health(questions: DataFrame, block: str) -> DataFrame:
+    """One row of counts: questions, answered, empty, high, middle, low confidence, blocked."""
+    answered, c = F.trim(F.coalesce("answer", F.lit(""))) != "", F.coalesce("confidence", F.lit(0.0))
+    return questions.agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(answered).alias("answered"), F.count_if(~answered).alias("empty"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("middle"),
+        F.count_if(c < 0.5).alias("low"), F.count_if(F.exists("issues", lambda i: F.contains(i, F.lit(block)))).alias("blocked"),
+    )
+
+
+def run_stats(questions: DataFrame, images: DataFrame, block: str) -> DataFrame:
+    """The quality of one run in one row: answers, issues, composites, sub-questions, and the images with a box with the
+    set of their placements."""
+    empty = F.trim(F.coalesce("answer", F.lit(""))) == ""
+    q = questions.agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(~empty).alias("answered"), F.round(F.coalesce(F.avg(empty.cast("int")), F.lit(1.0)), 4).alias("empty_ratio"), F.count_if(F.size("issues") > 0).alias("with_issues"),
+        F.coalesce(F.sum(F.greatest(F.size("issues"), F.lit(0))), F.lit(0)).alias("issues"), F.count_if(F.exists("issues", lambda i: F.contains(i, F.lit(block)))).alias("blocked"),
+        F.count_if("is_composite").alias("composites"), F.coalesce(F.sum(F.greatest(F.size("sub_questions"), F.lit(0))), F.lit(0)).alias("subs"),
+    )
+    i = images.agg(F.count_if(F.col("box").isNotNull()).alias("images"), F.array_join(F.sort_array(F.collect_set("placement")), ",").alias("placements"))
+    return q.join(F.broadcast(i))  # one row each
+
+
+def structure_stats(questions: DataFrame) -> DataFrame:
+    """top, composites, independent, bottom and repeated bottom numbers of a paper. Rows: question_number, is_composite,
+    subs array<string>, relative; a relative sub-number is written behind its question's."""
+    bottoms = F.when(F.col("is_composite"), F.transform("subs", lambda s: F.when(F.coalesce("relative", F.lit(False)), F.concat("question_number", s)).otherwise(s))).otherwise(F.array("question_number"))
+    top = questions.agg(F.count(F.lit(1)).alias("top"), F.count_if("is_composite").alias("composites"), F.count_if(~F.col("is_composite")).alias("independent"))
+    each = questions.select(F.explode(bottoms).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    bottom = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bottom"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return top.join(F.broadcast(bottom))  # one row each
+
+
+def sub_range(subs: Column) -> Column:
+    """`low-high` of the numbers of sub-questions (qno, stem): from the number itself, else 〔n〕 or a leading n. of the
+    stem; empty without numbers."""
+    number = lambda s: F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")) for c, p in ((s["qno"], r"(\d{1,3})"), (s["stem"], r"〔\s*(\d{1,3})\s*〕"), (s["stem"], r"(\d{1,3})\s*[.、．]"))]).try_cast("int")
+    found = F.filter(F.transform(F.coalesce(subs, F.array().cast("array<struct<qno:string,stem:string>>")), number), lambda n: n.isNotNull())
+    return F.when(F.size(found) > 0, F.concat(F.array_min(found).cast("string"), F.lit("-"), F.array_max(found).cast("string"))).otherwise("")

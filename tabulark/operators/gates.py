@@ -26,6 +26,8 @@ INVISIBLE = r"[\u200B-\u200F\u2028-\u202F\u2060-\u206F\uFEFF]"
 PUNCT_ONLY = r"(?U)^[\s，。；：、.．!！?？\-—…]+$"
 STRAY_LATEX = r"\\[a-zA-Z]+\s*\{\s*\}|\\(?:begin|end|hline|label|ref)\b"
 BLOCK = "禁止自动发布"
+FORMULA_HINT = r"\\frac|\\sqrt|\\sum|\\int|sin|cos|tan|log|√|π|°"
+SYMBOLS_ONLY = r"^[0-9+\-*/^().,，。;；=<>≤≥∞π√]+$"
 
 
 def blank(c: Column) -> Column:
@@ -166,20 +168,47 @@ def discard_histogram(rows: DataFrame, issues: str) -> DataFrame:
 # --- answers -------------------------------------------------------------------------------------------------
 
 
-def answer_cascade(table: Column, solution: Column, inline: Column, fallback: Column) -> Column:
-    """struct(answer, source, confidence) of the first candidate that is not blank. A table answer that is not
-    plain letters, digits or words counts little."""
-    plain = table.rlike(r"(?U)^[\p{Alnum}\s,，、;；.]+$")
-    pick = lambda a, s, c: F.when(~blank(a), F.struct(a.alias("answer"), F.lit(s).alias("source"), c.alias("confidence")))
-    return F.coalesce(
-        pick(table, "document_answer_table", F.when(plain, 0.95).otherwise(0.4)), pick(solution, "document_solution_answer", F.lit(0.9)), pick(inline, "document_inline_answer", F.lit(0.9)),
-        F.struct(fallback.alias("answer"), F.lit("llm_fallback").alias("source"), F.lit(0.5).alias("confidence")),
+def answer_quality(answer: Column, stem: Column) -> Column:
+    """struct(confidence, doubts) of a document's answer: 0.95, or 0.4 if formula text was lost on the way: private-use
+    or replacement characters, LaTeX outside $...$, or a few symbols where the stem speaks of formulas."""
+    text = F.coalesce(answer, F.lit(""))
+    bare = F.regexp_replace(text, r"(?U)\s+", "")
+    crumbs = F.coalesce(stem, F.lit("")).rlike(FORMULA_HINT) & F.length(bare).between(2, 4) & bare.rlike(SYMBOLS_ONLY)
+    doubts = [(text.rlike(r"[\uE000-\uF8FF]"), "private_use"), (text.rlike("\uFFFD"), "replacement"), (F.regexp_replace(text, r"\$[^$]*\$", "").rlike(r"\\[a-zA-Z]+"), "bare_latex"), (crumbs, "lost_symbols")]
+    found = F.filter(F.array(*[F.when(cond, F.lit(name)) for cond, name in doubts]), lambda x: x.isNotNull())
+    return F.struct(F.when(F.size(found) > 0, 0.4).otherwise(0.95).alias("confidence"), found.alias("doubts"))
+
+
+def answer_cascade(table: Column, solution: Column, inline: Column, fallback: Column, stem: Column) -> Column:
+    """struct(answer, source, confidence, doubts) of the first candidate that is not blank: the answer table, the worked
+    solution (both judged by `answer_quality`), an inline answer, the fallback."""
+    sure = lambda c: F.struct(F.lit(c).alias("confidence"), F.array().cast("array<string>").alias("doubts"))
+    pick = lambda a, s, q: F.struct(a.alias("answer"), F.lit(s).alias("source"), q["confidence"].alias("confidence"), q["doubts"].alias("doubts"))
+    return (
+        F.when(~blank(table), pick(table, "document_answer_table", answer_quality(table, stem))).when(~blank(solution), pick(solution, "document_solution_answer", answer_quality(solution, stem)))
+        .when(~blank(inline), pick(inline, "document_inline_answer", sure(0.9))).otherwise(pick(fallback, "llm_fallback", sure(0.5)))
     )
 
 
 def choice_override(annotated: Column, table: Column, from_ocr: Column) -> Column:
     """A letter answer of the table replaces the annotated one, unless it comes from OCR and contradicts a
     valid letter."""
-    letters = r"^[A-G]{1,7}$"
-    keep = from_ocr & annotated.rlike(letters) & (annotated != table)
-    return F.when(table.rlike(letters) & ~F.coalesce(keep, F.lit(False)), table).otherwise(annotated)
+    letters = lambda c: F.upper(F.replace(F.trim(c), F.lit(" "), F.lit(""))).rlike(r"^[A-G]{1,7}$")
+    keep = from_ocr & letters(annotated) & (F.upper(F.trim(annotated)) != F.upper(F.trim(table)))
+    return F.when(letters(table) & ~F.coalesce(keep, F.lit(False)), table).otherwise(annotated)
+
+
+def match_answers(rows: DataFrame) -> DataFrame:
+    """Rows (question, qtype, stem, is_composite, annotated, table, from_ocr, solution, inline) with `final`:
+    struct(answer, source, confidence, doubts). A composite with an answer keeps it. Otherwise a letter of the answer
+    table comes first unless recognition contradicts a valid annotated letter; then the annotation (of a choice question
+    letters only); then the document's own answers in order."""
+    letters = lambda c: F.coalesce(F.upper(F.replace(F.trim(c), F.lit(" "), F.lit(""))).rlike(r"^[A-G]{1,7}$"), F.lit(False))
+    choice = F.col("qtype").isin(CHOICE)
+    annotated = F.when(~blank(F.col("annotated")) & (~choice | letters(F.col("annotated"))), F.col("annotated"))
+    document = answer_cascade(F.col("table"), F.col("solution"), F.col("inline"), F.lit(None).cast("string"), F.col("stem"))
+    own = F.struct(annotated.alias("answer"), F.lit("llm_annotation").alias("source"), F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("doubts"))
+    conflict = F.coalesce(F.col("from_ocr"), F.lit(False)) & letters(annotated) & (F.upper(F.trim(annotated)) != F.upper(F.trim("table")))
+    by_table = letters(F.col("table")) & ~F.coalesce(conflict, F.lit(False))
+    kept = F.col("is_composite") & ~blank(F.col("annotated"))
+    return rows.withColumn("final", F.when(kept, own.withField("answer", F.col("annotated"))).when(by_table | annotated.isNull(), document).otherwise(own))

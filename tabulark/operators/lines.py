@@ -122,3 +122,10 @@ def best_pass(runs: DataFrame) -> DataFrame:
     the earlier on ties."""
     rank = F.struct(F.col("ingested"), -F.col("blocked"), -F.col("empty"), -F.col("missing"), -F.col("pass"))
     return runs.groupBy("doc_id").agg(F.max_by("pass", rank).alias("pass"))
+
+
+def carry_on_page(lines: DataFrame, value: Column, name: str = "carried") -> DataFrame:
+    """The last non-null value on the line's page; before the first one the page's virtual bucket, 1000 times its
+    number. Nothing is carried from page to page."""
+    carried = F.last(value, ignorenulls=True).over(so_far("doc_id", "page_no"))
+    return lines.withColumn(name, F.coalesce(carried, F.col("page_no") * 1000))

@@ -126,3 +126,18 @@ def majority(votes: DataFrame, key: str, value: str, priority: str) -> DataFrame
     """The value with most votes for each key; ties go to the best (lowest) source priority, then to the smaller value."""
     counted = votes.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(priority).alias("p"))
     return counted.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), "p", value)).alias("value"), F.max("n").alias("votes"))
+
+
+def best_key_coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left_id, right_id, coverage: of the right rows with equal `keys` the one that holds the largest share of the left
+    row's map keys (`entries`), the smallest id on ties; rows in common only."""
+    pairs = left.join(right.select(*keys, "right_id", F.map_keys("entries").alias("_other")), keys)
+    share = F.size(F.array_intersect(F.map_keys("entries"), "_other")) / F.size(F.map_keys("entries"))
+    ranked = pairs.withColumn("coverage", share).where("coverage > 0").groupBy("left_id").agg(F.max(F.struct("coverage", -F.col("right_id"))).alias("m"))
+    return ranked.select("left_id", (-F.col("m.col2")).alias("right_id"), "m.coverage")
+
+
+def composites_first(composites: DataFrame, independent: DataFrame) -> DataFrame:
+    """Both kinds of rows in one table with `place`: composites come first, each kind in order of pos."""
+    rows = composites.withColumn("_kind", F.lit(0)).unionByName(independent.withColumn("_kind", F.lit(1)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("_kind", "pos"))).drop("_kind")

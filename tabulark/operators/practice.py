@@ -14,6 +14,13 @@ def wrong_counts(answers: DataFrame, key: str) -> DataFrame:
     return answers.where(~F.col("is_correct")).groupBy(key).agg(F.count(F.lit(1)).alias("wrong"), F.countDistinct("student").alias("students"))
 
 
+def wrong_by(answers: DataFrame, mappings: DataFrame, key: str) -> DataFrame:
+    """`key`, wrong, questions: wrong answers per node or type. Answers are counted per question before the mappings
+    (question_id, key) multiply them."""
+    counted = answers.where(~F.col("is_correct")).groupBy("question_id").agg(F.count(F.lit(1)).alias("c"))
+    return mappings.join(counted, "question_id").groupBy(key).agg(F.sum("c").alias("wrong"), F.countDistinct("question_id").alias("questions"))
+
+
 def weak_points(answers: DataFrame, at_least: int = 5) -> DataFrame:
     """student, node, attempts, rate for nodes tried often enough."""
     out = answers.groupBy("student", "node").agg(F.count(F.lit(1)).alias("attempts"), F.round(F.avg(F.col("is_correct").cast("int")), 6).alias("rate"))

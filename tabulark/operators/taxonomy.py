@@ -6,17 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """code, ancestor, distance; every node is its own ancestor at 0. One join per level of the tree."""
+def closure(nodes: DataFrame) -> DataFrame:
+    """code, ancestor, distance; every node is its own ancestor at 0. One join per level of the tree, as many as the
+    tree is deep: levels are looked at until a step finds no parent. A cycle is an error."""
     edges = nodes.where("parent is not null").select(F.col("code").alias("child"), "parent")
     step = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance"))
     out = step
-    for _ in range(max_depth):
-        step = step.join(edges, F.col("ancestor") == F.col("child")).select("code", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+    for depth in range(_depth(edges)):
+        step = step.join(edges, F.col("ancestor") == F.col("child")).select("code", F.col("parent").alias("ancestor"), F.lit(depth + 1).alias("distance"))
         out = out.unionByName(step)
     return out
 
 
+def _depth(edges: DataFrame) -> int:
+    """Steps from the deepest node to the last parent that exists as a node or by name only: the nodes that are left
+    after removing those that are no parent, level by level."""
+    left, depth, n = edges.select("child", "parent").distinct(), 0, -1
+    while True:
+        now = left.count()
+        if now == 0:
+            return depth
+        if now == n:
+            raise ValueError("the tree has a cycle")
+        depth, n = depth + 1, now
+        # Edges whose parent hangs below another one reach one level further up.
+        left = left.join(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")), F.col("parent") == F.col("_c")).select("child", F.col("_p").alias("parent")).distinct()
+
+
 def keyword_index(nodes: DataFrame) -> DataFrame:
     """keyword, code: each node's keywords lead to it and its ancestors."""
     words = nodes.select("code", F.explode("keywords").alias("keyword"))
@@ -75,3 +91,22 @@ def upsert(seed: DataFrame, stored: DataFrame) -> DataFrame:
     t = stored.select("code", F.struct("name", "parent").alias("old"))
     change = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "orphan").when(F.col("new").eqNullSafe(F.col("old")), "keep").otherwise("update")
     return s.join(t, "code", "full").select("code", change.alias("change"))
+
+
+def applied(seed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored rows (code, name, parent) after an upsert of the seed, orphans kept, each with parent_code resolved
+    (null for a parent that does not exist) and the level at which it is inserted: parents before children."""
+    rows = stored.select("code", "name", "parent").join(seed.select("code"), "code", "left_anti").unionByName(seed.select("code", "name", "parent"))
+    known = rows.select(F.col("code").alias("parent"), F.col("code").alias("parent_code"))
+    level = closure(rows).groupBy("code").agg((F.max("distance") + 1).alias("level"))
+    return rows.join(known, "parent", "left").join(level, "code").select("code", "name", "parent_code", "level")
+
+
+def sub_points(questions: DataFrame) -> DataFrame:
+    """question_id, sub, point, is_primary: the points of a question, and below a composite the distinct points of each
+    sub-question (blank ones left out) as mappings of the second rank. Rows: question_id, is_composite, points
+    array<string>, subs array<struct<qno,points>>."""
+    own = questions.select("question_id", F.lit(None).cast("string").alias("sub"), F.explode("points").alias("point"), F.lit(True).alias("is_primary"))
+    subs = questions.where("is_composite").select("question_id", F.explode("subs").alias("s"))
+    below = subs.select("question_id", F.col("s.qno").alias("sub"), F.explode(F.array_distinct(F.filter(F.transform(F.col("s.points"), lambda p: F.trim(p)), lambda p: p != ""))).alias("point"), F.lit(False).alias("is_primary"))
+    return own.unionByName(below)

@@ -121,7 +121,7 @@ ORACLES = {
     "section_spans": W + " SELECT doc_id, section, low, high, lead(low) OVER (PARTITION BY doc_id ORDER BY low) AS until FROM (SELECT doc_id, line_no // 4 AS section, min(line_no) AS low, max(line_no) AS high FROM lines GROUP BY 1, 2)",
     "footer_filter": W + " SELECT count(*) AS n FROM lines WHERE NOT regexp_matches(text, '^\\s*第\\s*\\d+\\s*页\\s*[/／]?\\s*共\\s*\\d+\\s*页\\s*$')",
     "best_start": W + " SELECT doc_id, length(text) % 5 AS number, arg_max(line_no, (length(text) % 7, -line_no)) AS line_no FROM lines GROUP BY 1, 2",
-    "best_pass": "SELECT l_orderkey AS doc_id, arg_max(l_linenumber, (CAST(l_quantity AS INT), -l_suppkey, -l_linenumber)) AS pass FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1",
+    "best_pass": "SELECT l_orderkey AS doc_id, arg_max(l_linenumber, (CAST(l_quantity AS INT), -l_suppkey, -l_linenumber)) AS pass FROM lineitem GROUP BY 1",
     "turn_pairs": "SELECT conv_id AS doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT conv_id, length(text) + coalesce(length(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), 0) AS n FROM conversations) GROUP BY 1",
     "line_types": W + """ SELECT CASE WHEN regexp_matches(text, '[（(]\\s*\\d+\\s*[）)]\\s*[A-D]') THEN 'answer_table' WHEN regexp_matches(text, '[（(]\\s*[A-D]\\s*[）)]') THEN 'option'
       WHEN regexp_matches(text, '^\\s*\\d+\\s*[.]([^0-9\\\\]|$)') OR regexp_matches(text, '^\\s*\\d+\\s*、') OR (regexp_matches(text, '^\\s*[（(]\\s*\\d+\\s*[）)]') AND NOT regexp_matches(text, '[A-D]\\s*[）)]')) THEN 'question_number' ELSE 'stem' END AS kind, count(*) AS n FROM lines GROUP BY 1""",

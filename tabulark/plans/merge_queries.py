@@ -18,7 +18,7 @@ def _two_sides(s, d):
     return out.withColumn("native_text", native).withColumn("block_type", F.lit("text"))
 
 
-SIDES_SQL = f"""WITH {LINES_SQL}, a AS (SELECT * FROM lines WHERE line_no <= 6),
+SIDES_SQL = f"""WITH {LINES_SQL}, a AS (SELECT * FROM lines),
 sides AS (SELECT a.doc_id, a.line_no, a.text AS p, CASE a.doc_id % 5 WHEN 0 THEN a.text || ' x' WHEN 1 THEN substring(a.text, 1, 10) WHEN 2 THEN replace(a.text, ' ', '  ') ELSE coalesce(b.text, '') END AS n
   FROM a LEFT JOIN a b ON b.doc_id = a.doc_id + 1 AND b.line_no = a.line_no),
 n AS (SELECT *, regexp_replace(p, '\\s+', '', 'g') AS ps, regexp_replace(n, '\\s+', '', 'g') AS ns FROM sides)"""
@@ -41,7 +41,7 @@ def _boxes(s, d, side):
 
 def _boxes_sql(side, name):
     return f"""{name} AS (SELECT id, page, b.x AS x1, b.y AS y1, b.x + 20 + b.q AS x2, b.y + 30 + b.q AS y2 FROM (
-      SELECT l_orderkey AS id, l_orderkey % 40 AS page, min(struct_pack(x := CAST(l_suppkey * 37 % 500 AS DOUBLE), y := CAST(l_partkey * 13 % 700 AS DOUBLE), q := l_quantity)) AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 3000 AND l_suppkey % 2 = {side} GROUP BY 1, 2))"""
+      SELECT l_orderkey AS id, l_orderkey // 40 AS page, min(struct_pack(x := CAST(l_suppkey * 37 % 500 AS DOUBLE), y := CAST(l_partkey * 13 % 700 AS DOUBLE), q := l_quantity)) AS b FROM lineitem WHERE l_suppkey % 2 = {side} GROUP BY 1, 2))"""
 
 
 BOXES_SQL = f"WITH {_boxes_sql(0, 'l')}, {_boxes_sql(1, 'r')}"
@@ -70,9 +70,9 @@ def _gate_rows(s, d):
     )
 
 
-SCORE_SQL = """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE substring(text, 1, 700) END AS stem, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt,
-  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '。' ELSE substring(text, 3, 5) END AS answer, doc_id % 4 AS src FROM documents WHERE n_chars < 6000),
-s AS (SELECT k, 1.0 - CASE WHEN k % 9 = 0 THEN 0.05 ELSE 0 END - CASE k % 13 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE 0 END - CASE WHEN trim(stem) = '' THEN 0.5 ELSE 0 END
+SCORE_SQL = """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS stem, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt,
+  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '。' ELSE substring(text, 3, 5) END AS answer, doc_id % 4 AS src FROM documents),
+s AS (SELECT k, 1.0 - CASE WHEN k % 9 = 0 THEN 0.05 ELSE 0 END - CASE k % 13 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE 0 END - CASE WHEN trim(stem) = '' THEN 0.5 ELSE 0 END - CASE WHEN length(stem) > CASE WHEN k % 3 = 1 OR contains(stem, '材料') THEN 3000 ELSE 800 END THEN 0.4 ELSE 0 END
   - CASE WHEN k % 3 = 0 AND n_opt = 0 THEN 0.5 WHEN k % 3 = 0 AND n_opt < 4 THEN 0.3 ELSE 0 END - CASE WHEN answer IS NULL AND src = 0 THEN 0.2 ELSE 0 END
   - CASE WHEN src = 1 AND (answer IS NULL OR trim(answer) = '' OR regexp_matches(answer, '^[\\s，。；：、.．!！?？\\-—…]+$')) THEN 0.5 ELSE 0 END - CASE WHEN src = 1 AND k % 6 = 0 THEN 0.4 ELSE 0 END
   - CASE WHEN k % 5 = 0 THEN 0.1 ELSE 0 END - CASE WHEN src = 0 AND coalesce(answer, '') = '' THEN 0.3 ELSE 0 END AS score FROM q)
@@ -202,9 +202,9 @@ ORACLES = {
       WHEN ns = '' THEN struct_pack(w := 'ppsv3', t := 'partial', c := 0.95::DOUBLE, r := false) WHEN ps = ns THEN struct_pack(w := 'ppsv3', t := 'equivalent', c := 1.0::DOUBLE, r := false)
       WHEN contains(ns, ps) THEN struct_pack(w := 'native', t := 'complementary', c := 0.9::DOUBLE, r := false) WHEN contains(ps, ns) THEN struct_pack(w := 'ppsv3', t := 'partial', c := 0.95::DOUBLE, r := false)
       ELSE struct_pack(w := 'ppsv3', t := 'conflicting', c := 0.5::DOUBLE, r := true) END AS v FROM n)""",
-    "coverage_ratio": """WITH t AS (SELECT doc_id, substring(text, 1, 400) AS a, substring(text, 1, 200) AS b FROM documents), p AS (SELECT doc_id, b, substring(a, i * 40 + 1, 40) AS piece FROM (SELECT *, unnest(range(CAST(ceil(length(a) / 40.0) AS BIGINT))) AS i FROM t))
+    "coverage_ratio": """WITH t AS (SELECT doc_id, text AS a, substring(text, 1, length(text) // 2) AS b FROM documents), p AS (SELECT doc_id, b, substring(a, i * 40 + 1, 40) AS piece FROM (SELECT *, unnest(range(CAST(ceil(length(a) / 40.0) AS BIGINT))) AS i FROM t))
       SELECT doc_id, avg(CASE WHEN contains(b, piece) THEN 1.0 ELSE 0.0 END) AS coverage FROM p GROUP BY doc_id""",
-    "majority_vote": "WITH c AS (SELECT l_orderkey AS k, l_returnflag AS v, count(*) AS n, min(l_linenumber) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT k, arg_min(v, (-n, p, v)) AS value, max(n) AS votes FROM c GROUP BY k",
+    "majority_vote": "WITH c AS (SELECT l_orderkey AS k, l_returnflag AS v, count(*) AS n, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2) SELECT k, arg_min(v, (-n, p, v)) AS value, max(n) AS votes FROM c GROUP BY k",
     "two_tier_match": """WITH l AS (SELECT c_custkey AS left_id, c_custkey % 300 AS a, c_nationkey AS b FROM customer), one AS (SELECT left_id, s_suppkey AS right_id, 1 AS tier FROM l JOIN supplier ON a = s_suppkey)
       SELECT * FROM one UNION ALL SELECT left_id, m, 2 FROM l JOIN (SELECT s_nationkey, min(s_suppkey) AS m FROM supplier GROUP BY 1) ON b = s_nationkey WHERE left_id NOT IN (SELECT left_id FROM one)""",
     "iou_pairs": BOXES_SQL + f" SELECT l.id AS left_id, arg_max(r.id, ({IOU}, -r.id)) AS right_id, round(max({IOU}), 6) AS iou FROM l JOIN r ON {BOTH} WHERE {IOU} > 0.3 GROUP BY l.id",
@@ -213,7 +213,7 @@ ORACLES = {
     "point_in_box": BOXES_SQL + f" SELECT l.id AS point_id, arg_min(r.id, (r.id % 3, -r.id)) AS box_id FROM l JOIN r ON {BOTH} AND l.x1 BETWEEN r.x1 - 20 AND r.x2 + 20 AND l.y1 BETWEEN r.y1 - 20 AND r.y2 + 20 GROUP BY l.id",
     "grid_key": "SELECT CAST(round_even(l_quantity / 10, 0) * 10 AS INT) AS cell, count(*) AS n FROM lineitem GROUP BY 1",
     "quality_score": SCORE_SQL,
-    "rule_failures": """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt, doc_id % 17 = 0 OR trim(substring(text, 1, 700)) = '' AS empty FROM documents WHERE n_chars < 6000)
+    "rule_failures": """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt, doc_id % 17 = 0 OR trim(text) = '' AS empty FROM documents)
       SELECT 'r01' AS rule, count(*) FILTER (WHERE empty) AS failed, count(*) AS n FROM q UNION ALL SELECT 'r04', count(*) FILTER (WHERE (k % 3 = 2 AND n_opt <> 2) OR (k % 3 = 0 AND n_opt = 0)), count(*) FROM q UNION ALL SELECT 'r13', 0, count(*) FROM q UNION ALL SELECT 'r16', 0, count(*) FROM q""",
     "discard_histogram": "SELECT event_type AS issue, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT CASE WHEN value > 100 THEN 'large' ELSE 'small' END, count(*) FROM events GROUP BY 1",
     "field_accuracy": """WITH r AS (SELECT p_partkey % 10 <> 3 AS there, p_partkey % 4 AS k FROM part) SELECT field, correct, total, round(correct / total, 4) AS accuracy FROM (

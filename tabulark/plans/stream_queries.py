@@ -92,7 +92,7 @@ ORACLES = {
     "breaker_openings": f"WITH {RUNS} SELECT key, event_id FROM r WHERE kind = 'failed' QUALIFY row_number() OVER (PARTITION BY key, g ORDER BY ts, event_id) = 2",
     "pick_next_fifo": f"WITH {E} SELECT key FROM latest WHERE state = 'queued' ORDER BY since, key LIMIT 5",
     "pick_next_lifo": f"WITH {E} SELECT key FROM latest WHERE state = 'queued' ORDER BY since DESC, key LIMIT 1",
-    "first_success": "SELECT event_id % 800 AS key, arg_min(event_type, event_id) AS provider, min(event_id) AS result FROM events WHERE event_id < 5000 AND value > 20 GROUP BY 1",
+    "first_success": "SELECT event_id % 800 AS key, arg_min(event_type, event_id) AS provider, min(event_id) AS result FROM events WHERE value > 20 GROUP BY 1",
     "stage_durations": "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1",
     "wrong_stats": f"WITH {ANSWERS_SQL} SELECT question_id, count(*) AS wrong, count(DISTINCT student) AS students FROM answers WHERE NOT is_correct GROUP BY 1",
     "weak_points": f"WITH {ANSWERS_SQL} SELECT student, node, count(*) AS attempts, round(avg(CAST(is_correct AS INT)), 6) AS rate FROM answers GROUP BY 1, 2 HAVING count(*) >= 5",

@@ -19,6 +19,12 @@ def update_from(rows: DataFrame, source: DataFrame, on: list[str], columns: list
     return out.drop(*[f"_s_{c}" for c in columns])
 
 
+def update_where(rows: DataFrame, keys: DataFrame, on: list[str], values: dict[str, Column]) -> DataFrame:
+    """`rows` with `values` set where the key is among `keys`."""
+    hit = rows.join(keys.select(*on).distinct().withColumn("_hit", F.lit(True)), on, "left")
+    return hit.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
+
+
 def upsert(rows: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return delete(rows, new, on).unionByName(new)
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabulark.functions.exam import number_label
+
+#: Characters that a JSON value may end with.
+VALUE_ENDS = '}]"0123456789elE'
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 SNAPSHOT = (
     "filename string, source string, postprocessed boolean, pages array<struct<page_no:int,width:int,height:int>>, "
@@ -65,12 +69,30 @@ def ocr_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
-    """Blocks split into lines at newlines; tables stay whole; blank lines go."""
+    """Blocks split into lines at newlines; tables stay whole; blank lines go. See `numbered_lines` for ids."""
     parts = F.when(F.col("label") == "table", F.array("content")).otherwise(F.split("content", "\n"))
     rows = blocks.select("page", "block_no", "label", F.posexplode(parts).alias("pos", "text"))
     return rows.where(F.trim("text") != "")
 
 
+def numbered_lines(blocks: DataFrame, prefix: str = "P") -> DataFrame:
+    """line_id, page, line_no_in_page, order, text, block_type of the blocks of one document: lines in the order of
+    pages and blocks, numbered on each page and over all pages."""
+    rows = block_lines(blocks)
+    lines = rows.withColumn("line_no_in_page", F.row_number().over(Window.partitionBy("page").orderBy("block_no", "pos")))
+    pages = lines.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # the pages of one document
+    lines = lines.join(pages.select("page", before.alias("_before")), "page")
+    kind = F.when(F.col("label").isin("table", "formula"), F.col("label")).otherwise("text")
+    return lines.select(F.format_string("%s%dL%03d", F.lit(prefix), "page", "line_no_in_page").alias("line_id"), "page", "line_no_in_page", (F.col("_before") + F.col("line_no_in_page")).alias("order"), "text", kind.alias("block_type"))
+
+
+def box_of_name(name: Column) -> Column:
+    """A box from an image name that ends in `_x1_y1_x2_y2` before its extension; null otherwise."""
+    parts = F.transform(F.split(F.regexp_extract(name, r"_(\d+_\d+_\d+_\d+)\.[A-Za-z]+$", 1), "_"), lambda x: x.try_cast("double"))
+    return F.when(F.size(parts) == 4, F.struct(*[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))]))
+
+
 def text_blocks(blocks: DataFrame, top: float = 15.0, bottom: float = 800.0) -> DataFrame:
     """Layout blocks (doc_id, page, x, y, text) inside the page body, numbered from top to bottom."""
     order = Window.partitionBy("doc_id", "page").orderBy("y", "x")
@@ -80,9 +102,8 @@ def text_blocks(blocks: DataFrame, top: float = 15.0, bottom: float = 800.0) ->
 def numbered_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """Automatic numbers of paragraphs (doc_id, pos, num_id, level, format, text) written out again."""
     order = Window.partitionBy("doc_id", "num_id", "level").orderBy("pos")
-    n = F.row_number().over(order)
-    letter = F.char(F.lit(64) + ((n - 1) % 26 + 1))
-    prefix = F.when(F.col("num_id").isNull(), "").when(F.col("format") == "upperLetter", F.concat(letter, F.lit(". "))).when(F.col("format") == "lowerLetter", F.concat(F.lower(letter), F.lit(". "))).otherwise(F.concat(n.cast("string"), F.lit(". ")))
+    number = number_label(F.row_number().over(order), F.coalesce("format", F.lit("decimal")))
+    prefix = F.when(F.col("num_id").isNull(), "").otherwise(F.concat(number, F.lit(". ")))
     return paragraphs.withColumn("text", F.concat(prefix, F.col("text")))
 
 
@@ -111,28 +132,35 @@ def _object(text: str | None) -> str | None:
         return json.dumps(value, ensure_ascii=False)
     except ValueError:
         pass
-    for end in range(len(body), 0, -1):
-        if end < len(body) and body[end - 1] not in "}]\"0123456789elE":
-            continue
-        stack, quoted, skip = [], False, False
-        for ch in body[:end]:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = ch == "\\", ch != '"'
-            elif ch == '"':
-                quoted = True
-            elif ch in "{[":
-                stack.append("}" if ch == "{" else "]")
-            elif ch in "}]" and stack:
-                stack.pop()
+    return _closed(body)
+
+
+def _closed(body: str) -> str | None:
+    """The longest prefix of a cut-off object that can be closed. One pass notes, for each place that may end a value,
+    which brackets are open there and whether a string is; places are tried from the last one."""
+    stack, quoted, skip, ends = (), False, False, []
+    for i, ch in enumerate(body):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = ch == "\\", ch != '"'
+        elif ch == '"':
+            quoted = True
+        elif ch in "{[":
+            stack = (stack, "}" if ch == "{" else "]")
+        elif ch in "}]" and stack:
+            stack = stack[0]
+        if not skip and (ch in VALUE_ENDS or i == len(body) - 1):
+            ends.append((i + 1, stack, quoted))
+    for end, stack, quoted in reversed(ends):
+        tail = '"' if quoted else ""
+        while stack:
+            stack, close = stack
+            tail += close
         try:
-            return json.dumps(json.loads(body[:end] + ('"' if quoted else "") + "".join(reversed(stack))), ensure_ascii=False)
+            return json.dumps(json.loads(body[:end] + tail), ensure_ascii=False)
         except ValueError:
             continue
-        finally:
-            if len(body) - end > 2000:
-                return None
     return None
 
 
@@ -152,6 +180,21 @@ def _repair(text: str | None) -> str | None:
     return fixed if re.search("[一-鿿]", fixed) else text
 
 
+@F.pandas_udf(T.BooleanType())
+def is_mojibake(s: pd.Series) -> pd.Series:
+    """Whether a text with characters U+0080 to U+00FF is GBK read as cp1252."""
+
+    def one(text):
+        if not text or not any("\x80" <= ch <= "\xff" for ch in text):
+            return False
+        try:
+            return bool(re.search("[一-鿿]", text.encode("cp1252").decode("gbk")))
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return False
+
+    return s.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def repair_gbk(s: pd.Series) -> pd.Series:
     """GBK bytes that were read as cp1252 come back; anything else stays."""

@@ -64,12 +64,48 @@ def pick_next(events: DataFrame, state: str, k: int = 5, newest: bool = False) -
     return rows.orderBy(F.desc("since") if newest else F.asc("since"), "key").limit(k).select("key", "since")
 
 
+def breaker_states(events: DataFrame, bad: str, limit: int = 2, open_seconds: int = 300) -> DataFrame:
+    """key, ts, event_id, open: whether the breaker is open when an event arrives: within `open_seconds` after the latest
+    opening before it."""
+    opened = breaker_openings(events, bad, limit).withColumn("_opens", F.lit(True))
+    rows = events.join(opened, ["key", "ts", "event_id"], "left")
+    before = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_opens"), F.col("ts"))).over(before)
+    return rows.select("key", "ts", "event_id", F.coalesce(F.col("ts") < last + F.make_interval(secs=F.lit(open_seconds)), F.lit(False)).alias("open"))
+
+
+#: The transitions of a task.
+TASK_STEPS = {"queued": ["running", "failed"], "running": ["succeeded", "failed"], "failed": ["queued"], "succeeded": []}
+
+
+def task_transitions(events: DataFrame) -> DataFrame:
+    """key, event_id, before, kind, allowed: every event of a task's log against the state before it. The first event
+    must be queued; a retry sends a failed task back to the queue."""
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    before = F.lag("kind").over(order)
+    allowed = F.when(F.col("before").isNull(), F.col("kind") == "queued")
+    for state, after in TASK_STEPS.items():
+        allowed = allowed.when(F.col("before") == state, F.col("kind").isin(*after) if after else F.lit(False))
+    return events.withColumn("before", before).select("key", "event_id", "before", "kind", F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
+def by_priority(tasks: DataFrame, k: int = 5) -> DataFrame:
+    """The k queued tasks (key, priority, since) that run next: highest priority, then longest waiting."""
+    return tasks.orderBy(F.desc("priority"), "since", "key").limit(k)
+
+
 def first_success(attempts: DataFrame) -> DataFrame:
     """key, provider, result of the first provider in order that has a result."""
     ok = attempts.where("result is not null")
     return ok.groupBy("key").agg(F.min_by(F.struct("provider", "result"), "rank").alias("r")).select("key", "r.provider", "r.result")
 
 
+def selected_stages(log: DataFrame) -> DataFrame:
+    """`log` (key, stage, attempt, seconds) with selected: the last attempt of each stage is the one that counts."""
+    last = F.max("attempt").over(Window.partitionBy("key", "stage"))
+    return log.withColumn("selected", F.col("attempt") == last)
+
+
 def stage_durations(log: DataFrame) -> DataFrame:
     """stage, n, mean and median of seconds."""
     return log.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("seconds"), 6).alias("mean"), F.round(F.percentile("seconds", F.lit(0.5)), 6).alias("median"))
