@@ -6,7 +6,8 @@ sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), lin
 
 Labels come from rows whose fold (crc32 of doc_id as text, mod 5) is not 0; neither the label, doc_id, lang nor
 source is an input. Fitting uses at most `sample_rows` labelled documents, those with the smallest hash of their
-id, so the driver's share is bounded; scoring covers every whole text and needs no shuffle.
+id, so the driver's share is bounded; scoring covers every whole text and needs no shuffle. The number of passes over
+these rows is a training rule: `epochs`, and more where that would be under 800 batches.
 
 Defined cases: null text counts as empty; an empty text has its statistics only; several label rows of a document
 are averaged; with no labels every score is 0.5; repeated rows get equal scores; an empty table stays empty.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.common import arrow_rows, fold, string_hashes, sub_batches, tidy
+from tabulark.llm.common import arrow_rows, bound_batches, fold, string_hashes, sub_batches, tidy
 from tabulark.llm.textstats import text_stats
 
 WORD_DIMS, BINS = 8192, 8
@@ -84,7 +85,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, factors: int
     """AdaGrad on the logistic loss. Targets may be fractions."""
     rng = np.random.default_rng(seed)
     base = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    model = {"w0": math.log(base / (1 - base)), "w": np.zeros(DIMS), "v": rng.normal(0, 0.02, (DIMS, factors))}
+    model = {"w0": math.log(base / (1 - base)), "w": np.zeros(DIMS), "v": rng.normal(0, 0.02 if len(y) else 0.0, (DIMS, factors))}
     gw, gv, g0 = np.full(DIMS, 1e-6), np.full((DIMS, factors), 1e-6), 1e-6
     for _ in range(rounds(len(y), batch, epochs)):
         order = rng.permutation(len(y))
@@ -122,6 +123,7 @@ def _feature_rows(columns: list[list]):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, sample_rows: int = 8000, train=train) -> dict:
     """A model from at most `sample_rows` labelled documents outside fold 0."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.avg(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -137,7 +139,7 @@ def scorer(model: dict):
 
     def run(batches):
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 1_500_000):
                 rows = [features(t) for t in part.column(1).to_pylist()]
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 z, _ = logits(model, np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), starts)

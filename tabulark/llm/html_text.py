@@ -247,12 +247,8 @@ class Writer:
 
     def result(self) -> list[str]:
         self.line_break()
-        lines = self.lines
-        while lines and not lines[0]:
-            lines = lines[1:]
-        while lines and not lines[-1]:
-            lines = lines[:-1]
-        return lines
+        full = [i for i, line in enumerate(self.lines) if line]
+        return self.lines[full[0] : full[-1] + 1] if full else []
 
 
 def render(root: Node, depth: int = 0, visible: bool = True) -> list[str]:

@@ -68,7 +68,7 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 1_500_000):
                 texts = part.column(0).to_pylist()
                 rows = [features(t) for t in texts]
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])

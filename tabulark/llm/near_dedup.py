@@ -70,7 +70,7 @@ def shingle_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 1_500_000):
                 hashes, at = word_hashes(part.column(1))
                 out = []
                 for i, doc_id in enumerate(part.column(0).to_pylist()):
@@ -348,7 +348,7 @@ def with_keys(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 1_500_000):
                 hashes, at = word_hashes(part.column(0))
                 sets = [shingles(hashes[i:j], size) for i, j in zip(at, at[1:])]
                 keys = [xxhash.xxh3_128_digest(s) for s in sets]

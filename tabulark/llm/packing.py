@@ -54,23 +54,21 @@ class WordTokenizer:
 
     def __init__(self, path: str, most: int = 80_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.library, self.young, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        rules = json.loads(self.library.to_str())
-        model = rules["model"]
-        own = model["type"] == "BPE" and model["end_of_word_suffix"] == self.SUFFIX and not model["dropout"] and not model["ignore_merges"]
-        every_byte = own and all(b + end in model["vocab"] for b in pre_tokenizers.ByteLevel.alphabet() for end in ("", self.SUFFIX))
-        self.by_words = every_byte and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+        model, size = self.library.model, self.library.get_vocab_size()
+        rules = lambda part: part and json.loads(part.__getstate__())
+        own = isinstance(model, models.BPE) and model.end_of_word_suffix == self.SUFFIX and not model.dropout and not model.ignore_merges
+        every_byte = own and all(model.token_to_id(b + end) is not None for b in pre_tokenizers.ByteLevel.alphabet() for end in ("", self.SUFFIX))
+        self.by_words = every_byte and rules(self.library.normalizer) == NORMALIZER and rules(self.library.pre_tokenizer) == PRE_TOKENIZER
         if self.by_words:
-            self.ends = np.zeros(self.library.get_vocab_size(), bool)
-            self.ends[[i for w, i in model["vocab"].items() if w.endswith(self.SUFFIX)]] = True
-            by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-            slim = rules | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_bytes]}}
-            self.parts = Tokenizer.from_str(json.dumps(slim))
+            self.ends = np.array([(self.library.id_to_token(i) or "").endswith(self.SUFFIX) for i in range(size)])
+            self.parts = Tokenizer(model)  # the same model, without the normalizer
+            self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,7 +193,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         tokenizer, table = worker_tokenizer(path), directions()
         for whole in batches:
-            for part in sub_batches(whole, 4_000_000):
+            for part in sub_batches(whole, 3_000_000):
                 bare, n = tokenizer.ids(part.column(1))
                 ends = np.cumsum(n + 1)
                 ids = np.full(ends[-1], END_ID, bare.dtype)
