@@ -81,12 +81,25 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def best_boxes(left: DataFrame, right: DataFrame, page: str = "page", at_least: float = 0.3) -> DataFrame:
-    """left_id, right_id, iou: the box of greatest overlap on the same page."""
-    pairs = left.join(right.select(page, "right_id", F.col("box").alias("other")), page).withColumn("iou", box_iou(F.col("box"), F.col("other")))
+    """left_id, right_id, iou: the box of greatest overlap on the same page. Boxes meet in the grid cells that they cover,
+    and each pair once, in the cell of its intersection's corner; `at_least` must not be negative."""
+    a, b = F.col("box"), F.col("other")
+    pairs = _in_cells(left, "box").join(_in_cells(right.select(page, "right_id", F.col("box").alias("other")), "other"), [page, "_x", "_y"])
+    once = (F.col("_x") == F.floor(F.greatest(a["x1"], b["x1"]) / CELL)) & (F.col("_y") == F.floor(F.greatest(a["y1"], b["y1"]) / CELL))
+    pairs = pairs.where(once).withColumn("iou", box_iou(a, b))
     best = pairs.where(F.col("iou") > at_least).groupBy("left_id").agg(F.max(F.struct("iou", -F.col("right_id"))).alias("m"))
     return best.select("left_id", (-F.col("m.col2")).alias("right_id"), "m.iou")
 
 
+CELL = 100.0
+
+
+def _in_cells(boxes: DataFrame, box: str) -> DataFrame:
+    """One row per grid cell that a box covers."""
+    span = lambda low, high: F.sequence(F.floor(F.col(box)[low] / CELL), F.floor(F.greatest(F.col(box)[low], F.col(box)[high]) / CELL))
+    return boxes.withColumn("_x", F.explode(span("x1", "x2"))).withColumn("_y", F.explode(span("y1", "y2")))
+
+
 def without_near_box(left: DataFrame, right: DataFrame, page: str = "page", reach: float = 50.0) -> DataFrame:
     """Left boxes with no right box on the page whose centre lies within `reach` on both axes. Centres fall into
     grid cells of that size and meet the nine cells around, so the join is an equi-join."""
@@ -107,10 +120,13 @@ def nearest(left: DataFrame, right: DataFrame, page: str = "page") -> DataFrame:
 
 
 def in_box(points: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 20.0) -> DataFrame:
-    """The box that holds each point within `slack`: the lowest priority number, the last of equals."""
+    """The box that holds each point within `slack`: the lowest priority number, the last of equals. A point looks into
+    its own grid cell only; boxes are entered, with their slack, in every cell that they cover."""
     x, y, b = F.col("x"), F.col("y"), F.col("box")
     inside = (x >= b["x1"] - slack) & (x <= b["x2"] + slack) & (y >= b["y1"] - slack) & (y <= b["y2"] + slack)
-    hits = points.join(boxes.select(page, "box_id", "priority", "box"), page).where(inside)
+    wide = F.struct(*[(F.col("box")[k] + (slack if k in ("x2", "y2") else -slack)).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    entered = _in_cells(boxes.select(page, "box_id", "priority", "box", wide.alias("_wide")), "_wide")
+    hits = points.withColumn("_x", F.floor(x / CELL)).withColumn("_y", F.floor(y / CELL)).join(entered, [page, "_x", "_y"]).where(inside)
     return hits.groupBy("point_id").agg(F.min_by("box_id", F.struct("priority", -F.col("box_id"))).alias("box_id"))
 
 

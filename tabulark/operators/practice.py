@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,10 +46,13 @@ def shares(rows: DataFrame, key: str, within: str | None = None) -> DataFrame:
     return joined.select(*keys, "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))
 
 
-def similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, vec_id, score, rank: exact nearest vectors by cosine. The stated queries are a bounded set and are
-    broadcast; every block of vectors keeps its k best per query before the exchange."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")))
-    scored = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
+def similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 50_000) -> DataFrame:
+    """query_id, vec_id, score, rank: exact nearest vectors by cosine. The stated queries meet all vectors in blocks of
+    about `block` queries, each broadcast by itself; every task keeps its k best per query before the exchange."""
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block"))
+    rows = vectors.select("vec_id", "embedding")
+    met = [rows.join(F.broadcast(q.where(F.col("_block") == b)), F.col("vec_id") != F.col("query_id")) for b in range(blocks)]
+    scored = reduce(DataFrame.unionByName, met).select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,13 +41,14 @@ def keyword_index(nodes: DataFrame) -> DataFrame:
 
 def map_points(points: DataFrame, nodes: DataFrame, threshold: float = 0.7, unknown: str = "UNKNOWN") -> DataFrame:
     """question_id, code, confidence, known. Points (question_id, point) match keywords exactly, else by containment
-    either way; the deepest candidate wins, and confidence is the share of points that matched. The index is a
-    dimension; only points without an exact match meet all keywords."""
+    either way; the deepest candidate wins, and confidence is the share of points that matched. A text that another one
+    contains begins with a piece of up to three characters that the other one contains too: points without an exact
+    match and keywords meet by these pieces, never all with all."""
     index = nodes.select("code", "level", F.explode("keywords").alias("keyword"))
     distinct = points.select("point").distinct()
     exact = distinct.join(index, F.col("point") == F.col("keyword")).select("point", "code", "level")
     rest = distinct.join(exact.select("point"), "point", "left_anti")
-    loose = rest.join(index, F.contains("point", "keyword") | F.contains("keyword", "point")).select("point", "code", "level")
+    loose = _contained(rest, index).select("point", "code", "level").distinct()
     hits = points.join(exact.unionByName(loose), "point", "left")
     out = hits.groupBy("question_id").agg(
         F.max_by("code", F.when(F.col("code").isNotNull(), F.struct("level", "code"))).alias("best"),
@@ -57,6 +58,20 @@ def map_points(points: DataFrame, nodes: DataFrame, threshold: float = 0.7, unkn
     return out.select("question_id", F.when(known, F.col("best")).otherwise(unknown).alias("code"), F.round("confidence", 6).alias("confidence"), known.alias("known"))
 
 
+def _pieces(c: Column) -> Column:
+    """All pieces of one to three characters of a text."""
+    of = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def _contained(points: DataFrame, index: DataFrame) -> DataFrame:
+    """Points and keywords of which one contains the other."""
+    head = lambda c: F.substring(c, F.lit(1), F.least(F.length(c), F.lit(3)))
+    holds = points.select("point", F.explode(_pieces(F.col("point"))).alias("_p")).join(index.where("keyword <> ''").withColumn("_p", head(F.col("keyword"))), "_p").where(F.contains("point", "keyword"))
+    held = points.where("point <> ''").withColumn("_p", head(F.col("point"))).join(index.select("*", F.explode(_pieces(F.col("keyword"))).alias("_p")), "_p").where(F.contains("keyword", "point"))
+    return holds.select("point", "code", "level").unionByName(held.select("point", "code", "level"))
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """parent, n, codes in order."""
     return nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("code")), ",").alias("codes"))

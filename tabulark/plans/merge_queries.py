@@ -70,6 +70,8 @@ def _gate_rows(s, d):
     )
 
 
+#: What blocks publishing, on the rows of _gate_rows: anchors, options, an annotated answer without text or lines, no answer.
+BLOCKED_SQL = """k % 13 IN (0, 1) OR (k % 3 = 0 AND n_opt = 0) OR (src = 1 AND (answer IS NULL OR trim(answer) = '' OR regexp_matches(answer, '^[\\s，。；：、.．!！?？\\-—…]+$') OR k % 6 = 0)) OR (src = 0 AND coalesce(answer, '') = '')"""
 SCORE_SQL = """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS stem, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt,
   CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '。' ELSE substring(text, 3, 5) END AS answer, doc_id % 4 AS src FROM documents),
 s AS (SELECT k, 1.0 - CASE WHEN k % 9 = 0 THEN 0.05 ELSE 0 END - CASE k % 13 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE 0 END - CASE WHEN trim(stem) = '' THEN 0.5 ELSE 0 END - CASE WHEN length(stem) > CASE WHEN k % 3 = 1 OR contains(stem, '材料') THEN 3000 ELSE 800 END THEN 0.4 ELSE 0 END
@@ -213,6 +215,14 @@ ORACLES = {
     "point_in_box": BOXES_SQL + f" SELECT l.id AS point_id, arg_min(r.id, (r.id % 3, -r.id)) AS box_id FROM l JOIN r ON {BOTH} AND l.x1 BETWEEN r.x1 - 20 AND r.x2 + 20 AND l.y1 BETWEEN r.y1 - 20 AND r.y2 + 20 GROUP BY l.id",
     "grid_key": "SELECT CAST(round_even(l_quantity / 10, 0) * 10 AS INT) AS cell, count(*) AS n FROM lineitem GROUP BY 1",
     "quality_score": SCORE_SQL,
+    "quality_counters": SCORE_SQL.replace("ELSE 0 END AS score FROM q)", f"ELSE 0 END AS score, {BLOCKED_SQL} AS blocked FROM q)").rsplit("SELECT", 1)[0] + "SELECT count(*) FILTER (WHERE round(greatest(0.0, score), 6) >= 0.8) AS high, count(*) FILTER (WHERE round(greatest(0.0, score), 6) < 0.5) AS low, count(*) FILTER (WHERE blocked) AS blocked FROM s",
+    "best_overlap_match": """WITH k AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT o, count(*) AS n FROM k GROUP BY o),
+      p AS (SELECT a.o AS l, b.o AS r, count(*) AS c FROM k a JOIN k b ON a.s = b.s AND a.o // 20 = b.o // 20 WHERE a.o % 2 = 0 AND b.o % 2 = 1 GROUP BY 1, 2)
+      SELECT l AS left_id, arg_max(r, (0.6 * c / n + 0.4, -r)) AS right_id, round(max(0.6 * c / n + 0.4), 6) AS score FROM p JOIN n ON o = l GROUP BY l""",
+    "deepest_match": f"""WITH {NODES_SQL}, p AS (SELECT DISTINCT c_custkey AS q, unnest(['nation_' || c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'nowhere' ELSE 'region_1' END]) AS point FROM customer), d AS (SELECT DISTINCT point FROM p),
+      exact AS (SELECT point, code, level FROM d JOIN nodes ON point = keyword), h AS (SELECT * FROM exact UNION ALL SELECT point, code, level FROM d JOIN nodes ON contains(point, keyword) OR contains(keyword, point) WHERE point NOT IN (SELECT point FROM exact)),
+      m AS (SELECT q, arg_max(code, (level, code)) FILTER (WHERE code IS NOT NULL) AS best, count(DISTINCT CASE WHEN code IS NOT NULL THEN point END) / count(DISTINCT point) AS c FROM p LEFT JOIN h USING (point) GROUP BY q)
+      SELECT q AS question_id, CASE WHEN best IS NOT NULL AND c >= 0.7 THEN best ELSE 'UNKNOWN' END AS code, round(c, 6) AS confidence, best IS NOT NULL AND c >= 0.7 AS known FROM m""",
     "rule_failures": """WITH q AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 WHEN doc_id % 3 = 1 THEN 0 ELSE least(2, doc_id % 5) END AS n_opt, doc_id % 17 = 0 OR trim(text) = '' AS empty FROM documents)
       SELECT 'r01' AS rule, count(*) FILTER (WHERE empty) AS failed, count(*) AS n FROM q UNION ALL SELECT 'r04', count(*) FILTER (WHERE (k % 3 = 2 AND n_opt <> 2) OR (k % 3 = 0 AND n_opt = 0)), count(*) FROM q UNION ALL SELECT 'r13', 0, count(*) FROM q UNION ALL SELECT 'r16', 0, count(*) FROM q""",
     "discard_histogram": "SELECT event_type AS issue, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT CASE WHEN value > 100 THEN 'large' ELSE 'small' END, count(*) FROM events GROUP BY 1",

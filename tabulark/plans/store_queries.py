@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulark import sinks
+from tabulark.functions import patterns as pt
 from tabulark.operators import anchors, annotations, answers, bank, dedup, evals, lines as ln, merge, practice, taxonomy
 from tabulark.plans.line_queries import NORM_SQL, hashed
 from tabulark.plans.proxies import LINES_SQL, lines, read
 from tabulark.plans.stream_queries import ANSWERS_SQL, STATE_SQL, answers as answer_log, events
+from tabulark.session import shared_folder
 from tabulark.sources import readers
 from tabulark.streaming import states
 
@@ -56,7 +58,7 @@ def _move(s, d):
 def _json_round_trip(s, d):
     import uuid
 
-    path = f"{_folder(s)}/dump-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/dump-{uuid.uuid4().hex}"
     rows = read(s, d, "nation").select("n_nationkey", "n_name", F.struct("n_regionkey").alias("nested"))
     sinks.write_json(rows, path)
     return s.read.schema(rows.schema).json(path).select("n_nationkey", "n_name", F.col("nested.n_regionkey").alias("n_regionkey"))
@@ -65,23 +67,13 @@ def _json_round_trip(s, d):
 def _append_round_trip(s, d):
     import uuid
 
-    path = f"{_folder(s)}/events-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/events-{uuid.uuid4().hex}"
     rows = read(s, d, "events").select("event_id", "event_type")
     sinks.append_events(rows.where("event_id % 2 = 0"), path)
     sinks.append_events(rows.where("event_id % 2 = 1"), path)
     return s.read.schema(rows.schema).parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _folder(s) -> str:
-    """The folder that driver and executors share; a local one for local masters only."""
-    import tempfile
-
-    found = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not found and not (s.sparkContext.master == "local" or s.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
-
-
 def _dimension(s, d):
     dim = read(s, d, "region").where("r_regionkey < 3").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("code"))
     names = read(s, d, "nation").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.when(F.col("n_nationkey") == 3, "AMERICAS").when(F.col("n_nationkey") == 5, None).otherwise(F.col("r_name")).alias("name"))
@@ -290,6 +282,10 @@ QUERIES = {
     "breaker_states": lambda s, d: states.breaker_states(events(s, d), "failed", 2, 86400).groupBy("key").agg(F.count_if("open").alias("n_open")),
     "priority_queue": lambda s, d: states.by_priority(states.latest_state(events(s, d)).where("state = 'queued'").withColumn("priority", F.col("key") % 3)).select("key", "priority"),
     "selected_stages": lambda s, d: states.selected_stages(_events_log(s, d)).where("selected").select("key", "stage", "attempt"),
+    "set_diff_rows": lambda s, d: read(s, d, "part").select("p_partkey").subtract(read(s, d, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("p_partkey"))),
+    "hash_collisions_found": lambda s, d: dedup.hash_collisions(hashed(s, d).select("h", "text").unionByName(hashed(s, d).select("h", F.concat(F.lit(" "), "text", F.lit(".")).alias("text"))), "h", "text"),
+    "footers_dropped": lambda s, d: lines(s, d).withColumn("text", F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("第 "), F.col("line_no").cast("string"), F.lit(" 页/共 99 页"))).otherwise(F.col("text"))).where(~pt.is_footer(F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
+    "canonical_fill": lambda s, d: merge.canonical(lines(s, d).withColumn("text", F.when(F.col("line_no") % 3 == 0, F.lit(" ")).otherwise(F.col("text"))), lines(s, d).withColumn("doc_id", F.col("doc_id") - 1).withColumn("line_id", F.col("line_no")), ["doc_id", "line_no"]).groupBy("doc_id").agg(F.sum(F.length("merged")).alias("n")),
     "wrong_by_node": lambda s, d: practice.wrong_by(answer_log(s, d), answer_log(s, d).select("question_id", "node").distinct(), "node"),
 }
 
@@ -378,5 +374,10 @@ ORACLES = {
       l AS (SELECT key, ts, max(CASE WHEN opens THEN ts END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o) SELECT key, count(*) FILTER (WHERE ts < last + INTERVAL 1 DAY) AS n_open FROM l GROUP BY key""",
     "priority_queue": f"WITH {EVENTS_SQL}, s AS (SELECT key, arg_max(kind, (ts, event_id)) AS state, max(ts) AS since FROM e GROUP BY key) SELECT key, key % 3 AS priority FROM s WHERE state = 'queued' ORDER BY key % 3 DESC, since, key LIMIT 5",
     "selected_stages": "SELECT user_id AS key, event_type AS stage, max(event_id) AS attempt FROM events GROUP BY 1, 2",
+    "set_diff_rows": "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25",
+    "hash_collisions_found": f"WITH {HASHED_SQL} SELECT h, count(DISTINCT t) AS texts FROM (SELECT h, text AS t FROM hashed UNION ALL SELECT h, ' ' || text || '.' FROM hashed) GROUP BY h HAVING count(DISTINCT t) > 1",
+    "footers_dropped": f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n FROM lines WHERE line_no % 9 <> 0 GROUP BY doc_id",
+    "canonical_fill": f"""WITH {LINES_SQL} SELECT a.doc_id, CAST(sum(CASE WHEN a.line_no % 3 <> 0 AND trim(a.text) <> '' THEN length(a.text) WHEN trim(coalesce(b.text, '')) = '' THEN 0 ELSE length(trim(b.text)) END) AS BIGINT) AS n
+      FROM lines a LEFT JOIN lines b ON b.doc_id = a.doc_id + 1 AND b.line_no = a.line_no GROUP BY a.doc_id""",
     "wrong_by_node": f"""WITH {ANSWERS_SQL}, w AS (SELECT question_id, count(*) AS c FROM answers WHERE NOT is_correct GROUP BY 1), m AS (SELECT DISTINCT question_id, node FROM answers) SELECT node, CAST(sum(c) AS BIGINT) AS wrong, count(DISTINCT question_id) AS questions FROM m JOIN w USING (question_id) GROUP BY 1""",
 }

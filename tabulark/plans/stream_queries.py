@@ -36,9 +36,9 @@ def answers(s, d):
 ANSWERS_SQL = "answers AS (SELECT user_id AS student, event_type AS node, ts, event_id AS answer_id, value < 60 AS is_correct, event_id % 500 AS question_id FROM events)"
 
 
-def _stream(s, d, make, name, mode):
+def _stream(s, d, make, name, mode, keys=None):
     source = s.readStream.schema(read(s, d, "events").schema).parquet(d, pathGlobFilter="events.parquet")
-    return states.run_available(make(source.withColumn("ts", F.col("ts").cast("timestamp"))), name, mode)
+    return states.run_available(make(source.withColumn("ts", F.col("ts").cast("timestamp"))), name, mode, keys)
 
 
 def _tumbling(s, d):
@@ -70,7 +70,7 @@ QUERIES = {
     # Extensions beyond the reference: event-time windows, run as streams over what is available.
     "tumbling_counts": _tumbling,
     "session_windows": lambda s, d: _stream(s, d, lambda e: states.stream_sessions(e.select("ts", F.col("user_id").alias("key")), "6 hours", "0 seconds"), "session_windows_out", "complete").select("key", "n"),
-    "stream_retry_state": lambda s, d: _stream(s, d, lambda e: states.stream_retries(e.select(F.col("user_id").alias("key"), "ts", "event_id", _kind(RETRY).alias("kind"))), "stream_retry_out", "update"),
+    "stream_retry_state": lambda s, d: _stream(s, d, lambda e: states.stream_retries(e.select(F.col("user_id").alias("key"), "ts", "event_id", _kind(RETRY).alias("kind"))), "stream_retry_out", "update", ["key"]),
 }
 
 E = f"e AS (SELECT user_id AS key, ts, event_id, {STATE_SQL} AS kind FROM events), latest AS (SELECT key, arg_max(kind, (ts, event_id)) AS state, max(ts) AS since FROM e GROUP BY key)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +37,16 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
             "spark.ui.showConsoleProgress": "false",
         },
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and the master is local,
+    as in tests, a temporary folder takes its place for the rest of the session; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found

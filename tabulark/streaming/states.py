@@ -5,14 +5,18 @@ Events: (key, ts, event_id, kind). Batch functions reduce a bounded log; stream
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from tabulark.session import shared_folder
+
 
 def latest_state(events: DataFrame) -> DataFrame:
     """key, state: the kind of the latest event."""
@@ -146,11 +150,25 @@ def stream_retries(events: DataFrame, max_retries: int = 3) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key long, status string, count int", "status string, count int", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is available and return what its memory sink holds."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_available(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is available and return its result table. Each batch is written to a folder of its
+    number, so a batch that runs again replaces itself, and the checkpoint beside them lets a later run go on where
+    this one ended; a `folder` of one's own keeps both. In complete mode the last batch is the table; otherwise all
+    batches are, with `keys` the latest row of each key."""
+    spark, schema = stream.sparkSession, stream.schema
+    root = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/out/part={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not query.lastProgress:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(f"{root}/out/part=*")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch").select(*schema.names)  # one row
+    if keys:
+        rest = [c for c in schema.names if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*").select(*schema.names)
+    return rows.select(*schema.names)
