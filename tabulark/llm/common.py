@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulark.session import shared_folder
+
 #: The characters that separate words, and that lines are stripped of: [\x20\x09-\x0D].
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
@@ -24,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and the master is local,
-    as in tests, a temporary folder takes its place for the rest of the session; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold BATCH_BYTES at most in this session: a row count, the default, leaves their size to the
     texts. A lower setting of the session stays."""
-    now = str(spark.conf.get(BATCH_SETTING, ""))
+    now = spark.conf.get(BATCH_SETTING, None) or ""
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
@@ -56,7 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
-        self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/tabulark-{uuid.uuid4().hex}", {}, 0
+        self.spark, self.root, self.paths, self.n = spark, f"{shared_folder(spark)}/tabulark-{uuid.uuid4().hex}", {}, 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1

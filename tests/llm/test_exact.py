@@ -245,7 +245,7 @@ def test_pipeline_without_rows(spark):
 
 
 def test_cut_off_settings_are_errors(spark, monkeypatch):
-    from tabulark.llm import common
+    from tabulark import session
 
     class Fake:
         class sparkContext:
@@ -261,4 +261,4 @@ def test_cut_off_settings_are_errors(spark, monkeypatch):
                 return default
 
     with pytest.raises(ValueError):
-        common.shared_dir(Fake)
+        session.shared_folder(Fake)
