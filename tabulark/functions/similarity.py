@@ -17,6 +17,23 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def ratio_reaches(a: Column, b: Column, at_least: float) -> Column:
+    """Whether `sequence_ratio` is `at_least`; false where a side is null. Lengths and then counts of characters bound the
+    ratio from above, so most pairs of long texts need no alignment, and equal texts none either."""
+
+    @F.pandas_udf(T.BooleanType())
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s, t):
+            if s is None or t is None or s == t:
+                return s is not None and s == t
+            m = difflib.SequenceMatcher(None, s, t)
+            return m.real_quick_ratio() >= at_least and m.quick_ratio() >= at_least and m.ratio() >= at_least
+
+        return pd.Series([one(s, t) for s, t in zip(x, y)], dtype=bool)
+
+    return reaches(a, b)
+
+
 @F.pandas_udf(T.DoubleType())
 def marker_coverage(marker: pd.Series, text: pd.Series) -> pd.Series:
     """Matched characters of the marker over its length; 1.0 when contained, null when either is empty."""

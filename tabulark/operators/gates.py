@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.functions.similarity import sequence_ratio
+from tabulark.functions.similarity import ratio_reaches
 from tabulark.functions.text import normalize_text
 
 # Limits, deductions and lists of the rules.
@@ -130,14 +130,16 @@ def admit(q: DataFrame, norm=normalize_text) -> DataFrame:
     """`q` with decision (approve, review, reject), reason and the checks recorded. Rejecting rules run first and
     stop at the first failure. Sequence ratios are computed for the rows that the cheap rules let through only."""
     cheap = rule_checks(q, norm)
-    out_early = ~F.col("r01") | ~F.col("r02") | ~F.col("r03") | ~F.col("r04")
-    stem, answer, lines = norm(F.col("stem")), norm(F.col("answer")), norm(F.col("source_lines"))
-    kept = cheap.where(~out_early)
-    alike = (F.length(stem) > 20) & ~blank(F.col("answer")) & (F.contains(answer, stem) | (sequence_ratio(stem, answer) >= 0.8))
-    kept = kept.withColumn("r02", ~F.coalesce(alike, F.lit(False)))
+    go_on = F.col("r01") & F.col("r02") & F.col("r03") & F.col("r04")
+    for c in ("stem", "answer", "source_lines"):  # Python gets nulls for rows that are decided
+        cheap = cheap.withColumn(f"_{c}", F.when(go_on, norm(F.when(go_on, F.col(c)))))
+    stem, answer, lines = F.col("_stem"), F.col("_answer"), F.col("_source_lines")
+    asked = (F.length(stem) > 20) & ~blank(F.col("answer"))
+    alike = asked & (F.contains(answer, stem) | ratio_reaches(F.when(asked, stem), answer, 0.8))
+    rows = cheap.withColumn("r02", F.col("r02") & ~F.coalesce(alike, F.lit(False)))
     # Without line references the rule is of the reviewing kind and never decides.
-    kept = kept.withColumn("r08", (F.size("stem_line_ids") <= 0) | blank(F.col("source_lines")) | (sequence_ratio(stem, lines) >= 0.7) | F.contains(lines, stem))
-    rows = kept.unionByName(cheap.where(out_early).withColumn("r08", F.lit(True)))
+    free = (F.size("stem_line_ids") <= 0) | blank(F.col("source_lines"))
+    rows = rows.withColumn("r08", stem.isNull() | free | F.contains(lines, stem) | ratio_reaches(F.when(~free, stem), lines, 0.7)).drop("_stem", "_answer", "_source_lines")
     first_reject = F.coalesce(*[F.when(~F.col(r), F.lit(r)) for r in REJECTING])
     reviews = F.filter(F.array(*[F.when(~F.col(r), F.lit(r)) for r in REVIEWING]), lambda x: x.isNotNull())
     decision = F.when(first_reject.isNotNull(), "reject").when(F.size(reviews) > 0, "review").otherwise("approve")
