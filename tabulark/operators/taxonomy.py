@@ -77,8 +77,9 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("code")), ",").alias("codes"))
 
 
-def nested(nodes: DataFrame) -> DataFrame:
-    """Three-level trees as nested structs: one row per root."""
+def nested(nodes: DataFrame, subject: str | None = None) -> DataFrame:
+    """Three-level trees as nested structs: one row per root, of one `subject` if given."""
+    nodes = nodes if subject is None else nodes.where(F.col("subject") == subject)
     leaf = nodes.where("level = 3").groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("code", "name"))).alias("items"))
     mid = nodes.where("level = 2").alias("m").join(leaf.alias("l"), F.col("m.code") == F.col("l.parent"), "left")
     mid = mid.groupBy("m.parent").agg(F.sort_array(F.collect_list(F.struct("m.code", "m.name", "l.items"))).alias("groups"))
