@@ -50,9 +50,9 @@ def word_bank_groups(rows: DataFrame, is_bank: Column, at_least: int = 2) -> Dat
 def shared_material(rows: DataFrame) -> DataFrame:
     """doc_id, pos, head: questions that share a line of material, directly or over others, and the first of them.
     Labels spread along shared lines until no label changes; each round about doubles the reach by following labels
-    of labels. Rounds are cut by checkpoints where a checkpoint folder is set."""
-    links = rows.select("doc_id", "pos", F.explode("shared_line_ids").alias("line"))
-    label = rows.select("doc_id", "pos", F.col("pos").alias("head"))
+    of labels. Rounds are cut by checkpoints where a checkpoint folder is set. Rows with one pos count as one question."""
+    links = rows.select("doc_id", "pos", F.explode("shared_line_ids").alias("line")).distinct()
+    label = rows.select("doc_id", "pos").distinct().withColumn("head", F.col("pos"))
     reliable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
     while True:
         before = label

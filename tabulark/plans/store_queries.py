@@ -167,7 +167,8 @@ def _word_banks(s, d):
 
 
 def _by_parent(s, d):
-    rows = read(s, d, "lineitem").select(
+    one = read(s, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_quantity", "l_discount", "l_returnflag")])
+    rows = one.select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.floor(F.col("l_linenumber") / 3).cast("string"), F.lit("("), F.col("l_linenumber").cast("string"), F.lit(")")).alias("question_number"),
         F.array((F.col("l_suppkey") % 3).cast("string"), (F.col("l_suppkey") % 5).cast("string")).alias("stem_line_ids"), F.array(F.lit("s")).alias("shared_line_ids"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("confidence"), F.col("l_linenumber").alias("page"),
         F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag")).alias("answer"),
@@ -297,7 +298,7 @@ TREE_SQL = "tree AS (SELECT 'R' || r_regionkey AS code, NULL AS parent, r_name A
 OPTIONS_SQL = "o AS (SELECT l_orderkey AS id, l_orderkey // 10 AS page, list_distinct(list(l_suppkey % 9)) AS k FROM lineitem GROUP BY 1)"
 ANCHORS_SQL = "a AS (SELECT user_id AS doc_id, CASE WHEN value > 80 THEN 'exact' WHEN value > 40 THEN 'fuzzy' ELSE 'retry' END AS status FROM events)"
 EVENTS_SQL = f"e AS (SELECT user_id AS key, ts, event_id, {STATE_SQL} AS kind FROM events)"
-ROMAN_SQL = "CASE n WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' ELSE 'IV' END"
+ROMAN_SQL = "repeat('X', CAST(n // 10 AS INT)) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1]  /* to 39 */"
 
 ORACLES = {
     "w_insert": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
@@ -349,9 +350,9 @@ ORACLES = {
       FROM (SELECT l_orderkey, l_linenumber, l_suppkey, max(CASE WHEN l_linenumber = 2 THEN 7 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS t FROM lineitem)""",
     "word_bank_runs": f"""WITH {LINES_SQL}, m AS (SELECT doc_id, line_no, length(text) < 60 AS b, CASE WHEN length(text) < 60 AND lag(length(text) < 60) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS start FROM lines),
       r AS (SELECT *, CAST(sum(start) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS run FROM m) SELECT doc_id, run, count(*) AS n, min(line_no) AS pos, CAST(count(*) AS DOUBLE) AS score, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS ids FROM r WHERE b GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "sub_question_merge": """WITH r AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS INT) AS parent, l_partkey * 10 + l_linenumber AS pos, unnest([l_suppkey % 3, l_suppkey % 5]) AS x, generate_subscripts([1, 2], 1) AS i FROM lineitem),
+    "sub_question_merge": """WITH one AS (SELECT l_orderkey, l_partkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS INT) AS parent, l_partkey * 10 + l_linenumber AS pos, unnest([l_suppkey % 3, l_suppkey % 5]) AS x, generate_subscripts([1, 2], 1) AS i FROM one),
       f AS (SELECT doc_id, parent, x, min(pos * 10 + i) AS place FROM r GROUP BY 1, 2, 3), ids AS (SELECT doc_id, parent, string_agg(CAST(x AS VARCHAR), ',' ORDER BY place) AS ids FROM f GROUP BY 1, 2)
-      SELECT g.*, ids FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS INT) AS parent, count(*) AS n, sum(l_quantity) AS score, min(l_discount) AS confidence, arg_min(l_returnflag, l_partkey * 10 + l_linenumber) FILTER (WHERE l_linenumber % 3 <> 0) AS answer FROM lineitem GROUP BY 1, 2) g JOIN ids USING (doc_id, parent)""",
+      SELECT g.*, ids FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber // 3 AS INT) AS parent, count(*) AS n, sum(l_quantity) AS score, min(l_discount) AS confidence, arg_min(l_returnflag, l_partkey * 10 + l_linenumber) FILTER (WHERE l_linenumber % 3 <> 0) AS answer FROM one GROUP BY 1, 2) g JOIN ids USING (doc_id, parent)""",
     "shared_material": """WITH RECURSIVE x AS (SELECT l_orderkey AS d, l_linenumber AS p, unnest([l_suppkey % 6, l_partkey % 6]) AS s FROM lineitem), e AS (SELECT DISTINCT a.d, a.p, b.p AS q FROM x a JOIN x b ON a.d = b.d AND a.s = b.s),
       reach AS (SELECT d, p, p AS q FROM e UNION SELECT r.d, r.p, e.q FROM reach r JOIN e ON r.d = e.d AND r.q = e.p) SELECT d AS doc_id, p AS pos, min(q) AS head FROM reach GROUP BY 1, 2""",
     "subject_candidates": """WITH t AS (SELECT o_orderpriority AS subject, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders), n AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS subject, count(*) AS n FROM customer GROUP BY 1)
@@ -363,7 +364,7 @@ ORACLES = {
     "placed_images": """SELECT o_orderkey AS ref_id, min(l_orderkey) AS xref FROM orders JOIN lineitem ON o_orderkey % 200 = l_orderkey % 200 AND l_linenumber = 1 AND abs(o_custkey % 60 - l_suppkey % 60) < 5 AND abs(o_orderkey % 80 - l_partkey % 80) < 5 GROUP BY 1""",
     "text_blocks": """SELECT l_orderkey % 500 AS doc_id, l_linenumber AS page, count(*) AS n, CAST(min(l_suppkey * 9 % 900) AS DOUBLE) AS top FROM lineitem WHERE l_suppkey * 9 % 900 BETWEEN 15 AND 800 GROUP BY 1, 2""",
     "numbered_paragraphs": f"""WITH x AS (SELECT l_orderkey, l_linenumber = 3 AS bare, row_number() OVER (PARTITION BY l_orderkey, l_linenumber = 3 ORDER BY l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 4)
-      SELECT CASE WHEN bare THEN 't' WHEN l_orderkey % 2 = 0 THEN {ROMAN_SQL} || '. t' ELSE chr(CAST(96 + n AS INT)) || '. t' END AS text, count(*) AS n FROM x GROUP BY 1""",
+      SELECT CASE WHEN bare THEN 't' WHEN l_orderkey % 2 = 0 THEN ({ROMAN_SQL}) || '. t' ELSE chr(CAST(96 + n AS INT)) || '. t' END AS text, count(*) AS n FROM x GROUP BY 1""",
     "tables_joined": f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no, sum(CASE WHEN length(text) % 7 = 0 THEN 1 ELSE 0 END - CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS depth FROM lines),
       y AS (SELECT doc_id, coalesce(lag(depth) OVER (PARTITION BY doc_id ORDER BY line_no), 0) > 0 AS inside FROM x) SELECT doc_id, count(*) FILTER (WHERE NOT inside) AS blocks FROM y GROUP BY 1""",
     "carry_on_page": f"""WITH {LINES_SQL} SELECT doc_id, line_no, coalesce(last_value(CASE WHEN length(text) < 50 THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id, (line_no - 1) // 6 ORDER BY line_no), ((line_no - 1) // 6 + 1) * 1000) AS carried FROM lines""",
