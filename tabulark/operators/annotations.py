@@ -6,6 +6,9 @@ options array<struct<label,text>>); pos orders the questions of a document.
 
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,14 +50,15 @@ def word_bank_groups(rows: DataFrame, is_bank: Column, at_least: int = 2) -> Dat
     return merged(marked, "doc_id", "section", "run").where(F.col("n") >= at_least)
 
 
-def shared_material(rows: DataFrame) -> DataFrame:
+def shared_material(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, pos, head: questions that share a line of material, directly or over others, and the first of them.
     Labels spread along shared lines until no label changes; each round about doubles the reach by following labels
-    of labels. Rounds are cut by checkpoints where a checkpoint folder is set. Rows with one pos count as one question."""
+    of labels. Rounds are cut by checkpoints where a checkpoint folder is set. Rows with one pos count as one question. `rounds`
+    stops earlier, with a warning if labels still change; by default nothing stops them."""
     links = rows.select("doc_id", "pos", F.explode("shared_line_ids").alias("line")).distinct()
     label = rows.select("doc_id", "pos").distinct().withColumn("head", F.col("pos"))
     reliable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
-    while True:
+    for done in count(1):
         before = label
         low = links.join(label, ["doc_id", "pos"]).groupBy("doc_id", "line").agg(F.min("head").alias("low"))
         near = links.join(low, ["doc_id", "line"]).groupBy("doc_id", "pos").agg(F.min("low").alias("low"))
@@ -65,7 +69,9 @@ def shared_material(rows: DataFrame) -> DataFrame:
         changed = label.join(before.withColumnRenamed("head", "_old"), ["doc_id", "pos"]).where("head <> _old").limit(1).count()
         if before.is_cached:
             before.unpersist()
-        if not changed:
+        if not changed or done == rounds:
+            if changed:
+                warnings.warn(f"shared material: labels still change after {rounds} rounds", stacklevel=2)
             return label
 
 
