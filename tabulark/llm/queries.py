@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
+from tabulark.llm.filter_audit import audit_filters
 from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.html_text import extract_pages
 from tabulark.llm.interpolated_lm import interpolated_scores
@@ -56,7 +57,11 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules)}
+def op13_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules, op13_filter_audit)}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: 52 bits of an md5, as the rendezvous draw takes them.
 DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
@@ -88,4 +93,22 @@ marked AS (SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.last AS gone FROM lin
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op13_filter_audit": r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS bad
+  FROM worded LEFT JOIN known USING (doc_id)),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+met AS (SELECT *, coalesce(nullif(list_position(list_transform(o, lambda i: bad[i]), true), 0), 6) AS out_at FROM judged, orders),
+steps AS (SELECT met.*, s.i AS step, bad[o[s.i]] AS fails, len(list_filter(bad, lambda b: b)) AS n_bad FROM met, letters AS s),
+counted AS (
+  SELECT part, array_to_string(list_transform(o, lambda i: chr(CAST(64 + i AS INT))), '') AS filter_order, CAST(step AS INT) AS step,
+    count(*) FILTER (WHERE out_at > step) AS kept, count(*) FILTER (WHERE out_at = step) AS removed, count(*) FILTER (WHERE fails AND out_at < step) AS redundant,
+    count(*) FILTER (WHERE fails AND n_bad = 1) AS unique_fails, count(*) FILTER (WHERE out_at = step AND good = 1) AS good_lost, count(*) FILTER (WHERE out_at = step AND toxic = 1) AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM counted""",
 }
