@@ -9,6 +9,7 @@ from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.html_text import extract_pages
 from tabulark.llm.interpolated_lm import interpolated_scores
 from tabulark.llm.line_dedup import dedup_lines
+from tabulark.llm.merkle import document_manifest
 from tabulark.llm.mixing import mixing_rates
 from tabulark.llm.near_dedup import near_duplicate_classes
 from tabulark.llm.packing import pack_documents
@@ -57,15 +58,26 @@ def op10_quality_rules(spark, sf_dir):
     return weak_supervision(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules, op11_merkle_manifest, op13_filter_audit)}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: 52 bits of an md5, as the rendezvous draw takes them.
 DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
 
+#: A checksum's table follows from its polynomial; `crc` is that of a text's bytes.
+POLYNOMIAL = "polynomial AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+CRC = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+
 ORACLES: dict[str, str] = {
     # All pairs that share a shingle, verified; then everything reachable over links.
     "op4_minhash_near_dedup": rf"""
@@ -76,11 +88,10 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JO
 links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 reach AS (SELECT doc_id AS d, doc_id AS r FROM sizes UNION SELECT d, b FROM reach JOIN links ON r = a)
 SELECT d AS doc_id, any_value(n) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach JOIN sizes ON doc_id = d GROUP BY d""",
-    # The checksum's table follows from its polynomial.
     "op6_sharding": f"""
-WITH polynomial AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-bytes AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
-sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, polynomial),
+WITH {POLYNOMIAL},
+bytes AS (SELECT doc_id, coalesce(text, '') AS text, {BYTES.format("coalesce(text, '')")} AS b FROM documents),
+sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, {CRC.format("b")} AS text_crc32 FROM bytes, polynomial),
 drawn AS (SELECT doc_id, arg_max(s, (h, -s)) FILTER (WHERE s < 16) AS shard, arg_max(s, (h, -s)) AS grown FROM (SELECT doc_id, s, {DRAW.format("doc_id || '|' || s")} AS h FROM (SELECT DISTINCT doc_id FROM documents), range(17) AS r(s)) GROUP BY doc_id)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY {DRAW.format("doc_id || '|' || text_crc32 || '|' || size || '|slot'")}, doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
 FROM sized JOIN drawn USING (doc_id)""",
@@ -93,6 +104,34 @@ marked AS (SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.last AS gone FROM lin
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    # Nodes by level and position, first in each source, then over the sources; a row's rungs are its runs on the way up.
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {POLYNOMIAL},
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, coalesce('+' || source, '') AS g, {LEAF.format(FIELD.format("text"))} AS leaf,
+    CASE WHEN {CRC.format(BYTES.format("CAST(doc_id AS VARCHAR)"))} % 5 = 0 THEN {LEAF.format(FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} END AS changed
+  FROM documents, polynomial)),
+nodes AS (
+  SELECT g, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM nodes WHERE n > 1 GROUP BY g, lvl, pos // 16),
+sub AS (SELECT g, h, lvl AS depth, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over_nodes AS (
+  SELECT 0 AS lvl, pos, h, n FROM sub
+  UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM over_nodes WHERE n > 1 GROUP BY lvl, pos // 16),
+rungs AS (
+  SELECT d.g, d.pos AS leaf_pos, s.lvl AS step, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos < d.pos >> (4 * s.lvl)), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos > d.pos >> (4 * s.lvl)), '') AS r
+  FROM leaves d JOIN nodes s ON s.g = d.g AND s.n > 1 AND s.pos // 16 = (d.pos >> (4 * s.lvl)) // 16 GROUP BY ALL
+  UNION ALL
+  SELECT d.g, d.pos, u.depth + s.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos < u.pos >> (4 * s.lvl)), ''), coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos > u.pos >> (4 * s.lvl)), '')
+  FROM leaves d JOIN sub u ON u.g = d.g JOIN over_nodes s ON s.n > 1 AND s.pos // 16 = (u.pos >> (4 * s.lvl)) // 16 GROUP BY ALL),
+fold AS (
+  SELECT g, pos, 0 AS step, coalesce(changed, leaf) AS h FROM leaves
+  UNION ALL SELECT f.g, f.pos, f.step + 1, sha256(l || f.h || r) FROM fold f JOIN rungs ON rungs.g = f.g AND leaf_pos = f.pos AND rungs.step = f.step),
+proven AS (SELECT g, leaf_pos AS pos, string_agg(l || r, '' ORDER BY step) AS proof FROM rungs GROUP BY ALL),
+ends AS (SELECT g, pos, arg_max(h, step) AS folded FROM fold GROUP BY ALL)
+SELECT d.doc_id, d.leaf, u.h AS subroot, o.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded AS folded_root, e.folded = o.h AS verified
+FROM leaves d JOIN sub u ON u.g = d.g JOIN (SELECT h FROM over_nodes WHERE n = 1) o ON true LEFT JOIN proven p ON p.g = d.g AND p.pos = d.pos JOIN ends e ON e.g = d.g AND e.pos = d.pos""",
     "op13_filter_audit": r"""
 WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
