@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabulark.llm.byte_bpe import round_trip
 from tabulark.llm.common import table
 from tabulark.llm.factorisation import quality_scores
 from tabulark.llm.filter_audit import audit_filters
@@ -62,11 +63,15 @@ def op11_merkle_manifest(spark, sf_dir):
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules, op11_merkle_manifest, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_mixing, op4_minhash_near_dedup, op5_lm_scoring, op6_sharding, op7_packing, op8_line_dedup, op9_fingerprints, op10_quality_rules, op11_merkle_manifest, op12_byte_bpe, op13_filter_audit)}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: 52 bits of an md5, as the rendezvous draw takes them.
 DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
