@@ -112,7 +112,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, factors: int
     return {"w0": model["w0"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
 
 
-FEATURE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("ids", pa.binary()), ("x", pa.binary())])
+FEATURE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.float64())), ("ids", pa.binary()), ("x", pa.binary())])
 
 
 def _feature_rows(columns: list[list]):
@@ -121,17 +121,22 @@ def _feature_rows(columns: list[list]):
         yield doc_id, y, ids.tobytes(), x.tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, sample_rows: int = 8000, train=train) -> dict:
-    """A model from at most `sample_rows` labelled documents outside fold 0."""
+def fit(docs: DataFrame, labels: DataFrame, label: str | list[str] = "quality", folds: int = 5, sample_rows: int = 8000, train=train) -> dict:
+    """A model from at most `sample_rows` labelled documents outside fold 0. Labels of one doc_id are averaged. With a list of
+    label columns, `train` gets a column for each."""
     bound_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
-    known = known.groupBy("doc_id").agg(F.avg(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    columns = [label] if isinstance(label, str) else label
+    known = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
+    for c in columns:
+        known = known.where(F.col(c).isNotNull())
+    known = known.groupBy("doc_id").agg(F.array(*[F.avg(c) for c in columns]).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # sample_rows pairs of numbers
-    found = found.mapInArrow(arrow_rows(_feature_rows, FEATURE_SCHEMA), "doc_id long, y double, ids binary, x binary").toArrow()
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # sample_rows ids and their labels
+    found = found.mapInArrow(arrow_rows(_feature_rows, FEATURE_SCHEMA), "doc_id long, y array<double>, ids binary, x binary").toArrow()
     rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "ids", "x", "y"))))
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, i, x, _ in rows]
-    return train(pairs, np.array([r[3] for r in rows], float))
+    y = np.array([r[3] for r in rows], float).reshape(len(rows), len(columns))
+    return train(pairs, y[:, 0] if isinstance(label, str) else y)
 
 
 def scorer(model: dict):

@@ -3,12 +3,17 @@
 A classifier fitted on a labelled table gives every document posteriors p over domains. Rates r >= lower are then
 fitted so that the expected token totals sum_i r_i t_i p_ik match the targets T_k: the minimum of
   1/2 sum_k (sum_i r_i t_i p_ik - T_k)^2 / (T_k T) + mu/2 sum_i (t_i / T) (r_i - 1)^2,   T = sum_k T_k,
-where the second term makes the answer unique and keeps rates near one. Newton's method finds the K residuals at the
-minimum from sums taken where the documents are. A document's rate follows from its posteriors and these residuals,
-so no table of rates is passed on.
+where the second term makes the answer unique and keeps rates near one. It is found by distributed projected gradient:
+each document takes a step against its gradient, scaled by the K x K second moment of the documents off the bound, and
+is projected on r >= lower. A round is two passes over the documents, and only sums over documents go to the driver:
+first that second moment and the gradient's moments, then the K totals that steps of several lengths would reach, of
+which the best is taken. Rates are a written column, renewed every few rounds. About ten rounds suffice.
+
+Copies are rates rounded so that domains keep their totals: a document's fraction is rounded up if it beats a draw of its
+hash by more than its domain's threshold, and thresholds are set to one document by two histograms (`thresholds`).
 
 Defined cases: null text counts as empty; a document without words has rate 1 (or `lower`, if larger) and adds
-nothing; a domain without mass cannot be reached and is left out of the targets; without labels all documents
+nothing; conflicting labels of a document are averaged; a domain without mass cannot be reached and is left out of the targets; without labels all documents
 share one uniform posterior; repeated rows get equal rates; an empty table stays empty; other columns are kept.
 """
 
@@ -18,9 +23,10 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tabulark.llm.common import Scratch, sub_batches, tidy
 from tabulark.llm.factorisation import DIMS, features, fit
@@ -31,11 +37,10 @@ DOMAINS = ["low", "low_toxic", "good", "good_toxic"]
 
 
 def train_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int = len(DOMAINS), epochs: int = 6, batch: int = 64, rate: float = 0.3, l2: float = 1e-6, seed: int = 5) -> dict:
-    """Multinomial logistic regression by AdaGrad. `y` holds class numbers (a mean of conflicting labels is rounded)."""
+    """Multinomial logistic regression by AdaGrad. `y` holds a row of class shares for each document."""
     rng = np.random.default_rng(seed)
     w, g = np.zeros((DIMS, classes)), np.full((DIMS, classes), 1e-6)
-    target = np.rint(y).astype(int)
-    bias = np.log((np.bincount(target, minlength=classes) + 0.5) / (len(y) + 0.5 * classes)) if len(y) else np.zeros(classes)
+    bias = np.log((y.sum(0) + 0.5) / (len(y) + 0.5 * classes)) if len(y) else np.zeros(classes)
     for _ in range(training_rounds(len(y), batch, epochs)):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
@@ -43,8 +48,7 @@ def train_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, clas
             ids, x = np.concatenate([rows[i][0] for i in pick]), np.concatenate([rows[i][1] for i in pick])
             sizes = np.array([len(rows[i][0]) for i in pick])
             z = bias + np.add.reduceat(w[ids] * x[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            err = softmax(z)
-            err[np.arange(len(pick)), target[pick]] -= 1
+            err = softmax(z) - y[pick]
             uniq, inverse = np.unique(ids, return_inverse=True)
             e = np.repeat(err, sizes, 0) * x[:, None]
             d = np.stack([np.bincount(inverse, e[:, k], len(uniq)) for k in range(classes)], 1) / len(pick) + l2 * w[uniq]
@@ -59,8 +63,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def domain_model(docs: DataFrame, labels: DataFrame) -> dict:
-    known = labels.where("quality is not null and toxic is not null").withColumn("domain", (2 * F.col("quality") + F.col("toxic")).cast("int"))
-    return fit(docs, known, "domain", train=train_softmax)
+    domain = 2 * F.col("quality") + F.col("toxic")
+    known = labels.where("quality is not null and toxic is not null").select("doc_id", *[(domain == k).cast("double").alias(d) for k, d in enumerate(DOMAINS)])
+    return fit(docs, known, DOMAINS, train=train_softmax)
 
 
 def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
@@ -84,11 +89,22 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return out.mapInArrow(tidy(run), full)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], mu: float, eta: float, lower: float) -> np.ndarray:
-    """The rates after projected-gradient steps with the given domain residuals (sum - T_k) / T_k."""
-    r = np.full(len(p), max(1.0, lower))
-    for e in steps:
-        r = np.maximum(lower, r - eta * (p @ e + mu * (r - 1)))
+def gradient(p: np.ndarray, r: np.ndarray, e: np.ndarray, mu: float, lower: float) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient at r, for residuals e = (sum - T_k) / T_k, and whether a document is off the bound or leaves it."""
+    g = p @ e + mu * (r - 1)
+    return g, (r > lower) | (g < 0)
+
+
+def move(p: np.ndarray, r: np.ndarray, e: np.ndarray, v: np.ndarray, mu: float, lower: float) -> np.ndarray:
+    """The gradient, scaled for documents off the bound: by the inverse of mu I + p diag(1 / T_k) p' t, whose K x K part is in v."""
+    g, free = gradient(p, r, e, mu, lower)
+    return np.where(free, (g - p @ v) / mu, g)
+
+
+def rates(p: np.ndarray, r: np.ndarray, steps: list[tuple], mu: float, lower: float) -> np.ndarray:
+    """The rates after projected steps (e, v, length) from r."""
+    for e, v, length in steps:
+        r = np.maximum(lower, r - length * move(p, r, e, v, mu, lower))
     return r
 
 
@@ -96,68 +112,129 @@ def _posterior_matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(slim: DataFrame, targets: np.ndarray, mu: float, lower: float, rounds: int, tol: float) -> tuple[list[np.ndarray], float]:
-    """The residuals e at the optimum as the only step, and the step length 1 / mu, for `rates`. At the optimum
-    r = max(lower, 1 - p e / mu), and e minimizes a convex function of K numbers. Damped Newton steps go on until e
-    and the residuals of its rates differ by `tol` at most; each try is one pass that sums 1 + K + K * K numbers a task."""
+def _summed(slim: DataFrame, numbers, size: int) -> np.ndarray:
+    """The sum over batches (t, p, r) of what `numbers` gives: `size` numbers a task."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for b in batches:
+            p = _posterior_matrix(b.column(1), len(DOMAINS))
+            total += numbers(b.column(0).to_numpy(zero_copy_only=False).astype(float), p, b.column(2).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(range(size)), pa.array(total)], names=["k", "t"])
+
+    out = np.zeros(size)
+    for row in slim.select("_tokens", "_p", "_rate").mapInArrow(run, "k long, t double").groupBy("k").agg(F.sum("t").alias("t")).collect():
+        out[row.k] = row.t
+    return out
+
+
+def with_rates(slim: DataFrame, steps: list[tuple], mu: float, lower: float) -> DataFrame:
+    """`slim` (_tokens, _p, _rate and others) with the rates after `steps`. Documents without tokens keep theirs."""
+
+    def run(batches):
+        for whole in batches:
+            for b in sub_batches(whole):
+                at = b.schema.get_field_index("_rate")
+                p, r = _posterior_matrix(b.column("_p"), len(DOMAINS)), b.column(at).to_numpy(zero_copy_only=False)
+                r = np.where(b.column("_tokens").to_numpy(zero_copy_only=False) > 0, rates(p, r, steps, mu, lower), r)
+                yield b.set_column(at, "_rate", pa.array(r))
+
+    return slim.mapInArrow(tidy(run), slim.schema)
+
+
+def fit_rates(slim: DataFrame, targets: np.ndarray, mu: float, lower: float, rounds: int, tol: float, scratch: Scratch, every: int = 4) -> list[tuple]:
+    """The steps of `rates` that lead from `_rate` to the optimum. Ends once a plain gradient step of length 1 would move rates by
+    `tol` at most (root mean square over tokens). `slim` has _tokens, _p and _rate of documents with tokens."""
     k, total = len(targets), float(targets.sum())
-    at = np.zeros(k)
+    reach = targets > 0
     if total <= 0:
-        return [at], 1 / mu
-    reach = np.flatnonzero(targets > 0)
-
-    def look(e: np.ndarray):
-        def sums(batches):
-            value, totals, square = 0.0, np.zeros(k), np.zeros((k, k))
-            for b in batches:
-                t, p = b.column(0).to_numpy().astype(float), _posterior_matrix(b.column(1), k)
-                s, r = p @ e, rates(p, [e], mu, 1 / mu, lower)
-                edge = mu * (1 - lower)
-                low = np.minimum(s, edge)
-                value += t @ (low * low / (2 * mu) - low - lower * (s - low))
-                totals += (t * r) @ p
-                square += (p * (t * (s < edge))[:, None]).T @ p
-            numbers = np.concatenate([[value], totals, square.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(numbers))), pa.array(numbers)], names=["k", "t"])
-
-        found = slim.mapInArrow(sums, "k long, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()
-        now = np.zeros(1 + k + k * k)
-        for row in found:
-            now[row.k] = row.t
-        value = (now[0] + (targets * (e * e / 2 + e)).sum()) / total
-        return value, (targets * (1 + e) - now[1 : k + 1])[reach] / total, now[k + 1 :].reshape(k, k)[np.ix_(reach, reach)] / (mu * total)
-
-    share = targets[reach] / total
-    value, slope, square = look(at)
-    n = 1
-    while np.abs(slope / share).max() > tol and n < rounds:
-        step, part = np.zeros(k), 1.0
-        step[reach] = np.linalg.solve(np.diag(share) + square, -slope)
-        gain = float(slope @ step[reach])
-        while n < rounds:
-            tried, n = look(at + part * step), n + 1
-            if tried[0] <= value + 1e-4 * part * gain + 1e-12 * abs(value) or np.abs(tried[1] / share).max() <= tol or part < 1e-9:
-                at, (value, slope, square) = at + part * step, tried
-                break
-            part /= 2
-    if np.abs(slope / share).max() > tol:
-        warnings.warn(f"mixing rates: {np.abs(slope / share).max():.2e} from the optimum after {n} passes", stacklevel=2)
-    return [at], 1 / mu
+        return []
+    scale = np.where(reach, targets, np.inf)  # a domain that cannot be reached has no residual
+    lengths = 0.5 ** np.arange(12)
+    reached = _summed(slim, lambda t, p, r: (t * r) @ p, k)
+    steps, pending, far = [], [], np.inf
+    for _ in range(rounds):
+        e = (reached - targets) / scale
+
+        def moments(t, p, r, e=e, pending=tuple(pending)):
+            r = rates(p, r, pending, mu, lower)
+            g, free = gradient(p, r, e, mu, lower)
+            unit = np.maximum(lower, r - g) - r
+            return np.concatenate([((p * (t * free)[:, None]).T @ p).ravel(), (t * free * g) @ p, [t @ (unit * unit)]])
+
+        found = _summed(slim, moments, k * k + k + 1)
+        far = float(np.sqrt(found[-1] / total))
+        if far <= tol:
+            break
+        v = np.linalg.solve(mu * np.eye(k) + found[: k * k].reshape(k, k) / scale, found[k * k : -1]) / scale
+
+        def tries(t, p, r, e=e, v=v, pending=tuple(pending)):
+            r = rates(p, r, pending, mu, lower)
+            s = move(p, r, e, v, mu, lower)
+            ways = [np.maximum(lower, r - length * s) for length in lengths]
+            return np.concatenate([np.append((t * x) @ p, t @ (x - 1) ** 2) for x in ways])
+
+        tried = _summed(slim, tries, len(lengths) * (k + 1)).reshape(len(lengths), k + 1)
+        values = ((tried[:, :k] - targets)[:, reach] ** 2 / targets[reach]).sum(1) + mu * tried[:, k]
+        best = int(values.argmin())
+        pending.append((e, v, lengths[best]))
+        reached = tried[best, :k]
+        if len(pending) == every:
+            slim = scratch.write(with_rates(slim, pending, mu, lower), "rates")
+            steps, pending = steps + pending, []
+    else:
+        warnings.warn(f"mixing rates: a unit step still moves them by {far:.2e} after {rounds} rounds", stacklevel=2)
+    return steps + pending
+
+
+DRAW_BITS, DIGIT_BITS = 32, 16
+
+
+def _gap(rate: Column) -> Column:
+    """How far a document's draw lies above its rate's fraction, as a number of 32 bits: the smallest are rounded up first."""
+    return F.floor((F.col("_draw") - (rate - F.floor(rate)) + 1) * F.lit(float(1 << (DRAW_BITS - 1)))).cast("long")
+
+
+def _domain(p: Column) -> Column:
+    return F.array_position(p, F.array_max(p))
+
+
+def thresholds(fitted: DataFrame) -> dict[int, int]:
+    """For each dominant domain the gap below which fractions are rounded up, so that the tokens of the copies are those of the rates
+    to one document: a histogram of tokens by the gap's first digit, then one by the second inside the digit that crosses the
+    fractions' total. Both have 65,536 rows a domain at most; one row a domain reaches the driver."""
+    rate, t = F.col("_rate"), F.col("_tokens")
+    rows = fitted.select(_domain(F.col("_p")).alias("domain"), _gap(rate).alias("gap"), t.alias("t"), (t * (rate - F.floor(rate))).alias("part"))
+    out = {}
+    high = rows.groupBy("domain", F.shiftright("gap", DIGIT_BITS).alias("digit")).agg(F.sum("t").alias("t"), F.sum("part").alias("part"))
+    over = Window.partitionBy("domain").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    high = high.withColumn("upto", F.sum("t").over(over)).withColumn("want", F.sum("part").over(Window.partitionBy("domain")))
+    crossed = high.where("upto >= want").groupBy("domain").agg(F.min_by(F.struct("digit", (F.col("upto") - F.col("t")).alias("before"), "want"), "digit").alias("c")).select("domain", "c.*")
+    low = rows.join(F.broadcast(crossed), "domain").where(F.shiftright("gap", DIGIT_BITS) == F.col("digit"))  # a row per domain
+    low = low.groupBy("domain", "before", "want", "gap").agg(F.sum("t").alias("t"))
+    low = low.withColumn("upto", F.col("before") + F.sum("t").over(Window.partitionBy("domain").orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)))
+    nearest = F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), F.col("gap"))
+    none = F.struct(F.abs(F.col("before") - F.col("want")).alias("off"), (F.shiftleft(F.shiftright("gap", DIGIT_BITS), DIGIT_BITS) - 1).alias("gap"))
+    best = low.groupBy("domain").agg(F.least(F.min(nearest), F.min(none)).alias("best"))
+    for row in best.collect():
+        out[row.domain] = row.best.gap
+    return out
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, temperature: float = 0.7, budget: float | None = None,
-            keep_text: bool = True, mu: float = 0.001, lower: float = 0.0, rounds: int = 300, tol: float = 1e-7) -> DataFrame:
+            keep_text: bool = True, mu: float = 0.001, lower: float = 0.0, rounds: int = 60, tol: float = 1e-6) -> DataFrame:
     """`docs` with _tokens, _p, _rate and _copies.
 
     `weights` are target shares of the domains; by default shares rise as mass ** temperature. `budget` is the
     total of tokens aimed at; by default the total of the input, or with lower >= 1 the least total for which no
-    domain shrinks. Copies are the rate rounded up or down at random by a hash of the row, right in expectation."""
+    domain shrinks. Copies are the rate rounded up or down, by a hash of the row and its domain's threshold."""
     scratch = Scratch(docs.sparkSession)
     model = domain_model(docs, labels)
     draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    scored = with_posteriors(docs, model).withColumn("_draw", draw)
+    first = F.lit(max(1.0, lower))
+    scored = with_posteriors(docs, model).withColumn("_draw", draw).withColumn("_rate", first)
     scored = scratch.write(scored if keep_text else scored.drop("text"), "scored")
-    slim = scored.where("_tokens > 0").select("_tokens", "_p")
+    slim = scored.where("_tokens > 0").select("_tokens", "_p", "_rate", "_draw")
     t, p = F.col("_tokens").cast("double"), F.col("_p")
     mass = np.array(slim.agg(*[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first())
     share = np.array(weights, float) if weights else np.where(mass > 0, np.maximum(mass, 1e-300) ** temperature, 0.0)
@@ -165,17 +242,15 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: list[float] | None = No
     share = share / share.sum() if share.sum() > 0 else share
     if budget is None:
         budget = float(mass.sum()) if lower < 1 else max((m / s for m, s in zip(mass, share) if s > 0), default=0.0)
-    steps, eta = fit_rates(slim, share * budget, mu, lower, rounds, tol)
-
-    def apply(batches):
-        for whole in batches:
-            for b in sub_batches(whole):
-                q = _posterior_matrix(b.column(b.schema.get_field_index("_p")), len(DOMAINS))
-                r = np.where(b.column(b.schema.get_field_index("_tokens")).to_numpy() > 0, rates(q, steps, mu, eta, lower), max(1.0, lower))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=[*b.schema.names, "_rate"])
-
-    out = scored.mapInArrow(tidy(apply), T.StructType([*scored.schema.fields, T.StructField("_rate", T.DoubleType())]))
-    return out.withColumn("_copies", F.floor(F.col("_rate") + F.col("_draw")).cast("long")).drop("_draw")
+    steps = fit_rates(slim, share * budget, mu, lower, rounds, tol, scratch)
+    up = thresholds(scratch.write(with_rates(slim, steps, mu, lower), "fitted"))
+    # The written rates again, by the same steps from the same start, beside the rows they belong to.
+    out = with_rates(scored, steps, mu, lower)
+    limit = F.lit(-1).cast("long")
+    for domain, gap in up.items():
+        limit = F.when(_domain(F.col("_p")) == domain, F.lit(gap).cast("long")).otherwise(limit)
+    rate = F.col("_rate")
+    return out.withColumn("_copies", (F.floor(rate) + F.when(F.col("_tokens") > 0, (_gap(rate) <= limit).cast("int")).otherwise((F.col("_draw") < rate - F.floor(rate)).cast("int"))).cast("long")).drop("_draw")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

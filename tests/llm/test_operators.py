@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulark.llm import factorisation, html_text, line_dedup, mixing, near_dedup, quality_rules
-from tabulark.llm.common import fold
+from tabulark.llm.common import Scratch, fold
 from tabulark.llm.fingerprints import fingerprint_documents
 from tabulark.llm.interpolated_lm import interpolated_scores
 from tabulark.llm.packing import hilbert, pack_documents
@@ -276,20 +276,19 @@ def test_mixing_meets_targets(spark, sf, docs, none, labels):
     assert mixing.mixing_rates(none, labels).count() == 0 and mixing.mixing_rates(docs, labels.limit(0)).count() == len(ROWS)
 
 
-def test_projected_gradient_satisfies_optimality():
+@pytest.mark.parametrize("lower,every", [(0.0, 4), (1.0, 2)])
+def test_projected_gradient_satisfies_optimality(spark, lower, every):
     rng = np.random.default_rng(6)
-    p, t = rng.dirichlet(np.ones(3), 200), rng.integers(1, 50, 200).astype(float)
-    target = np.array([0.6, 0.3, 0.1]) * t.sum()
-    steps, mu, r = [], 0.05, None
-    moment = (p * t[:, None]).T @ p
-    eta = 1 / (np.linalg.eigvalsh(moment / np.sqrt(np.outer(target, target))).max() + mu)
-    for _ in range(2000):
-        r = mixing.rates(p, steps, mu, eta, 0.0) if len(steps) < 400 else r
-        if len(steps) >= 400:
-            break
-        steps.append(((r * t) @ p - target) / target)
-    grad = p @ (((r * t) @ p - target) / target) + mu * (r - 1)
-    assert np.abs(grad[r > 1e-9]).max() < 1e-3 and (grad[r <= 1e-9] > -1e-3).all()
+    p, t = rng.dirichlet(np.ones(4) / 2, 300), rng.integers(1, 50, 300)
+    target, mu = np.array([0.5, 0.3, 0.2, 0.0]) * t.sum() * (1 + lower), 0.05
+    slim = spark.createDataFrame([(int(a), b.tolist(), 1.0) for a, b in zip(t, p)], "_tokens long, _p array<double>, _rate double")
+    steps = mixing.fit_rates(slim, target, mu, lower, 300, 1e-7, Scratch(spark), every)
+    r = np.array([x._rate for x in mixing.with_rates(slim.coalesce(1), steps, mu, lower).collect()])
+    p, t = np.array([x._p for x in slim.coalesce(1).collect()]), np.array([x._tokens for x in slim.coalesce(1).collect()])
+    e = np.where(target > 0, ((r * t) @ p - target) / np.where(target > 0, target, 1), 0)
+    grad = p @ e + mu * (r - 1)
+    assert np.abs(grad[r > lower + 1e-9]).max() < 1e-4 and (grad[r <= lower + 1e-9] > -1e-4).all() and (r >= lower).all()
+    assert len(steps) < 20, len(steps)
 
 
 HTML = {
