@@ -9,8 +9,9 @@ The table makes changes cheap and exact: what is appended only adds entries, and
 ones again once as many in a row as the longest token has bytes agree (`PrefixTable.replace`). `EncodedText` does the
 same for whole texts, whose pieces are found anew only next to the edit.
 
-Inside a task each distinct short piece is encoded once and remembered, within a bound. Long texts are taken in parts
-that end where white space begins, which is always a border of pieces, and long pieces need a pass over their bytes.
+Inside a task the distinct new pieces of a batch are encoded in sorted order, so that each takes over the entries of the
+prefix it shares with the one before, and are remembered, within a bound. Long texts are taken in parts that end where
+white space begins, which is always a border of pieces, and long pieces need a pass over their bytes.
 
 Defined cases: null and empty texts have no tokens; equal rows get equal ids; a table without rows gives none; other
 columns are not read. A text's ids must fit an Arrow value (2 GB, 500 million tokens).
@@ -22,7 +23,6 @@ import base64
 from array import array
 from bisect import bisect_right
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -35,34 +35,73 @@ NONE = 1 << 32
 
 
 class Vocabulary:
-    """The tokens of a rank file (`base64 rank` in each line), the merge that makes each, and the pattern of pieces."""
+    """The tokens of a rank file (`base64 rank` in each line), the merge that makes each, and the pattern of pieces. `most` bounds
+    each of the memories: of pieces (two generations), of pairs and of the automaton's steps."""
 
-    def __init__(self, path: str, pattern: str, most: int = 100_000):
+    def __init__(self, path: str, pattern: str, most: int = 150_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
+        if any(bytes([b]) not in self.ranks for b in range(256)):
+            raise ValueError("every byte must be a token")
         size = max(self.ranks.values()) + 1
         self.tokens = [b""] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
         self.pattern, self.border = regex.compile(pattern), regex.compile(r"(?<=\S)(?=\s)")
-        self.known, self.pairs, self.most = {}, {}, most
+        self.young, self.old, self.pairs, self.most = {}, {}, {}, most
         # made[t]: when t comes about; -1 for bytes, which are there from the start.
         self.made, self.left, self.right = [-1] * size, [0] * size, [0] * size
-        self.automaton = ahocorasick.Automaton()
-        for rank, token in enumerate(self.tokens):
-            if token and (len(token) == 1 or self._split(rank, token)):  # no merges make the others; only a whole piece can be one
-                self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
+        # No merges make the other tokens; each of them only ever is a whole piece.
+        self._automaton([r for r, token in enumerate(self.tokens) if token and (len(token) == 1 or self._split(r, token))])
 
     def _split(self, rank: int, token: bytes) -> bool:
         for at in range(1, len(token)):
-            a, b = self.ranks.get(token[:at], size := NONE), self.ranks.get(token[at:], size)
+            a, b = self.ranks.get(token[:at], NONE), self.ranks.get(token[at:], NONE)
             if a < rank and b < rank and self.stands(a, b, rank):
                 self.made[rank], self.left[rank], self.right[rank] = rank, a, b
                 return True
         return False
 
+    def _automaton(self, tokens: list[int]) -> None:
+        """Places in a trie of the tokens: where a byte leads, the longest token that ends at a place (`ending`), and the next
+        shorter one that ends where a token does (`shorter`)."""
+        self.child, nodes, place = {}, 1, {}
+        for t in tokens:
+            at = 0
+            for byte in self.tokens[t]:
+                if (key := at << 8 | byte) not in self.child:
+                    self.child[key], nodes = nodes, nodes + 1
+                at = self.child[key]
+            place[at] = t
+        self.fail, self.ending, self.shorter, self.steps = [0] * nodes, [-1] * nodes, [-1] * len(self.tokens), {}
+        below = {}
+        for key, at in self.child.items():
+            below.setdefault(key >> 8, []).append((key & 255, at))
+        level = below[0]  # these fall back on the root
+        while level:
+            for _, at in level:
+                back = self.ending[self.fail[at]]
+                if at in place:
+                    self.ending[at] = place[at]
+                    self.shorter[place[at]] = back
+                else:
+                    self.ending[at] = back
+                for byte, deeper in below.get(at, ()):
+                    self.fail[deeper] = self.step(self.fail[at], byte)
+            level = [pair for _, at in level for pair in below.get(at, ())]
+
+    def step(self, at: int, byte: int) -> int:
+        child, fail, start = self.child, self.fail, at
+        while at and (at << 8 | byte) not in child:
+            at = fail[at]
+        found = child.get(at << 8 | byte, 0)
+        if start != at:
+            if len(self.steps) > self.most:
+                self.steps.clear()
+            self.steps[start << 8 | byte] = found
+        return found
+
     def stands(self, a: int, b: int, before: int = NONE) -> bool:
         """Whether a and b come out side by side if merges are made up to rank `before`."""
         made, tokens, ranks = self.made, self.tokens, self.ranks
@@ -77,29 +116,35 @@ class Vocabulary:
             else:
                 return True
 
-    def extend(self, last: array, data: bytes, until=None) -> None:
-        """Add the entries of data's prefixes that `last` does not have yet. With `until`, stop once until(last) says so."""
-        n, pairs, stands = len(last), self.pairs, self.stands
-        begin = max(0, n - self.longest)
-        for end, (size, token) in self.automaton.iter(data[begin:].decode("latin-1")):
-            end += begin + 1
-            if end <= len(last):  # known, or found a moment ago
-                continue
-            rest = end - size - 1
-            if rest >= 0:
-                pair = last[rest] << 32 | token
+    def extend(self, last: list[int], places: list[int], data: bytes, until=None) -> None:
+        """Add the entries of data's prefixes that `last` does not have yet; `places` are those of the automaton behind each prefix,
+        the empty one first. With `until`, stop once until(last) says so."""
+        child, steps, ending, tokens, shorter, pairs = self.child, self.steps, self.ending, self.tokens, self.shorter, self.pairs
+        n = len(last)
+        at = places[n]
+        for byte in data[n:]:
+            key = at << 8 | byte
+            at = child.get(key) or steps.get(key)
+            if at is None:
+                at = self.step(key >> 8, byte)
+            places.append(at)
+            n += 1
+            token = ending[at]
+            while (rest := n - len(tokens[token])) > 0:
+                pair = last[rest - 1] << 32 | token
                 ok = pairs.get(pair)
                 if ok is None:
                     if len(pairs) > self.most:
                         pairs.clear()
-                    ok = pairs[pair] = stands(last[rest], token)
-                if not ok:
-                    continue
+                    ok = pairs[pair] = self.stands(last[rest - 1], token)
+                if ok:
+                    break
+                token = shorter[token]
             last.append(token)
             if until and until(last):
                 return
 
-    def walk(self, last: array, data: bytes) -> list[int]:
+    def walk(self, last: list[int], data: bytes) -> list[int]:
         """The ids of a piece from its table."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
@@ -110,17 +155,20 @@ class Vocabulary:
         ids.reverse()
         return ids
 
-    def piece(self, text: str) -> bytes:
-        """A piece's ids as little-endian 32-bit numbers."""
-        found = self.known.get(text)
-        if found is None:
-            data, last = text.encode(), array("I")
-            self.extend(last, data)
-            found = np.array(self.walk(last, data), "<u4").tobytes()
-            if len(text) <= 64:
-                if len(self.known) > self.most:
-                    self.known.clear()
-                self.known[text] = found
+    def learn(self, pieces: set[str], short: int = 64) -> dict[str, bytes]:
+        """The ids, as little-endian 32-bit numbers, of pieces that are not known. Short ones are remembered."""
+        found, last, places, before = {}, [], [0], b""
+        for data in sorted(p.encode() for p in pieces):
+            shared, most = 0, min(len(before), len(data))
+            while shared < most and before[shared] == data[shared]:
+                shared += 1
+            del last[shared:], places[shared + 1 :]
+            self.extend(last, places, data)
+            found[data.decode()] = array("I", self.walk(last, data)).tobytes()
+            before = data
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((p, ids) for p, ids in found.items() if len(p) <= short)
         return found
 
     def parts(self, text: str, size: int = 1 << 20):
@@ -132,12 +180,32 @@ class Vocabulary:
             yield text[at:end]
             at = end
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, one after another."""
+        out = [[] for _ in texts]
+        split, waiting, held = self.pattern.findall, [], 0
+
+        def settle():
+            seen = {p for _, pieces in waiting for p in pieces}
+            known = {p: ids for p in seen if (ids := self.young.get(p) or self.old.get(p))}
+            self.young.update((p, ids) for p, ids in known.items() if p not in self.young)
+            known |= self.learn(seen - known.keys())
+            for k, pieces in waiting:
+                out[k].append(b"".join(map(known.__getitem__, pieces)))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            for part in self.parts(text or ""):
+                waiting.append((k, split(part)))
+                held += len(part)
+                if held > 1 << 21:
+                    settle()
+                    held = 0
+        settle()
+        return [b"".join(found) for found in out]
+
     def encode(self, text: str | None) -> bytes:
-        piece, known = self.piece, self.known
-        out = []
-        for part in self.parts(text or ""):
-            out += [known.get(p) or piece(p) for p in self.pattern.findall(part)]
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
@@ -147,7 +215,7 @@ class PrefixTable:
     """The last token of every prefix of one piece's bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes):
-        self.vocabulary, self.data, self.last, self.work = vocabulary, b"", array("I"), 0
+        self.vocabulary, self.data, self.last, self.work = vocabulary, b"", array("I"), 0  # four bytes an entry
         self.append(data)
 
     def append(self, data: bytes) -> None:
@@ -157,17 +225,23 @@ class PrefixTable:
         """Put `data` in the place of bytes start to stop. `work` counts the entries computed."""
         old, shift = self.last, len(data) - (stop - start)
         self.data = self.data[:start] + data + self.data[stop:]
-        last, clear, alike = old[:start], start + len(data), 0
+        last, clear, alike = old[:start].tolist(), start + len(data), 0
 
-        def again(found: array) -> bool:
+        def again(found: list[int]) -> bool:
             nonlocal alike
             at = len(found)
             alike = alike + 1 if at > clear and found[-1] == old[at - 1 - shift] else 0
             return alike >= self.vocabulary.longest
 
-        self.vocabulary.extend(last, self.data, again)
+        at, places = 0, [0] * (start + 1)
+        for byte in self.data[max(0, start - self.vocabulary.longest) : start]:  # no token is longer
+            at = self.vocabulary.step(at, byte)
+        places[start] = at
+        self.vocabulary.extend(last, places, self.data, again)
         self.work += len(last) - start
-        self.last = last + old[len(last) - shift :] if len(last) < len(self.data) else last
+        self.last = array("I", last)
+        if len(last) < len(self.data):
+            self.last += old[len(last) - shift :]
 
     def ids(self) -> list[int]:
         return self.vocabulary.walk(self.last, self.data)
@@ -256,8 +330,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         vocabulary = worker_vocabulary(path, pattern)
         for whole in batches:
             for part in sub_batches(whole, 3_000_000):
-                rows = [(d, vocabulary.encode(t)) for d, t in zip(*(c.to_pylist() for c in part.columns))]
-                yield _batch([(d, len(ids) // 4, ids) for d, ids in rows], ENCODED)
+                found = vocabulary.encode_all(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ids) // 4 for ids in found], pa.int64()), pa.array(found, pa.binary())], schema=ENCODED)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(tidy(run), ENCODED_DDL)
@@ -271,7 +345,7 @@ def decoded(tokens: DataFrame, path: str | None = None, pattern: str | None = No
         vocabulary = worker_vocabulary(path, pattern)
         for whole in batches:
             for part in sub_batches(whole, 3_000_000):
-                yield _batch([(d, n, ids, vocabulary.decode(ids)) for d, n, ids in zip(*(c.to_pylist() for c in part.columns))], DECODED)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([vocabulary.decode(ids) for ids in part.column(2).to_pylist()], pa.binary())], schema=DECODED)
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(tidy(run), DECODED_DDL)
 
