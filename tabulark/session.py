@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +52,26 @@ def shared_folder(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark knows; a missing one is fine."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder. What is there goes when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def clear() -> None:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM may have gone first; nothing depends on it any more
+            pass
+
+    atexit.register(clear)
+    return path
