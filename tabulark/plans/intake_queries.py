@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulark.plans.proxies import read
 from tabulark.session import work_folder
-from tabulark.sources import docx
+from tabulark.sources import docx, objects
 
 LIST_LEVELS = [(1, 0, "decimal", "%1.", 1), (1, 1, "upperLetter", "(%1)", 3), (2, 0, "lowerRoman", "%1)", 1)]
 
@@ -33,7 +33,22 @@ def _docx_lines(s, d):
     return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "line_no", "line_id", "text", "block_type")
 
 
-QUERIES = {"docx_lines": _docx_lines}
+def _objects(s, d):
+    """Pages put as objects and fetched again by name."""
+    folder = work_folder(s, "objects")
+    index = objects.put(read(s, d, "pages").select("page_id", "html"), "html", folder)
+    got = objects.fetched(index.select("name").distinct(), folder)
+    return index.join(got, "name").select("page_id", "name", "length", F.md5("content").alias("md5"), "error")
+
+
+def _objects_listed(s, d):
+    folder = work_folder(s, "objects")
+    objects.put(read(s, d, "pages").select("html"), "html", folder)
+    objects.put(read(s, d, "pages").where("page_id % 2 = 0").select("html"), "html", folder)  # nothing new
+    return objects.listed(s, folder).join(objects.scanned(s, folder), "name").select("name", "length", F.md5("content").alias("md5"))
+
+
+QUERIES = {"docx_lines": _docx_lines, "objects_round_trip": _objects, "objects_listed": _objects_listed}
 
 TRIM_SQL = r"regexp_replace({}, '^[\s\p{{Z}}\x{{0B}}\x{{85}}]+|[\s\p{{Z}}\x{{0B}}\x{{85}}]+$', '', 'g')"
 ROMAN_SQL = "repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]"
@@ -47,4 +62,6 @@ written AS (
   SELECT doc_id, pos, CASE WHEN turn = 2 THEN 'table' ELSE 'text' END AS block_type, {TRIM_SQL.format(f"CASE turn WHEN 0 THEN n || '.' || text WHEN 1 THEN '(' || CASE WHEN n + 2 <= 26 THEN chr(CAST(64 + n + 2 AS INT)) ELSE CAST(n + 2 AS VARCHAR) END || ')' || text WHEN 3 THEN {ROMAN_SQL} || ')' || text WHEN 2 THEN array_to_string(list_filter([c1, c2], lambda c: c <> ''), ' | ') ELSE text END")} AS text FROM cells),
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no FROM written WHERE text <> '')
 SELECT doc_id, CAST(line_no AS INT) AS line_no, 'D1L' || CASE WHEN line_no < 1000 THEN lpad(CAST(line_no AS VARCHAR), 3, '0') ELSE CAST(line_no AS VARCHAR) END AS line_id, text, block_type FROM kept""",
+    "objects_listed": "SELECT DISTINCT sha256(html) AS name, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages WHERE html <> ''",
+    "objects_round_trip": "SELECT page_id, sha256(html) AS name, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5, CAST(NULL AS VARCHAR) AS error FROM pages WHERE html IS NOT NULL",
 }

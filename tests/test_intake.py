@@ -1,12 +1,14 @@
 """Files, objects and logs: written, read, damaged and read again."""
 
+import hashlib
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabulark.session import work_folder
-from tabulark.sources import docx
+from tabulark.sources import docx, objects
 
 HEAD = f'<w:document xmlns:w="{docx.W}"><w:body>'
 
@@ -84,3 +86,37 @@ def test_writing_again_gives_the_same_files(spark):
     assert [t for _, _, t, _ in lines_of(spark, folder)] == ["b)é & <b>\ttab", "c1"]
     with pytest.raises(Exception, match="WRITE_SCHEMA"):
         spark.createDataFrame([(1,)], "file int").write.format("docx").mode("append").save(folder)
+
+
+def test_objects_are_put_once_and_checked(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, b"one"), (2, b"two"), (3, b"one"), (4, None), (5, b"")], "name int, content binary")
+    first = objects.put(rows.select(F.col("name").alias("k"), "content"), "content", folder)
+    assert first.columns == ["k", "name", "length", "fresh"] and {r.k: r.name for r in first.collect()} == {k: hashlib.sha256(c).hexdigest() for k, c in ((1, b"one"), (2, b"two"), (3, b"one"), (5, b""))}
+    again = objects.put(rows.select(F.col("name").alias("k"), "content"), "content", folder)
+    assert again.where("fresh").count() == 0 and objects.listed(spark, folder).count() == 2  # not the empty one
+    empty = hashlib.sha256(b"").hexdigest()
+    assert objects.fetched(spark.createDataFrame([(empty,)], "name string"), folder).first().content == b""
+    assert objects.put(rows.where("false").select("content"), "content", folder).count() == 0
+    names = {c: hashlib.sha256(c).hexdigest() for c in (b"one", b"two", b"gone")}
+    with open(objects.place(folder, names[b"two"]), "wb") as f:
+        f.write(b"rotten")
+    got = {r.name: (r.content, r.error) for r in objects.fetched(spark.createDataFrame([(n,) for n in names.values()], "name string"), folder).collect()}
+    assert got[names[b"one"]] == (b"one", None) and got[names[b"gone"]] == (None, "FileNotFoundError") and "match" in got[names[b"two"]][1]
+
+
+def test_a_task_that_runs_again_does_no_harm(tmp_path):
+    system, root = objects.located(str(tmp_path))
+    name, n, fresh = objects._put(system, root, b"content")
+    (tmp_path / name[:2] / "_half").write_bytes(b"con")  # what a lost task leaves
+    assert fresh and objects._put(system, root, b"content") == (name, 7, False)
+    with open(objects.place(root, name), "wb") as f:
+        f.write(b"con")
+    assert objects._put(system, root, b"content") == (name, 7, True)  # a cut object is written again
+    assert sorted(os.listdir(tmp_path / name[:2])) == sorted([name, "_half"])
+
+
+def test_listing_reads_no_contents(spark, tmp_path, capsys):
+    objects.put(spark.createDataFrame([(b"x",)], "c binary"), "c", str(tmp_path))
+    objects.listed(spark, str(tmp_path)).explain()
+    assert "content" not in capsys.readouterr().out.split("ReadSchema")[1]
