@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulark.operators import practice
 from tabulark.plans.proxies import read
-from tabulark.streaming import states
+from tabulark.streaming import states, timers
 
 STATE = {"view": "queued", "click": "running", "purchase": "succeeded", "error": "failed", "signup": "running"}
 STATE_SQL = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END"
@@ -46,6 +46,18 @@ def _tumbling(s, d):
     return _stream(s, d, make, "tumbling_counts_out", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
 
 
+def _timed(machine, table=STATE):
+    """A machine's reports on `events`, as a stream with timers."""
+
+    def run(s, d):
+        make = lambda e: timers.watched(e.select(F.col("user_id").alias("key"), "ts", "event_id", _kind(table).alias("kind")), machine)
+        with timers.rocksdb(s):
+            found = _stream(s, d, make, "timed_out", "append")
+        return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+    return run
+
+
 def _similar(s, d):
     rows = read(s, d, "embeddings")
     return practice.similar(rows.where("vec_id % 20 = 0"), rows, 5)
@@ -67,6 +79,9 @@ QUERIES = {
     "kp_share": lambda s, d: practice.shares(read(s, d, "events"), "event_type"),
     "generation_ratio": lambda s, d: practice.shares(read(s, d, "part"), "p_type", "p_brand"),
     "cosine_topk": _similar,
+    "stream_stale": _timed(timers.Stale(active=(3,))),
+    "stream_breaker": _timed(timers.Breaker("failed", open_for=2 * 86_400_000)),
+    "stream_retry_due": _timed(timers.Retry(delay=6 * 3_600_000), RETRY),
     # Extensions beyond the reference: event-time windows, run as streams over what is available.
     "tumbling_counts": _tumbling,
     "session_windows": lambda s, d: _stream(s, d, lambda e: states.stream_sessions(e.select("ts", F.col("user_id").alias("key")), "6 hours", "0 seconds"), "session_windows_out", "complete").select("key", "n"),
@@ -83,7 +98,23 @@ RETRY_SQL = """WITH RECURSIVE e AS (SELECT user_id AS key, row_number() OVER (PA
       CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'pick' AND status = 'pending' AND count < 3 THEN count + 1 ELSE count END FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
   SELECT key, arg_max(status, rn) AS status, arg_max(count, rn) AS count FROM walk GROUP BY key"""
 RUNS = E + ", r AS (SELECT *, sum(CASE WHEN kind = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS g FROM e)"
+#: Events by the millisecond, as streams with timers see them, with the time up to which they come.
+T = f"t AS (SELECT user_id AS key, date_trunc('millisecond', ts) AS ts, event_id, {STATE_SQL} AS kind, max(date_trunc('millisecond', ts)) OVER () AS last FROM events)"
+TIMED_WALK_SQL = RETRY_SQL[: RETRY_SQL.index("walk AS")].replace("ORDER BY ts, event_id) AS rn,", "ORDER BY date_trunc('millisecond', ts), event_id) AS rn, date_trunc('millisecond', ts) AS ts, event_id, max(date_trunc('millisecond', ts)) OVER () AS last,") + """walk AS (
+    SELECT DISTINCT key, 0::BIGINT AS rn, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, NULL::VARCHAR AS was, 'pending' AS status, 0 AS count, NULL::TIMESTAMP AS since, NULL::BIGINT AS of FROM e UNION ALL
+    SELECT w.key, e.rn, e.ts, e.event_id, status, CASE WHEN kind = 'reset' THEN 'pending' WHEN kind = 'pick' AND status = 'pending' AND count < 3 THEN 'retrying' WHEN kind = 'success' AND status = 'retrying' THEN 'succeeded'
+        WHEN kind = 'fail' AND status = 'retrying' AND count >= 3 THEN 'failed' WHEN kind = 'fail' AND status = 'retrying' THEN 'pending' ELSE status END,
+      CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'pick' AND status = 'pending' AND count < 3 THEN count + 1 ELSE count END,
+      CASE WHEN kind = 'reset' OR kind = 'pick' AND status = 'pending' AND count < 3 THEN NULL WHEN kind = 'fail' AND status = 'retrying' AND count < 3 THEN e.ts ELSE since END,
+      CASE WHEN kind = 'fail' AND status = 'retrying' AND count < 3 THEN e.event_id ELSE of END FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1),
+  steps AS (SELECT w.*, n.ts AS next, (SELECT max(last) FROM e) AS last FROM walk w LEFT JOIN e n ON n.key = w.key AND n.rn = w.rn + 1 WHERE w.rn > 0)
+  SELECT key, ts AS at, event_id, status AS what, count AS n FROM steps WHERE was = 'retrying' AND status IN ('succeeded', 'failed')
+  UNION ALL SELECT key, since + INTERVAL 6 HOUR, of, 'due', count FROM steps WHERE since + INTERVAL 6 HOUR >= ts AND since + INTERVAL 6 HOUR < coalesce(next, last)"""
 ORACLES = {
+    "stream_stale": f"WITH {T}, n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS next FROM t) SELECT key, ts + INTERVAL 900 SECOND AS at, event_id, 'stale' AS what, 0 AS n FROM n WHERE kind = 'running' AND key <> 3 AND (next IS NULL OR next > ts + INTERVAL 900 SECOND) AND ts + INTERVAL 900 SECOND < last",
+    "stream_breaker": f"""WITH {T}, r AS (SELECT *, sum(CASE WHEN kind = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS g FROM t), o AS (SELECT key, ts, event_id, last FROM r WHERE kind = 'failed' QUALIFY row_number() OVER (PARTITION BY key, g ORDER BY ts, event_id) = 2),
+      n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS next FROM o) SELECT key, ts AS at, event_id, 'open' AS what, 2 AS n FROM o UNION ALL SELECT key, ts + INTERVAL 2 DAY, event_id, 'closed', 0 FROM n WHERE (next IS NULL OR next > ts + INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY < last""",
+    "stream_retry_due": TIMED_WALK_SQL,
     "task_latest_state": f"WITH {E} SELECT key, state FROM latest",
     "retry_state": RETRY_SQL,
     "stream_retry_state": RETRY_SQL,
