@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulark.plans.proxies import read
 from tabulark.session import work_folder
 from tabulark.sources import docx, objects
+from tabulark.streaming import event_log, worker
 
 LIST_LEVELS = [(1, 0, "decimal", "%1.", 1), (1, 1, "upperLetter", "(%1)", 3), (2, 0, "lowerRoman", "%1)", 1)]
 
@@ -48,12 +49,94 @@ def _objects_listed(s, d):
     return objects.listed(s, folder).join(objects.scanned(s, folder), "name").select("name", "length", F.md5("content").alias("md5"))
 
 
-QUERIES = {"docx_lines": _docx_lines, "objects_round_trip": _objects, "objects_listed": _objects_listed}
+def _slices(rows, column, n):
+    """Rows with `slice`, 0 to n - 1: equal spans of a time column."""
+    ends = rows.agg(F.min(column).alias("a"), F.max(column).alias("b"))
+    share = (F.unix_micros(F.col(column).cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("slice", F.least(F.floor(share * n), F.lit(n - 1)).cast("int")).drop("a", "b")  # one row
+
+
+def _delivered(s, d, n=4):
+    """A folder to which events come span by span, each span again beside the next but one, in any order. One file a delivery: the
+    source takes files by age, and a delivery must not be torn."""
+    folder = work_folder(s, "deliveries")
+    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows = _slices(rows, "ts", n)
+    for k in range(n + 2):
+        rows.where(F.col("slice").isin(k, k - 2)).drop("slice").coalesce(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    return folder, rows.drop("slice").schema
+
+
+def _log(s, d, delay):
+    source, schema = _delivered(s, d)
+    late, folder = event_log.LateRows(), work_folder(s, "log")
+    s.streams.addListener(late)
+    query = event_log.append_once(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), folder, delay=delay)
+    query.awaitTermination()
+    n_late = late.of(query)
+    s.streams.removeListener(late)
+    return event_log.read_log(s, folder, schema), n_late
+
+
+def _log_once(s, d):
+    return _log(s, d, "20 days")[0].select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+
+
+def _log_late(s, d):
+    rows, late = _log(s, d, "1 day")
+    return rows.agg(F.count(F.lit(1)).alias("n_log"), F.count_distinct("event_id").alias("n_events"), F.lit(late).cast("long").alias("n_late"))
+
+
+class Torn(Exception):
+    """The failure that a query plays."""
+
+
+def _worker(s, d):
+    """Open orders as tasks that arrive in four spans. The worker dies once after it has claimed and once before, and is started again."""
+    source, folder = work_folder(s, "tasks"), work_folder(s, "worker")
+    tasks = read(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("since"), F.col("o_totalprice").alias("price"))
+    spans = _slices(tasks, "since", 4)
+    for k in range(4):
+        spans.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(source)
+    deaths = {1: "work", 2: "poll"}
+
+    class Frail(worker.Worker):
+        def poll(self, arrivals, number):
+            if deaths.get(number) == "poll" and deaths.pop(number):
+                raise Torn
+            super().poll(arrivals, number)
+
+    def work(claimed):
+        if "work" in deaths.values() and worker_.claims().select("batch").distinct().count() == 2:
+            del deaths[1]
+            raise Torn
+        return claimed.select("key", F.ceil(F.col("price") / 1000).alias("hours"))
+
+    worker_ = Frail(s, folder, tasks.schema, work)
+    for _ in range(3):
+        query = worker_.start(s.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        try:
+            query.awaitTermination()
+            break
+        except Exception as e:  # noqa: BLE001  the played failure comes back as the stream's
+            if "Torn" not in str(e):
+                raise
+    results = worker_.results(work(tasks.limit(0)).schema).withColumnRenamed("batch", "worked")
+    return worker_.claims().select("key", F.col("batch").alias("claimed")).join(results, "key", "full")
+
+
+QUERIES = {"event_log_once": _log_once, "event_log_late": _log_late, "worker_polls": _worker, "docx_lines": _docx_lines, "objects_round_trip": _objects, "objects_listed": _objects_listed}
 
 TRIM_SQL = r"regexp_replace({}, '^[\s\p{{Z}}\x{{0B}}\x{{85}}]+|[\s\p{{Z}}\x{{0B}}\x{{85}}]+$', '', 'g')"
 ROMAN_SQL = "repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]"
 
+SLICE_SQL = "least(floor((epoch_us({0}::TIMESTAMP) - epoch_us((min({0}) OVER ())::TIMESTAMP)) / (epoch_us((max({0}) OVER ())::TIMESTAMP) - epoch_us((min({0}) OVER ())::TIMESTAMP)) * 4), 3)"
 ORACLES = {
+    "event_log_once": "SELECT event_id, ts, event_type FROM events",
+    # Second deliveries come when the watermark for late rows, a batch behind, stands a day before the end of their span.
+    "event_log_late": f"""WITH e AS (SELECT *, {SLICE_SQL.format("ts")} AS slice FROM events), w AS (SELECT *, date_trunc('millisecond', max(ts) OVER (PARTITION BY slice)) - INTERVAL 1 DAY AS mark FROM e)
+      SELECT count(*) AS n_log, count(DISTINCT event_id) AS n_events, count(*) FILTER (WHERE ts <= mark) AS n_late FROM w""",
+    "worker_polls": f"SELECT o_orderkey AS key, CAST({SLICE_SQL.format('o_orderdate')} AS BIGINT) AS claimed, CAST({SLICE_SQL.format('o_orderdate')} AS BIGINT) AS worked, CAST(ceil(o_totalprice / 1000) AS BIGINT) AS hours FROM orders WHERE o_orderstatus = 'O'",
     "docx_lines": f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 counted AS (SELECT *, (pos - 1) % 6 AS turn, row_number() OVER (PARTITION BY doc_id, (pos - 1) % 6 ORDER BY pos) AS n FROM raw),

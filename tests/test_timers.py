@@ -6,7 +6,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from tabulark.session import work_folder
-from tabulark.streaming import states, timers
+from pyspark.sql import functions as F
+
+from tabulark.streaming import event_log, states, timers, worker
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "key long, ts timestamp, event_id long, kind string"
@@ -67,3 +69,58 @@ def test_resting_keys_are_forgotten(spark, tmp_path):
     run(spark, folder, out, timers.Retry(), keep_days=1)
     left = spark.read.format("statestore").option("stateVarName", "machine").load(f"{out}/checkpoint")
     assert sorted(r.key.key for r in left.select("key").collect()) == [9, 50]
+
+
+def test_the_log_has_no_doubles_across_restarts(spark, tmp_path):
+    folder, out = str(tmp_path), work_folder(spark, "log-test")
+    late = event_log.LateRows()
+    spark.streams.addListener(late)
+
+    def go():
+        query = event_log.append_once(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder, pathGlobFilter="slice*"), out, delay="100 seconds")
+        query.awaitTermination()
+        return late.of(query)
+
+    wrote(spark, folder, [(1, 500, 2, "b"), (1, 0, 1, "a"), (1, 500, 2, "b")], 0)
+    go()
+    wrote(spark, folder, [(1, 450, 3, "c"), (1, 500, 2, "b"), (1, 0, 1, "a")], 1)  # a double within the watermark, one behind it
+    wrote(spark, folder, [(1, 10, 4, "d"), (1, 700, 5, "e")], 2)  # new, but too late
+    n = go()
+    spark.streams.removeListener(late)
+    log = event_log.read_log(spark, out, SCHEMA)
+    assert sorted(r.event_id for r in log.collect()) == [1, 2, 3, 5] and n == 2
+
+
+TASKS = "key long, since timestamp"
+
+
+def polled(spark, folder, work, batches, most=None):
+    w = worker.Worker(spark, folder, spark.createDataFrame([], TASKS).schema, work, most)
+    for n, keys in batches:
+        w.poll(spark.createDataFrame([(k, at(k)) for k in keys], TASKS), n)
+    return w
+
+
+def test_a_batch_that_runs_again_claims_the_same(spark):
+    folder = work_folder(spark, "worker-test")
+    work = lambda rows: rows.select("key", F.lit("done").alias("what"))
+
+    def dies(rows):
+        raise RuntimeError("worker died")
+
+    polled(spark, folder, work, [(0, [3, 1, 2, 1])], most=2)
+    with pytest.raises(RuntimeError):
+        polled(spark, folder, dies, [(1, [9, 8, 2])], most=2)
+    # The batch runs again, with arrivals that the first run did not see; its claims stay.
+    w = polled(spark, folder, work, [(1, [0]), (2, []), (3, []), (0, [77])], most=2)
+    assert sorted((r.key, r.batch) for r in w.claims().collect()) == [(1, 0), (2, 0), (3, 1), (8, 1), (9, 2)]
+    results = w.results(spark.createDataFrame([], "key long, what string").schema)
+    assert sorted((r.key, r.batch) for r in results.collect()) == [(1, 0), (2, 0), (3, 1), (8, 1), (9, 2)]
+
+
+def test_half_written_claims_are_made_anew(spark):
+    folder = work_folder(spark, "worker-test")
+    spark.createDataFrame([(5, at(5))], TASKS).write.parquet(f"{folder}/claims/batch=0")
+    os.remove(f"{folder.removeprefix('file://')}/claims/batch=0/_SUCCESS")
+    w = polled(spark, folder, lambda rows: rows.select("key"), [(0, [1])])
+    assert [r.key for r in w.claims().collect()] == [1]
