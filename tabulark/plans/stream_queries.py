@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulark.operators import practice
+from tabulark.operators import practice, vector_index
 from tabulark.plans.proxies import read
 from tabulark.streaming import states, timers
 
@@ -63,7 +63,20 @@ def _similar(s, d):
     return practice.similar(rows.where("vec_id % 20 = 0"), rows, 5)
 
 
+def _indexed(s, d):
+    rows = read(s, d, "embeddings")
+    return vector_index.search(rows.where("vec_id % 20 = 0"), rows, vector_index.fit(rows))
+
+
+def _recall(s, d):
+    """Whether the index finds nine of ten exact neighbours of the stated queries, and how many there are."""
+    found = vector_index.recall(_indexed(s, d), _similar(s, d))
+    return found.select("n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("enough"))
+
+
 QUERIES = {
+    "vector_index": _indexed,
+    "vector_recall": _recall,
     "task_latest_state": lambda s, d: states.latest_state(events(s, d)).select("key", "state"),
     "retry_state": lambda s, d: states.retry_states(events(s, d, RETRY)),
     "stale_running": lambda s, d: states.stale_running(events(s, d), F.lit("2024-01-31").cast("timestamp"), 900, [3]).select("key"),
@@ -115,6 +128,7 @@ ORACLES = {
     "stream_breaker": f"""WITH {T}, r AS (SELECT *, sum(CASE WHEN kind = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS g FROM t), o AS (SELECT key, ts, event_id, last FROM r WHERE kind = 'failed' QUALIFY row_number() OVER (PARTITION BY key, g ORDER BY ts, event_id) = 2),
       n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS next FROM o) SELECT key, ts AS at, event_id, 'open' AS what, 2 AS n FROM o UNION ALL SELECT key, ts + INTERVAL 2 DAY, event_id, 'closed', 0 FROM n WHERE (next IS NULL OR next > ts + INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY < last""",
     "stream_retry_due": TIMED_WALK_SQL,
+    "vector_recall": "SELECT CAST(count(*) * least(5, (SELECT count(*) FROM embeddings) - 1) AS BIGINT) AS n_true, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "task_latest_state": f"WITH {E} SELECT key, state FROM latest",
     "retry_state": RETRY_SQL,
     "stream_retry_state": RETRY_SQL,
