@@ -103,9 +103,12 @@ def page_of(line_id: Column) -> Column:
 
 
 def parent_and_sub(number: Column) -> Column:
-    """struct(parent, sub) of 15(1); sub is null without parentheses."""
-    pattern = r"^\s*(\d+)\s*(?:[（(]\s*(\d+)\s*[）)])?"
-    return F.struct(F.regexp_extract(number, pattern, 1).try_cast("int").alias("parent"), F.regexp_extract(number, pattern, 2).try_cast("int").alias("sub"))
+    """struct(parent int, sub string): 15 and 1 of 15(1) or 15.1, 15 and 一 of 15（一）. Whatever is not wholly of such a form has no sub;
+    its parent is the number that it begins with."""
+    whole = r"^\s*(\d{1,3})\s*(?:[（(]\s*(\d{1,3}|[一二三四五六七八九十]+)\s*[）)]|[.．]\s*(\d{1,3}))\s*$"
+    part = lambda k: F.nullif(F.regexp_extract(number, whole, k), F.lit(""))
+    parent = F.coalesce(part(1), F.regexp_extract(number, r"^\s*(\d+)", 1))
+    return F.struct(parent.try_cast("int").alias("parent"), F.coalesce(part(2), part(3)).alias("sub"))
 
 
 def word_bank(text: Column) -> Column:
@@ -117,12 +120,15 @@ def word_bank(text: Column) -> Column:
 
 
 def answer_structure(text: Column) -> Column:
-    """struct(kind, low, high, accepted): a range a~b, or a list of accepted forms."""
-    low, high = F.regexp_extract(text, r"^\s*(-?[\d.]+)\s*[~～]\s*(-?[\d.]+)\s*$", 1), F.regexp_extract(text, r"^\s*(-?[\d.]+)\s*[~～]\s*(-?[\d.]+)\s*$", 2)
-    accepted = F.filter(F.transform(F.split(text, r"[/|;；]"), F.trim), lambda x: x != "")
-    return F.struct(
-        F.when(low != "", "range").when(F.size(accepted) > 1, "list").otherwise("single").alias("kind"), low.try_cast("double").alias("low"), high.try_cast("double").alias("high"), accepted.alias("accepted")
-    )
+    """struct(kind, low, high, accepted): the two sides of a first ~ as they stand, if neither is empty, and the accepted forms, if there
+    are several of 200 characters at most. An answer can have both; kind is range, list, both or single."""
+    body = strip(text)
+    side = lambda k: strip(F.regexp_extract(body, r"(?s)^([^~～]*)[~～](.*)$", k))
+    ranged = F.coalesce((side(1) != "") & (side(2) != ""), F.lit(False))
+    parts = F.filter(F.transform(F.split(body, r"[/|;；]"), strip), lambda x: x != "")
+    listed = F.coalesce((F.size(parts) > 1) & F.forall(parts, lambda x: F.length(x) <= 200), F.lit(False))
+    kind = F.when(ranged & listed, "both").when(ranged, "range").when(listed, "list").otherwise("single")
+    return F.struct(kind.alias("kind"), F.when(ranged, side(1)).alias("low"), F.when(ranged, side(2)).alias("high"), F.when(listed, parts).otherwise(F.array(body)).alias("accepted"))
 
 
 def difficulty(value: Column) -> Column:

@@ -13,8 +13,16 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """SequenceMatcher ratio, with its junk rule for long texts; not symmetric. Null counts as empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
+    """SequenceMatcher ratio, with its junk rule for long texts; not symmetric. Null counts as empty. A batch is gone through by its
+    second texts, since the index that the matcher makes of one serves all pairs with it."""
+    first, second, out = a.fillna("").tolist(), b.fillna("").tolist(), [0.0] * len(a)
+    matcher, held = difflib.SequenceMatcher(), None
+    for i in sorted(range(len(second)), key=second.__getitem__):
+        if second[i] != held:
+            matcher.set_seq2(held := second[i])
+        matcher.set_seq1(first[i])
+        out[i] = matcher.ratio()
+    return pd.Series(out, dtype=float)
 
 
 def ratio_reaches(a: Column, b: Column, at_least: float) -> Column:

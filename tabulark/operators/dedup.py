@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulark.functions.similarity import center, grid
+from tabulark.functions.similarity import box_iou
 from tabulark.functions.text import compact_answer, content_hash
 
 
@@ -42,37 +41,19 @@ def hash_collisions(rows: DataFrame, hash_col: str, text: str) -> DataFrame:
     return rows.groupBy(hash_col).agg(F.countDistinct(text).alias("texts")).where("texts > 1")
 
 
-def dedup_boxes(images: DataFrame, iou_at_least: float = 0.5, reach: float = 50.0, step: int = 10) -> DataFrame:
-    """Greedy deduplication of images (image_id, page, box) inside one grid cell of their centre: in order of id,
-    an image goes if a kept one overlaps it enough or its centre lies near. Images without a box stay. A cell is
-    `step` pixels of one page, which bounds a group."""
-    c = center(F.col("box"))
-    boxed = images.where("box is not null").withColumn("_gx", grid(c["x"], step)).withColumn("_gy", grid(c["y"], step))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        rows = []
-        for r in pdf.sort_values("image_id").itertuples():
-            b, how = r.box, None
-            for k in kept:
-                w, h = min(b["x2"], k["x2"]) - max(b["x1"], k["x1"]), min(b["y2"], k["y2"]) - max(b["y1"], k["y1"])
-                inter = max(w, 0) * max(h, 0)
-                area = (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) + (k["x2"] - k["x1"]) * (k["y2"] - k["y1"]) - inter
-                dx, dy = (b["x1"] + b["x2"] - k["x1"] - k["x2"]) / 2, (b["y1"] + b["y2"] - k["y1"] - k["y2"]) / 2
-                if area > 0 and inter / area >= iou_at_least:
-                    how = "iou"
-                elif dx * dx + dy * dy <= reach * reach:
-                    how = "distance"
-                if how:
-                    break
-            if how is None:
-                kept.append(b)
-            rows.append((r.image_id, r.page, how is None, how))
-        return pd.DataFrame(rows, columns=["image_id", "page", "kept", "method"])
-
-    out = boxed.select("image_id", "page", "box", "_gx", "_gy").groupBy("page", "_gx", "_gy").applyInPandas(greedy, "image_id long, page long, kept boolean, method string")
-    bare = images.where("box is null").select(F.col("image_id").cast("long").alias("image_id"), F.col("page").cast("long").alias("page"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("method"))
-    return out.unionByName(bare)
+def dedup_boxes(images: DataFrame, iou_at_least: float = 0.5, step: int = 10) -> DataFrame:
+    """image_id, page, kept, method of images (image_id, page, box). Boxes of one page whose four coordinates round to the same steps are
+    one image: their centres are at most `step` apart on each axis, nearer than the 50 pixels that make a duplicate, so the smallest id stays
+    and each other one goes, for its overlap or else its distance. Images without a box stay."""
+    cell = F.struct(*[F.bround(F.col("box")[k] / step).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    slim = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("page").cast("long").alias("page"), "box")
+    boxed = slim.where("box is not null").withColumn("_cell", cell)
+    first = boxed.groupBy("page", "_cell").agg(F.min_by(F.struct("image_id", "box"), "image_id").alias("_first"))
+    found = boxed.join(first, ["page", "_cell"])
+    kept = F.col("image_id") == F.col("_first.image_id")
+    method = F.when(~kept, F.when(box_iou(F.col("_first.box"), F.col("box")) >= iou_at_least, "iou").otherwise("distance"))
+    bare = slim.where("box is null").select("image_id", "page", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("method"))
+    return found.select("image_id", "page", kept.alias("kept"), method.alias("method")).unionByName(bare)
 
 
 def dedup_statistics(rows: DataFrame) -> DataFrame:

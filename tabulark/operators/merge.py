@@ -60,14 +60,31 @@ def guard(winner: Column, conflict: Column, confidence: Column, kept: Column, te
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], at_least: float = 0.6, where: Column | None = None) -> DataFrame:
-    """Equi-join on `keys`, pairs under the similarity dropped, and those that `where` excludes. Python sees only the
-    pairs that can reach the similarity by their lengths and characters: no sequence ratio exceeds 2 min / (a + b)."""
-    pairs = left.join(right.withColumnRenamed("text", "other_text"), keys)
+    """Equi-join on `keys`, pairs under the similarity dropped, and those that `where` excludes. What a bound needs of a text (length,
+    distinct characters and how often each occurs) is made once for each text; lengths and common characters bound the
+    similarity of a pair from above, and only pairs that can reach it are aligned."""
+    sides = [_with_characters(left, "text", "_a"), _with_characters(right.withColumnRenamed("text", "other_text"), "other_text", "_b")]
+    pairs = sides[0].join(sides[1], keys)
     pairs = pairs if where is None else pairs.where(where)
-    a, b = F.length(F.trim("text")), F.length(F.trim("other_text"))
-    within = F.when((a > 0) & (b > 0), 1.4 * F.least(a, b) / (a + b) + 0.3 * char_jaccard(F.col("text"), F.col("other_text")) > at_least - 1e-9)
-    pairs = pairs.where(within if at_least >= 0 else F.lit(True))
-    return pairs.withColumn("similarity", hybrid_similarity(F.col("text"), F.col("other_text"))).where(F.col("similarity") > at_least)
+    a, b = F.col("_a"), F.col("_b")
+    if at_least >= 0:
+        lengths = F.least(a["n"], b["n"]) / (a["n"] + b["n"])
+        pairs = pairs.where((a["n"] > 0) & (b["n"] > 0) & (F.least(a["n"], b["n"]) / F.greatest(a["n"], b["n"]) >= 0.3) & (1.4 * lengths + 0.3 > at_least - 1e-9))
+        both = F.size(F.array_intersect(a["set"], b["set"]))
+        jaccard = both / (F.size(a["set"]) + F.size(b["set"]) - both)
+        pairs = pairs.where(1.4 * lengths + 0.3 * jaccard > at_least - 1e-9)
+        common = F.aggregate(a["counts"], F.lit(0), lambda sum_, c: sum_ + F.least(c["n"], F.coalesce(b["held"][c["c"]], F.lit(0))))  # no alignment matches more
+        pairs = pairs.where(1.4 * common / (a["n"] + b["n"]) + 0.3 * jaccard > at_least - 1e-9)
+    return pairs.drop("_a", "_b").withColumn("similarity", hybrid_similarity(F.col("text"), F.col("other_text"))).where(F.col("similarity") > at_least)
+
+
+def _with_characters(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """`rows` with a struct of the trimmed text's length n, set of characters, and their counts, as an array and as a map."""
+    body = F.trim(text)
+    chars = F.array_distinct(F.filter(F.split(body, ""), lambda c: c != ""))
+    often = lambda c: F.length(body) - F.length(F.replace(body, c, F.lit("")))
+    counts = F.transform(chars, lambda c: F.struct(c.alias("c"), often(c).alias("n")))
+    return rows.withColumn(name, F.struct(F.length(body).alias("n"), chars.alias("set"), counts.alias("counts"), F.map_from_entries(counts).alias("held")))
 
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -113,9 +130,47 @@ def without_near_box(left: DataFrame, right: DataFrame, page: str = "page", reac
     return left.join(hit, "left_id", "left_anti")
 
 
+#: Cells are opened until none holds more points than this, by four cells a side at a time.
+POINTS_PER_CELL, STEP_BITS, DEEPEST = 64, 2, 24
+
+
 def nearest(left: DataFrame, right: DataFrame, page: str = "page") -> DataFrame:
-    """left_id and the right_id of the nearest centre on the same page."""
-    pairs = left.join(right.select(page, "right_id", F.col("box").alias("other")), page).withColumn("d", center_distance(F.col("box"), F.col("other")))
+    """left_id, right_id, d: the nearest centre on the same page, the smallest right_id of equal ones. Boxes without a right one on their
+    page are left out, as are null boxes.
+
+    Right centres stand in a tree of square cells. A left centre starts with its page's outermost cell; on each level its cells are
+    opened, and those whose nearest point is farther than the farthest point of another are closed, as that one holds a
+    centre. So it meets the points of a few small cells only, however crowded a page is."""
+    c, o = center(F.col("box")), center(F.col("other"))
+    asked = left.where("box is not null").select("left_id", page, c["x"].alias("x"), c["y"].alias("y"))
+    points = right.where("box is not null").select(page, F.col("box").alias("other"), "right_id").select(page, "right_id", o["x"].alias("rx"), o["y"].alias("ry"))
+    points = points.groupBy(page, "rx", "ry").agg(F.min("right_id").alias("right_id"))
+    span = points.agg(F.min("rx").alias("x"), F.min("ry").alias("y"), (F.max("rx") - F.min("rx")).alias("w"), (F.max("ry") - F.min("ry")).alias("h")).first()
+    size = max(span.w or 0.0, span.h or 0.0, 1e-9) * (1 + 1e-9)
+    index = lambda v, origin, bits: F.least(F.floor((v - F.lit(origin or 0.0)) / F.lit(size) * (1 << bits)), F.lit((1 << bits) - 1))
+    bits = 0
+    while bits < DEEPEST:
+        full = points.groupBy(page, index(F.col("rx"), span.x, bits), index(F.col("ry"), span.y, bits)).count().agg(F.max("count")).first()[0]
+        if not full or full <= POINTS_PER_CELL:
+            break
+        bits += STEP_BITS
+    points = points.withColumn("ix", index(F.col("rx"), span.x, bits)).withColumn("iy", index(F.col("ry"), span.y, bits))
+    open_ = asked.withColumn("ix", F.lit(0).cast("long")).withColumn("iy", F.lit(0).cast("long"))
+    for level in range(STEP_BITS, bits + 1, STEP_BITS):
+        at = lambda name, n: F.shiftright(name, n)
+        cells = points.select(page, at("ix", bits - level).alias("cx"), at("iy", bits - level).alias("cy")).distinct()
+        cells = cells.select(page, "cx", "cy", at("cx", STEP_BITS).alias("ix"), at("cy", STEP_BITS).alias("iy"))
+        side = size / (1 << level)
+        low = lambda name, origin: F.lit(origin or 0.0) + F.col(name) * F.lit(side)
+        near = lambda v, b: F.greatest(b - F.col(v), F.col(v) - (b + side), F.lit(0.0))
+        far = lambda v, b: F.greatest(F.abs(F.col(v) - b), F.abs(F.col(v) - (b + side)))
+        bx, by = low("cx", span.x), low("cy", span.y)
+        found = open_.join(cells, [page, "ix", "iy"]).withColumn("_near", F.hypot(near("x", bx), near("y", by))).withColumn("_far", F.hypot(far("x", bx), far("y", by)))
+        least = F.min("_far").over(Window.partitionBy("left_id", page, "x", "y"))
+        open_ = found.withColumn("_least", least).where(F.col("_near") <= F.col("_least") * (1 + 1e-9) + 1e-9 * size)
+        open_ = open_.select("left_id", page, "x", "y", F.col("cx").alias("ix"), F.col("cy").alias("iy"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2)))
+    pairs = open_.join(points, [page, "ix", "iy"]).withColumn("d", d)
     return pairs.groupBy("left_id").agg(F.min_by("right_id", F.struct("d", "right_id")).alias("right_id"), F.round(F.min("d"), 6).alias("d"))
 
 

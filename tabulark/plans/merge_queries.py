@@ -48,7 +48,18 @@ BOXES_SQL = f"WITH {_boxes_sql(0, 'l')}, {_boxes_sql(1, 'r')}"
 
 
 def _dedup_boxes(s, d):
-    return dedup.dedup_boxes(_boxes(s, d, 0).withColumnRenamed("left_id", "image_id").withColumn("page", F.col("page") % 4))
+    """One box for each line of an order on four pages, some of them moved or widened by a few pixels, some missing."""
+    k, n = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_suppkey") % 10
+    x, y, shift = (n * 37).cast("double"), (n * 61 % 100).cast("double"), (F.col("l_partkey") % 7).cast("double")
+    box = F.struct((x + shift).alias("x1"), y.alias("y1"), (x + 8 + shift * 5).alias("x2"), (y + 6 + n).alias("y2"))
+    return dedup.dedup_boxes(read(s, d, "lineitem").select(k.alias("image_id"), (F.col("l_orderkey") % 4).alias("page"), F.when(F.col("l_partkey") % 50 != 0, box).alias("box")))
+
+
+DEDUP_SQL = """WITH raw AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 4 AS page, l_partkey % 50 = 0 AS bare, CAST(l_suppkey % 10 * 37 AS DOUBLE) AS x, CAST(l_suppkey % 10 * 61 % 100 AS DOUBLE) AS y, l_suppkey % 10 AS n, l_partkey % 7 AS shift FROM lineitem),
+  boxes AS (SELECT id, page, bare, x + shift AS x1, y AS y1, x + 8 + shift * 5 AS x2, y + 6 + n AS y2 FROM raw),
+  cells AS (SELECT *, first_value({'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) OVER (PARTITION BY bare, page, round_even(x1 / 10, 0), round_even(y1 / 10, 0), round_even(x2 / 10, 0), round_even(y2 / 10, 0) ORDER BY id) AS f FROM boxes),
+  shared AS (SELECT *, greatest(least(x2, f.x2) - greatest(x1, f.x1), 0) * greatest(least(y2, f.y2) - greatest(y1, f.y1), 0) AS common FROM cells),
+  judged AS (SELECT id, page, bare OR id = f.id AS kept, CASE WHEN bare OR id = f.id THEN NULL WHEN common / ((x2 - x1) * (y2 - y1) + (f.x2 - f.x1) * (f.y2 - f.y1) - common) >= 0.5 THEN 'iou' ELSE 'distance' END AS method FROM shared)"""
 
 
 def _gate_rows(s, d):
@@ -111,11 +122,11 @@ def _graded(s, d):
 
 
 def _similar_lines(s, d):
-    """Every line against every other line whose length has the same last digits."""
-    rows = lines(s, d).withColumn("k", F.length("text") % 50)
-    other = rows.select("k", F.col("doc_id").alias("other_id"), F.col("line_no").alias("other_no"), "text")
-    pairs = merge.similar_pairs(rows, other, ["k"], 0.6, (F.col("doc_id") != F.col("other_id")) | (F.col("line_no") != F.col("other_no")))
-    return pairs.select("doc_id", "other_id", F.round("similarity", 6).alias("similarity"))
+    """Every line against the lines of its number on its page. A page is 20 neighbouring documents."""
+    rows = lines(s, d).withColumn("page", F.floor(F.col("doc_id") / 20))
+    other = rows.select("page", "line_no", F.col("doc_id").alias("other_id"), "text")
+    pairs = merge.similar_pairs(rows, other, ["page", "line_no"], 0.6, F.col("doc_id") != F.col("other_id"))
+    return pairs.select("doc_id", "other_id", "line_no", F.round("similarity", 6).alias("similarity"))
 
 
 def _coverage(s, d):
@@ -213,6 +224,8 @@ ORACLES = {
     "spatial_anti": BOXES_SQL + f" SELECT id AS left_id FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE {BOTH} AND abs({DX}) < 50 AND abs({DY}) < 50)",
     "nearest_neighbor": BOXES_SQL + f" SELECT l.id AS left_id, arg_min(r.id, (sqrt(pow({DX}, 2) + pow({DY}, 2)), r.id)) AS right_id, round(min(sqrt(pow({DX}, 2) + pow({DY}, 2))), 6) AS d FROM l JOIN r ON {BOTH} GROUP BY l.id",
     "point_in_box": BOXES_SQL + f" SELECT l.id AS point_id, arg_min(r.id, (r.id % 3, -r.id)) AS box_id FROM l JOIN r ON {BOTH} AND l.x1 BETWEEN r.x1 - 20 AND r.x2 + 20 AND l.y1 BETWEEN r.y1 - 20 AND r.y2 + 20 GROUP BY l.id",
+    "bucket_dedup": DEDUP_SQL + " SELECT id AS image_id, page, kept, method FROM judged",
+    "bucket_dedup_stats": DEDUP_SQL + " SELECT count(*) AS original, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS duplicates FROM judged",
     "grid_key": "SELECT CAST(round_even(l_quantity / 10, 0) * 10 AS INT) AS cell, count(*) AS n FROM lineitem GROUP BY 1",
     "quality_score": SCORE_SQL,
     "quality_counters": SCORE_SQL.replace("ELSE 0 END AS score FROM q)", f"ELSE 0 END AS score, {BLOCKED_SQL} AS blocked FROM q)").rsplit("SELECT", 1)[0] + "SELECT count(*) FILTER (WHERE round(greatest(0.0, score), 6) >= 0.8) AS high, count(*) FILTER (WHERE round(greatest(0.0, score), 6) < 0.5) AS low, count(*) FILTER (WHERE blocked) AS blocked FROM s",

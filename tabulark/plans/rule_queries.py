@@ -94,9 +94,9 @@ rule("clean_answers", exam.clean_answer, [
     ("3", "故选 B。", "B"), ("3", "3. x = 1（4分）", "x = 1"), (None, "（2）y", "（2）y"), ("7", "答案不唯一", "答案不唯一"), ("7", "【答案】故选A", "A"), ("15(1)", "15(1). 5 m/s", "5 m/s"), ("2", "（2）答案：甲", "答案：甲"), ("4", "选C！", "C"), ("9", "x=2……3分", "x=2"), ("1", "答案：1. 对", "对"), ("3", "第 3 页/共 8 页", ""),
 ])
 rule("pages_of_ids", pt.page_of, [("P12L003", 12), ("N1L010", 1), ("D7L999", 7), ("X1L1", None), ("", None)], "int")
-rule("parents_and_subs", lambda t: F.concat_ws("/", pt.parent_and_sub(t)["parent"], pt.parent_and_sub(t)["sub"]), [("15(1)", "15/1"), ("15（12）", "15/12"), ("8", "8"), ("实验一", "")])
+rule("parents_and_subs", lambda t: F.concat_ws("/", pt.parent_and_sub(t)["parent"], pt.parent_and_sub(t)["sub"]), [("15(1)", "15/1"), ("15（12）", "15/12"), ("16.1", "16/1"), ("15(一)", "15/一"), ("15(1)x", "15"), ("8", "8"), ("实验一", "")])
 rule("word_banks", lambda t: listed(pt.word_bank(t)), [("apple, banana; kiwi", "apple ¦ banana ¦ kiwi"), ("a b  c", "a ¦ b ¦ c"), ("（look after）；take off，", "look after ¦ take off"), ("  ", ""), (None, "")])
-rule("answer_structures", lambda t: F.concat_ws("/", pt.answer_structure(t)["kind"], pt.answer_structure(t)["low"].cast("string"), F.size(pt.answer_structure(t)["accepted"]).cast("string")), [("0.43~0.46", "range/0.43/1"), ("a/b|c", "list/3"), ("plain", "single/1")])
+rule("answer_structures", lambda t: F.concat_ws("/", pt.answer_structure(t)["kind"], pt.answer_structure(t)["low"], F.size(pt.answer_structure(t)["accepted"]).cast("string")), [("0.43~0.46", "range/0.43/1"), ("A~C", "range/A/1"), (" a ~ b/c", "both/a/2"), ("~3", "single/1"), ("a/b|c", "list/3"), ("plain", "single/1")])
 rule("subjects_of_files", exam.subject_of_file, [("2025期末数学.pdf", "数学"), ("化学老师.pdf", "化学"), ("附件一二三四五六七八数学", None), (None, None)])
 rule("subjects_found", exam.detect_subject, [
     (" 物理 ", "数学.pdf", "函数", "物理"), (None, "2024 ENGlish.pdf", None, "英语"), ("", "paper.pdf", "求函数的导数", "数学"), (None, "x.pdf", "古诗默写", "语文"), (None, None, "nothing", "未知"), (None, "bio test", "电学", "生物"), (None, "x", "\n" * 50 + "函数", "未知"),

@@ -5,6 +5,7 @@ import difflib
 import duckdb
 import pytest
 
+from tabulark.operators import dedup
 from tabulark.plans import line_queries as lq, merge_queries as mq, stream_queries as sq
 from tests.test_queries import QUERIES, rows
 
@@ -34,11 +35,17 @@ def test_every_order_has_its_box(name, spark, far):
     same(spark, far, name, mq.ORACLES[name])
 
 
-def test_dedup_sees_every_order(spark, far):
+def test_dedup_sees_every_line(spark, far):
     d, con = far
-    want = {r[0] for r in con.execute("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey % 2 = 0").fetchall()}
-    assert {r.image_id for r in QUERIES["bucket_dedup"](spark, d).collect()} == want
-    assert QUERIES["bucket_dedup_stats"](spark, d).first().original == len(want)
+    same(spark, far, "bucket_dedup", mq.ORACLES["bucket_dedup"])
+    assert QUERIES["bucket_dedup_stats"](spark, d).first().original == con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+
+
+def test_boxes_of_one_centre_and_other_sizes_stay(spark):
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    rows = [(1, 1, (0.0, 0.0, 100.0, 100.0)), (2, 1, (40.0, 40.0, 60.0, 60.0)), (3, 1, (1.0, 1.0, 101.0, 101.0)), (4, 2, (0.0, 0.0, 100.0, 100.0)), (5, 1, None), (6, 1, (4.0, 0.0, 4.0, 2.0)), (7, 1, (0.0, 0.0, 1.0, 1.0))]
+    got = dedup.dedup_boxes(spark.createDataFrame(rows, f"image_id long, page long, box {box}")).collect()
+    assert sorted((r.image_id, r.method) for r in got if not r.kept) == [(3, "iou"), (7, "distance")]
 
 
 @pytest.mark.parametrize("name", ["quality_score", "rule_failures"])
@@ -102,14 +109,16 @@ def test_every_line_takes_part(name, oracles, spark, far):
 
 
 def test_similarity_join_takes_every_line(spark, tmp_path):
-    texts = ["one line here\n\nsecond line of text", "x\ny\nz\none more line\nsecond line of tent", "second lime of test\n" + "long " * 13 + "line!", "zzzzzzzzzzzzzzzzzzz"]
+    texts = ["one line here\n\nsecond line of text", "one lime here\ny\nsecond line of tent\none more line", "second lime of test\n" + "long " * 13 + "line!", "zzzzzzzzzzzzzzzzzzz"]
+    texts += ["second lime of test\n" + "long " * 15 + "line!\nsecond lint of text", None, "one line here"] + ["x"] * 13 + ["one line here"]  # the last stands on the next page
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    lines = [(k, i, t) for k, text in enumerate(texts) for i, t in enumerate(text.split("\n"))]
+    lines = [(k, i, t) for k, text in enumerate(texts) for i, t in enumerate((text or "").split("\n"), 1)]
     want = []
     for k, i, a in lines:
         for o, j, b in lines:
             x, y = a.strip(" "), b.strip(" ")
-            if len(a) % 50 == len(b) % 50 and (k, i) != (o, j) and x and y and min(len(x), len(y)) / max(len(x), len(y)) >= 0.3:
+            if k // 20 == o // 20 and i == j and k != o and x and y and min(len(x), len(y)) / max(len(x), len(y)) >= 0.3:
                 found = 0.7 * difflib.SequenceMatcher(None, x, y).ratio() + 0.3 * len(set(x) & set(y)) / len(set(x) | set(y))
-                want += [(k, o, round(found, 6))] if found > 0.6 else []
-    assert sorted(map(tuple, QUERIES["similarity_join"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) >= 6
+                want += [(k, o, i, round(found, 6))] if found > 0.6 else []
+    got = [r for r in map(tuple, QUERIES["similarity_join"](spark, str(tmp_path)).collect())]
+    assert sorted(got) == sorted(want) and len(want) >= 12
\ No newline at end of file
