@@ -201,10 +201,8 @@ def _related(s, d):
 
 def _ocr_lines(s, d):
     """Documents as recognized pages: each line is a block."""
-    import json  # noqa: F401
-
-    blocks = lines(s, d).where("doc_id = 1").select((F.floor((F.col("line_no") - 1) / 4) + 1).cast("int").alias("page"), F.col("line_no").alias("block_no"), F.when(F.col("line_no") % 5 == 0, "table").otherwise("text").alias("label"), F.concat("text", F.lit("\nmore\n\n")).alias("content"))
-    return readers.numbered_lines(blocks).select("line_id", "order", "block_type", F.length("text").alias("n"))
+    blocks = lines(s, d).select("doc_id", (F.floor((F.col("line_no") - 1) / 4) + 1).cast("int").alias("page"), F.col("line_no").alias("block_no"), F.when(F.col("line_no") % 5 == 0, "table").otherwise("text").alias("label"), F.concat("text", F.lit("\nmore\n\n")).alias("content"))
+    return readers.numbered_lines(blocks, document=["doc_id"]).select("doc_id", "line_id", "order", "block_type", F.length("text").alias("n"))
 
 
 def _placed_images(s, d):
@@ -219,7 +217,7 @@ def _text_blocks(s, d):
 
 
 def _paragraphs(s, d):
-    rows = read(s, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_linenumber") != 3, F.lit(1)).alias("num_id"), F.lit(0).alias("level"), F.when(F.col("l_orderkey") % 2 == 0, "upperRoman").otherwise("lowerLetter").alias("format"), F.lit("t").alias("text"))
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_linenumber") != 3, F.lit(1)).alias("num_id"), F.lit(0).alias("level"), F.when(F.col("l_orderkey") % 2 == 0, "upperRoman").otherwise("lowerLetter").alias("format"), F.lit("t").alias("text"))
     return readers.numbered_paragraphs(rows).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -359,11 +357,11 @@ ORACLES = {
       SELECT o_orderkey AS stored_id, n FROM t JOIN n USING (subject) WHERE rn <= 3""",
     "merged_duplicates": "SELECT CASE WHEN l_partkey % 2 = 0 THEN l_partkey - l_partkey % 3 ELSE l_partkey END AS question_id, count(*) AS n FROM lineitem GROUP BY 1",
     "related_nodes": "SELECT n_name AS source, CAST(n_regionkey AS VARCHAR) AS target, 'in' AS relation FROM nation WHERE n_name = 'FRANCE' UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_name, 'in' FROM nation WHERE n_regionkey = 1",
-    "ocr_lines": f"""WITH {LINES_SQL}, b AS (SELECT line_no, (line_no - 1) // 4 + 1 AS page, line_no % 5 = 0 AS t, text FROM lines WHERE doc_id = 1), p AS (SELECT line_no, page, t, 1 AS i, CASE WHEN t THEN text || chr(10) || 'more' || chr(10) || chr(10) ELSE text END AS text FROM b UNION ALL SELECT line_no, page, t, 2, 'more' FROM b WHERE NOT t), k AS (SELECT * FROM p WHERE trim(text) <> '')
-      SELECT 'P' || page || 'L' || lpad(CAST(row_number() OVER (PARTITION BY page ORDER BY line_no, i) AS VARCHAR), 3, '0') AS line_id, row_number() OVER (ORDER BY line_no, i) AS "order", CASE WHEN t THEN 'table' ELSE 'text' END AS block_type, length(text) AS n FROM k""",
+    "ocr_lines": f"""WITH {LINES_SQL}, b AS (SELECT doc_id, line_no, (line_no - 1) // 4 + 1 AS page, line_no % 5 = 0 AS t, text FROM lines), p AS (SELECT doc_id, line_no, page, t, 1 AS i, CASE WHEN t THEN text || chr(10) || 'more' || chr(10) || chr(10) ELSE text END AS text FROM b UNION ALL SELECT doc_id, line_no, page, t, 2, 'more' FROM b WHERE NOT t), k AS (SELECT * FROM p WHERE trim(text) <> '')
+      SELECT doc_id, 'P' || page || 'L' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, i) AS VARCHAR), 3, '0') AS line_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) AS "order", CASE WHEN t THEN 'table' ELSE 'text' END AS block_type, length(text) AS n FROM k""",
     "placed_images": """SELECT o_orderkey AS ref_id, min(l_orderkey) AS xref FROM orders JOIN lineitem ON o_orderkey % 200 = l_orderkey % 200 AND l_linenumber = 1 AND abs(o_custkey % 60 - l_suppkey % 60) < 5 AND abs(o_orderkey % 80 - l_partkey % 80) < 5 GROUP BY 1""",
     "text_blocks": """SELECT l_orderkey % 500 AS doc_id, l_linenumber AS page, count(*) AS n, CAST(min(l_suppkey * 9 % 900) AS DOUBLE) AS top FROM lineitem WHERE l_suppkey * 9 % 900 BETWEEN 15 AND 800 GROUP BY 1, 2""",
-    "numbered_paragraphs": f"""WITH x AS (SELECT l_orderkey, l_linenumber = 3 AS bare, row_number() OVER (PARTITION BY l_orderkey, l_linenumber = 3 ORDER BY l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 4)
+    "numbered_paragraphs": f"""WITH x AS (SELECT l_orderkey, l_linenumber = 3 AS bare, row_number() OVER (PARTITION BY l_orderkey, l_linenumber = 3 ORDER BY l_linenumber) AS n FROM lineitem)
       SELECT CASE WHEN bare THEN 't' WHEN l_orderkey % 2 = 0 THEN ({ROMAN_SQL}) || '. t' ELSE chr(CAST(96 + n AS INT)) || '. t' END AS text, count(*) AS n FROM x GROUP BY 1""",
     "tables_joined": f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no, sum(CASE WHEN length(text) % 7 = 0 THEN 1 ELSE 0 END - CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS depth FROM lines),
       y AS (SELECT doc_id, coalesce(lag(depth) OVER (PARTITION BY doc_id ORDER BY line_no), 0) > 0 AS inside FROM x) SELECT doc_id, count(*) FILTER (WHERE NOT inside) AS blocks FROM y GROUP BY 1""",

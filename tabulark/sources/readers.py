@@ -68,23 +68,23 @@ def ocr_blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("page", "block_no", F.col("b.block_label").alias("label"), F.col("b.block_content").alias("content"), box_of(F.col("b.block_bbox")).alias("box"))
 
 
-def block_lines(blocks: DataFrame) -> DataFrame:
+def block_lines(blocks: DataFrame, document: list[str] = []) -> DataFrame:  # noqa: B006
     """Blocks split into lines at newlines; tables stay whole; blank lines go. See `numbered_lines` for ids."""
     parts = F.when(F.col("label") == "table", F.array("content")).otherwise(F.split("content", "\n"))
-    rows = blocks.select("page", "block_no", "label", F.posexplode(parts).alias("pos", "text"))
+    rows = blocks.select(*document, "page", "block_no", "label", F.posexplode(parts).alias("pos", "text"))
     return rows.where(F.trim("text") != "")
 
 
-def numbered_lines(blocks: DataFrame, prefix: str = "P") -> DataFrame:
-    """line_id, page, line_no_in_page, order, text, block_type of the blocks of one document: lines in the order of
-    pages and blocks, numbered on each page and over all pages."""
-    rows = block_lines(blocks)
-    lines = rows.withColumn("line_no_in_page", F.row_number().over(Window.partitionBy("page").orderBy("block_no", "pos")))
-    pages = lines.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # the pages of one document
-    lines = lines.join(pages.select("page", before.alias("_before")), "page")
+def numbered_lines(blocks: DataFrame, prefix: str = "P", document: list[str] = []) -> DataFrame:  # noqa: B006
+    """line_id, page, line_no_in_page, order, text, block_type behind the `document` columns, which tell documents apart (none: all blocks
+    are of one): lines in the order of pages and blocks, numbered on each page and over all pages of a document."""
+    rows = block_lines(blocks, document)
+    lines = rows.withColumn("line_no_in_page", F.row_number().over(Window.partitionBy(*document, "page").orderBy("block_no", "pos")))
+    pages = lines.groupBy(*document, "page").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*document or [F.lit(1)]).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # the pages of one document
+    lines = lines.join(pages.select(*document, "page", before.alias("_before")), [*document, "page"])
     kind = F.when(F.col("label").isin("table", "formula"), F.col("label")).otherwise("text")
-    return lines.select(F.format_string("%s%dL%03d", F.lit(prefix), "page", "line_no_in_page").alias("line_id"), "page", "line_no_in_page", (F.col("_before") + F.col("line_no_in_page")).alias("order"), "text", kind.alias("block_type"))
+    return lines.select(*document, F.format_string("%s%dL%03d", F.lit(prefix), "page", "line_no_in_page").alias("line_id"), "page", "line_no_in_page", (F.col("_before") + F.col("line_no_in_page")).alias("order"), "text", kind.alias("block_type"))
 
 
 def box_of_name(name: Column) -> Column:
