@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulark import sinks
+from tabulark.operators import counts
 from tabulark.plans.proxies import read
 from tabulark.session import work_folder
 from tabulark.sources import docx, objects
@@ -125,13 +127,39 @@ def _worker(s, d):
     return worker_.claims().select("key", F.col("batch").alias("claimed")).join(results, "key", "full")
 
 
-QUERIES = {"event_log_once": _log_once, "event_log_late": _log_late, "worker_polls": _worker, "docx_lines": _docx_lines, "objects_round_trip": _objects, "objects_listed": _objects_listed}
+def _rerun_part(s, d):
+    """Instances by document; document 7 is run again with new prices and document 50 for the first time."""
+    folder = work_folder(s, "parts")
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") % 50).alias("document"))
+    sinks.replace_parts(rows, folder, ["document"])
+    again = rows.where("document IN (7, 8)").withColumn("price", F.lit(1.0)).withColumn("document", F.when(F.col("document") == 8, 50).otherwise(F.col("document")))
+    for _ in range(2):  # a repeated rerun changes nothing
+        sinks.replace_parts(again, folder, ["document"])
+    return s.read.schema(rows.schema).parquet(folder)
+
+
+def _sketches(s, d):
+    """Users per type and day as a stored table, to which the later half of the days is added; by type within four standard errors."""
+    rows, folder = read(s, d, "events").withColumn("day", F.to_date("ts")), work_folder(s, "sketches")
+    for half in (0, 1):
+        counts.sketched(rows.where(F.dayofmonth("day") % 2 == half), ["event_type", "day"], "user_id").write.mode("append").parquet(folder)
+    stored = s.read.schema("event_type string, day date, sketch binary").parquet(folder)
+    found = counts.estimated(counts.merged(stored, ["event_type"]))
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    close = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), 4 * counts.RELATIVE_ERROR * F.col("users"))
+    return found.join(exact, "event_type").select("event_type", "users", close.alias("close"))
+
+
+QUERIES = {"w_rerun_partition": _rerun_part, "distinct_sketches": _sketches, "event_log_once": _log_once, "event_log_late": _log_late, "worker_polls": _worker, "docx_lines": _docx_lines, "objects_round_trip": _objects, "objects_listed": _objects_listed}
 
 TRIM_SQL = r"regexp_replace({}, '^[\s\p{{Z}}\x{{0B}}\x{{85}}]+|[\s\p{{Z}}\x{{0B}}\x{{85}}]+$', '', 'g')"
 ROMAN_SQL = "repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]"
 
 SLICE_SQL = "least(floor((epoch_us({0}::TIMESTAMP) - epoch_us((min({0}) OVER ())::TIMESTAMP)) / (epoch_us((max({0}) OVER ())::TIMESTAMP) - epoch_us((min({0}) OVER ())::TIMESTAMP)) * 4), 3)"
 ORACLES = {
+    "w_rerun_partition": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 7 THEN 1.0 ELSE CAST(l_extendedprice AS DOUBLE) END AS price, l_orderkey % 50 AS document FROM lineitem
+      UNION ALL SELECT l_orderkey, l_linenumber, 1.0, 50 FROM lineitem WHERE l_orderkey % 50 = 8""",
+    "distinct_sketches": "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY 1",
     "event_log_once": "SELECT event_id, ts, event_type FROM events",
     # Second deliveries come when the watermark for late rows, a batch behind, stands a day before the end of their span.
     "event_log_late": f"""WITH e AS (SELECT *, {SLICE_SQL.format("ts")} AS slice FROM events), w AS (SELECT *, date_trunc('millisecond', max(ts) OVER (PARTITION BY slice)) - INTERVAL 1 DAY AS mark FROM e)

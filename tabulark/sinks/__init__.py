@@ -61,3 +61,9 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
+
+
+def replace_parts(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """Write `rows` into a table partitioned by `by`: the partitions that `rows` has are replaced whole, the files of all others stay as they
+    are. Spark moves new files in when the job commits, so a task that runs again and a whole rerun leave the same table."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)

@@ -7,6 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tabulark import sinks
+from tabulark.operators import counts
 from tabulark.session import work_folder
 from tabulark.sources import docx, objects
 
@@ -120,3 +122,28 @@ def test_listing_reads_no_contents(spark, tmp_path, capsys):
     objects.put(spark.createDataFrame([(b"x",)], "c binary"), "c", str(tmp_path))
     objects.listed(spark, str(tmp_path)).explain()
     assert "content" not in capsys.readouterr().out.split("ReadSchema")[1]
+
+
+def test_a_rerun_touches_its_partition_alone(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    files = lambda: {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    rows = spark.createDataFrame([(k, k % 3) for k in range(30)], "k int, part int")
+    sinks.replace_parts(rows, folder, ["part"])
+    before = files()
+    sinks.replace_parts(rows.where("part = 1 AND k > 20"), folder, ["part"])
+    after = files()
+    kept = {f for f in before if "part=1" not in f}
+    assert {f: before[f] for f in kept} == {f: t for f, t in after.items() if "part=1" not in f}
+    assert sorted(r.k for r in spark.read.parquet(folder).where("part = 1").collect()) == [22, 25, 28]
+    sinks.replace_parts(rows.where("false"), folder, ["part"])
+    assert set(files()) == set(after)
+
+
+def test_sketches_add_up(spark):
+    rows = spark.range(40_000).selectExpr("id % 4 AS g", "id % 7 AS day", "IF(id % 100 = 0, NULL, id % 9000) AS v")
+    fine = counts.sketched(rows, ["g", "day"], "v")
+    both = counts.merged(fine, ["g"]).alias("a")
+    whole = {r.g: r.estimate for r in counts.estimated(counts.sketched(rows, ["g"], "v")).collect()}
+    exact = {r.g: r.n for r in rows.groupBy("g").agg(F.count_distinct("v").alias("n")).collect()}
+    assert {r.g: r.estimate for r in counts.estimated(both).collect()} == whole
+    assert all(abs(whole[g] - exact[g]) <= 4 * counts.RELATIVE_ERROR * exact[g] for g in exact)
