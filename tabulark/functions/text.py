@@ -100,6 +100,13 @@ def letters_only(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z\u4e00-\u9fff]+", ""))
 
 
+def shared_material(c: Column, norm=None) -> Column:
+    """The letters and ideographs of NFKC text, lower-cased, without a first line that is only a label A to G and without \\text{} parts."""
+    c = F.coalesce(c, F.lit(""))
+    body = F.regexp_replace(c, r"(?U)^[^\S\r\n]*[A-G][^\S\r\n]*(\r\n?|\n|$)", "")
+    return letters_only(F.regexp_replace((norm or nfkc)(body), r"\\text\{[^}]*\}", " "))
+
+
 def format_only(c: Column) -> Column:
     """Quotes, dashes, spaces and brackets in one form; digits stay. Expects NFKC text."""
     out = F.translate(F.coalesce(c, F.lit("")), "“”‘’?？—–", "\"\"''''--")
@@ -114,7 +121,12 @@ def format_only(c: Column) -> Column:
 
 def blank_markers(c: Column) -> Column:
     """format_only, and every way to write blank N becomes [N]."""
-    out = F.regexp_replace(format_only(c), r"_+(\d+)_+", "[$1]")
+    return blanks_of_format(format_only(c))
+
+
+def blanks_of_format(c: Column) -> Column:
+    """`blank_markers` of a text that `format_only` has gone over."""
+    out = F.regexp_replace(c, r"_+(\d+)_+", "[$1]")
     out = F.regexp_replace(out, r"(\d+)_+(?=[,.;:)\]\s])", "[$1]")
     out = F.regexp_replace(out, r"[〔【［](\d+)[〕】］]", "[$1]")
     out = F.regexp_replace(out, r"([\u4e00-\u9fff])\[(\d+)\]([\u4e00-\u9fff])", "$1$2$3")

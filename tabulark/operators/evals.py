@@ -18,29 +18,40 @@ def field_accuracy(expected: DataFrame, actual: DataFrame, keys: list[str], name
     return out.withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 4))
 
 
-def verdict(a: Column, b: Column, norm=lambda c: c) -> Column:
-    """exact, format, blank_marker, punct_diff or mismatch; null equals null only."""
-    x, y = norm(a), norm(b)
-    return (
-        F.when(a.isNull() & b.isNull(), "exact").when(a.isNull() | b.isNull(), "mismatch").when(a == b, "exact").when(tx.format_only(x) == tx.format_only(y), "format")
-        .when(tx.blank_markers(x) == tx.blank_markers(y), "blank_marker").when(tx.strip_punct(tx.blank_markers(x)) == tx.strip_punct(tx.blank_markers(y)), "punct_diff").otherwise("mismatch")
-    )
+def _bound(a: Column, b: Column, then) -> Column:
+    """then(x, y) with both sides made once for each row, however often they stand in it, and only where it is reached."""
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: then(s["a"], s["b"]))[0]
+
+
+def verdict(a: Column, b: Column, norm=tx.nfkc, otherwise=lambda x, y: F.lit("mismatch")) -> Column:
+    """exact, format, blank_marker, punct_diff or mismatch; null equals null only. Texts are compared in NFKC. `otherwise` decides what is
+    left, from the two format forms."""
+
+    def by_blanks(x, y):
+        marked = _bound(tx.blanks_of_format(x), tx.blanks_of_format(y), lambda p, q: F.when(p == q, "blank_marker").when(tx.strip_punct(p) == tx.strip_punct(q), "punct_diff"))
+        return F.when(x == y, "format").otherwise(F.coalesce(marked, otherwise(x, y)))
 
+    forms = _bound(tx.format_only(norm(a)), tx.format_only(norm(b)), by_blanks)
+    return F.when(a.isNull() & b.isNull(), "exact").when(a.isNull() | b.isNull(), "mismatch").when(a == b, "exact").otherwise(forms)
 
-def verdict_shared(a: Column, b: Column, norm=lambda c: c) -> Column:
-    """As `verdict`; texts with equal letters are format_diff with equal number lists and number_diff without."""
-    letters = tx.letters_only(a) == tx.letters_only(b)
-    base = verdict(a, b, norm)
-    return F.when((base == "mismatch") & a.isNotNull() & b.isNotNull() & letters, F.when(tx.same_number_list(tx.format_only(norm(a)), tx.format_only(norm(b))), "format_diff").otherwise("number_diff")).otherwise(base)
 
+def verdict_shared(a: Column, b: Column, norm=tx.nfkc) -> Column:
+    """As `verdict`; texts of equal shared material are format_diff with equal number lists and number_diff without."""
+    letters = tx.shared_material(a, norm) == tx.shared_material(b, norm)
+    base = verdict(a, b, norm, lambda x, y: F.when(tx.same_number_list(x, y), "mismatch").otherwise("mismatch of numbers"))
+    told = F.when(base == "mismatch of numbers", F.when(letters, "number_diff").otherwise("mismatch")).when((base == "mismatch") & letters, "format_diff").otherwise(base)
+    return F.when(a.isNull() | b.isNull(), verdict(a, b, norm)).otherwise(told)
 
-def ab_verdict(a: Column, b: Column, norm=lambda c: c) -> Column:
-    """The lenient comparison: equal letters pass as semantic, equal number sets as format_diff."""
+
+def ab_verdict(a: Column, b: Column, norm=tx.nfkc) -> Column:
+    """The lenient comparison: equal shared material passes as semantic, equal number sets as format_diff."""
     x, y = norm(a), norm(b)
-    return (
-        F.when(a.eqNullSafe(b), "raw_exact").when(a.isNull() | b.isNull(), "mismatch").when(tx.format_only(x) == tx.format_only(y), "format").when(tx.blank_markers(x) == tx.blank_markers(y), "blank_marker")
-        .when(tx.letters_only(x) == tx.letters_only(y), "semantic").when(tx.same_number_set(x, y), "format_diff").otherwise("mismatch")
-    )
+    rest = F.when(tx.shared_material(a, norm) == tx.shared_material(b, norm), "semantic").when(tx.same_number_set(x, y), "format_diff").otherwise("mismatch")
+
+    def by_blanks(p, q):
+        return F.when(p == q, "format").when(_bound(tx.blanks_of_format(p), tx.blanks_of_format(q), lambda m, n: m == n), "blank_marker")
+
+    return F.when(a.eqNullSafe(b), "raw_exact").when(a.isNull() | b.isNull(), "mismatch").otherwise(F.coalesce(_bound(tx.format_only(x), tx.format_only(y), by_blanks), rest))
 
 
 def pass_rate(rows: DataFrame, group: str, column: str, passing: list[str]) -> DataFrame:

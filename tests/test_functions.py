@@ -115,3 +115,15 @@ def test_similar_is_exact(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = practice.similar(e.where("vec_id = 0"), e, 3).orderBy("rank").collect()
     assert [r.rank for r in got] == [1, 2, 3] and got[0].score >= got[1].score >= got[2].score
+
+
+def test_shared_material(spark):
+    texts = {"A\nfoo": "foo", " B \r\nfoo": "foo", "A": "", "Ａbc ２": "abc", "a\\text{zz}b": "ab", "AB\nfoo": "abfoo", "H\nx": "hx", "中 文_12_x": "中文x", None: ""}
+    assert {t: one(spark, t, tx.shared_material) for t in texts} == texts
+
+
+def test_verdicts_compare_nfkc_and_numbers(spark):
+    rows = [("Ａ x", "A x", "format", "format"), ("ab 1 cd", "ab 2 cd", "mismatch", "number_diff"), ("a*b 1 cd", "ab 1 cd", "mismatch", "format_diff"), (None, "x", "mismatch", "mismatch"), (None, None, "exact", "exact"), ("x__3__ y", "x[3] y", "blank_marker", "blank_marker"), ("a, b", "a; b", "punct_diff", "punct_diff"), ("abc", "abd", "mismatch", "mismatch")]
+    df = spark.createDataFrame(rows, "a string, b string, want string, shared string")
+    got = df.select(evals.verdict(F.col("a"), F.col("b")).alias("v"), evals.verdict_shared(F.col("a"), F.col("b")).alias("s"), "want", "shared").collect()
+    assert [(r.v, r.s) for r in got] == [(r.want, r.shared) for r in got]
