@@ -330,7 +330,8 @@ def test_queries_match_sql(spark, sf):
     from tabulark.llm import queries
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(sql).df()
         cols = sorted(got.columns)
