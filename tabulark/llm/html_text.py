@@ -176,8 +176,14 @@ def build(html: str) -> Node:
 
 
 def _style(node: Node) -> dict[str, str]:
-    text = node.attrs.get("style", "")
-    return {k.strip().lower(): v.strip().lower() for k, _, v in (p.partition(":") for p in text.split(";"))} if text else {}
+    """The declarations of the style attribute; the last of a property counts, an important one before all others."""
+    plain, important = {}, {}
+    for part in node.attrs.get("style", "").split(";"):
+        name, _, value = part.partition(":")
+        value, mark, rest = value.strip().lower().rpartition("!")
+        urgent = mark and rest.strip() == "important"
+        (important if urgent else plain)[name.strip().lower()] = value.strip() if urgent else f"{value}{mark}{rest}"
+    return plain | important
 
 
 def _width(text: str) -> int:
@@ -352,7 +358,7 @@ def _put_pre(out: Writer, text: str) -> None:
 
 def _span(node: Node, name: str) -> int:
     value = node.attrs.get(name, "1")
-    return min(1000, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 5 else 1
+    return min(1000, max(1, int(value.lstrip("0")[:5] or 0))) if value.isascii() and value.isdigit() else 1
 
 
 def _rows_of(node: Node) -> int:

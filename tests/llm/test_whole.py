@@ -95,3 +95,25 @@ TABLES = {
 @pytest.mark.parametrize("page", TABLES)
 def test_tables_span_rows_and_inherit_visibility(page):
     assert html_text.html_to_text(page).replace("\n\n", "\n").strip() == TABLES[page]
+
+
+STYLES = {
+    "<p style='display:none !important'>no</p><p>yes</p>": "yes",
+    "<p style='visibility:hidden!important'>no</p><p>yes</p>": "yes",
+    "<p style='display:none ! IMPORTANT; display:block'>no</p><p>yes</p>": "yes",
+    "<p style='display:block !important; display:none'>yes</p>": "yes",
+    "<p style='display:none; display:block'>yes</p>": "yes",
+    "<p style='display:block; display:none'>no</p><p>yes</p>": "yes",
+    "<p style='color:red !importantly; display'>yes</p>": "yes",
+    "<div style='visibility:hidden !important'>no<b style='visibility:visible'>yes</b></div>": "yes",
+}
+
+
+@pytest.mark.parametrize("page", STYLES)
+def test_important_declarations_win(page):
+    assert html_text.html_to_text(page).strip() == STYLES[page]
+
+
+def test_wide_cells_count_a_thousand_columns():
+    node = lambda v: html_text._span(type("N", (), {"attrs": {"colspan": v}})(), "colspan")
+    assert [node(v) for v in ("2", "99999", "9" * 400, "0", "000003", "-1", "x", "")] == [2, 1000, 1000, 1, 3, 1, 1, 1]
