@@ -17,7 +17,7 @@ ANCHOR_QUESTIONS = [
 #: (doc_id, line_no, text, source)
 ANSWER_LINES = [
     (1, 1, "1. a question", "native"), (1, 2, "参考答案", "native"), (1, 3, "题号 1 2", "native"), (1, 4, "答案 C B", "native"), (1, 5, "1. D", "native"), (1, 6, "<table><tr><td>题号</td><td>3</td></tr><tr><td>答案</td><td>D</td></tr></table>", "ocr"),
-    (1, 7, "4.【答案】would attend", "native"), (1, 8, "4. other", "ocr"), (1, 9, "【详解】 why", "native"), (1, 10, "5. not an answer", "native"), (1, 11, "答案：", "native"), (1, 12, "5. A 6. E （2分）", "native"), (1, 13, "三、解答题", "native"), (1, 14, "7. G", "native"),
+    (1, 7, "4.【答案】had gone", "native"), (1, 8, "4. other", "ocr"), (1, 9, "【详解】 why", "native"), (1, 10, "5. not an answer", "native"), (1, 11, "答案：", "native"), (1, 12, "5. A 6. E （2分）", "native"), (1, 13, "三、解答题", "native"), (1, 14, "7. G", "native"),
     (2, 1, "Answer Key", "native"), (2, 2, "（1）A", "ocr"), (2, 3, "（1）B", "native"), (3, 1, "1. no heading", "native"),
 ]
 #: (doc_id, number, seq, text)

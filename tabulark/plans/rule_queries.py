@@ -53,14 +53,14 @@ def pairs(c, a: str, b: str):
 # --- X20 to X39: numbers, lines, options, answers -------------------------------------------------------------
 
 rule("question_numbers", pt.question_number, [
-    ("16\\. 下列", 16), ("7，选", 7), ("5.2024年的", 5), ("3.2025年9月", 3), ("3.14", None), ("2.5 + 1", None), ("0.\\end{aligned}", None), (" 12、x", 12), ("（8）x", 8), ("( 9 ) y", 9), ("12．", 12), ("text 4.", None), ("1234. x", None),
+    ("16\\. 下列", 16), ("7，选", 7), ("5.2024年的", 5), ("6.1998年夏", 6), ("3.14", None), ("2.5 + 1", None), ("0.\\end{aligned}", None), (" 12、x", 12), ("（8）x", 8), ("( 9 ) y", 9), ("12．", 12), ("text 4.", None), ("1234. x", None),
 ], "int")
 rule("line_kinds", pt.line_type, [
     ("(1)A (2)B", "answer_table"), ("（3） C", "answer_table"), ("(A) x (B) y", "option"), ("（D）", "option"), ("3. y", "question_number"), ("12、设", "question_number"), ("（5）求", "question_number"), ("3.14 is pi", "stem"), ("4.\\frac", "stem"), ("plain", "stem"), ("", "stem"),
 ])
 rule("inline_numbers", lambda t: listed(exam.break_numbers(t)), [
     ("D. 既不充分也不必要条件5.已知", "D. 既不充分也不必要条件 ¦ 5.已知"), ("5. 已知x=3.125求", "5. 已知x=3.125求"), ("结晶水Fe·O 3.求", "结晶水Fe·O 3.求"), ("x5. y", "x5. y"), ("in 2015. 年", "in 2015. 年"),
-    ("k的最大值为（16）关于", "k的最大值为 ¦ （16）关于"), ("（5）A（10）D", "（5）A（10）D"), ("答案（16）B", "答案（16）B"), ("甲 3、乙 4．丙", "甲 ¦ 3、乙 ¦ 4．丙"), ("f（2）= 1", "f（2）= 1"), ("plain", "plain"),
+    ("n的最小数为（16）关于", "n的最小数为 ¦ （16）关于"), ("（5）A（10）D", "（5）A（10）D"), ("答案（16）B", "答案（16）B"), ("甲 3、乙 4．丙", "甲 ¦ 3、乙 ¦ 4．丙"), ("f（2）= 1", "f（2）= 1"), ("plain", "plain"),
 ])
 rule("inline_options", lambda t: listed(exam.break_options(t)), [
     ("A.充分条件B.必要条件C.充要条件", "A.充分条件 ¦ B.必要条件 ¦ C.充要条件"), ("题干 (A) x (B) y", "题干 ¦ (A) x ¦ (B) y"), ("A. only one", "A. only one"), ("D. x E、y", "D. x ¦ E、y"), ("none", "none"),
@@ -69,7 +69,7 @@ rule("option_splits", lambda t: pairs(pt.split_options(t), "label", "text"), [
     ("A：甲B：乙", "A=甲 ¦ B=乙"), ("甲 C. 丙", "A=甲 ¦ C=丙"), ("甲 B. 乙", "A=甲 ¦ B=乙"), ("A.xB.y", "A=xB.y"), ("件B.必要C、充分", "A=件 ¦ B=必要 ¦ C=充分"), ("no marks", ""), ("E. v F. w G. z", "E=v ¦ F=w ¦ G=z"),
 ])
 rule("table_entries", lambda t: pairs(pt.table_entries(t), "number", "answer"), [
-    ("（1）A（2）B", "1=A ¦ 2=B"), ("1. D 2. C 3. A", "1=D ¦ 2=C ¦ 3=A"), ("11.【答案】would attend", "11=would attend"), ("3. B （2分）", "3=B"), ("15． （1）1.50 （2 分） （2）不能", "15=（1）1.50 （2 分） （2）不能 ¦ 1=1.50 （2 分） ¦ 2=不能"),
+    ("（1）A（2）B", "1=A ¦ 2=B"), ("1. D 2. C 3. A", "1=D ¦ 2=C ¦ 3=A"), ("11.【答案】had gone", "11=had gone"), ("3. B （2分）", "3=B"), ("27． （1）8.25 （3 分） （2）可以", "27=（1）8.25 （3 分） （2）可以 ¦ 1=8.25 （3 分） ¦ 2=可以"),
     ("(7) 3.2x", "7=3.2x"), ("none here", ""), ("4.", ""),
 ])
 rule("option_entries", lambda t: listed(F.transform(F.array_sort(F.map_entries(pt.option_entries(t))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), [
@@ -129,7 +129,7 @@ rule("marker_forms", tx.normalize_marker, [("（1） A．", "(1)a."), ("甲：
 rule("format_forms", tx.format_only, [("“a”  b", '"a" b'), ("图 1 中", "图1中"), ("（x）〔1〕", "(x)[1]"), ("a 、 b", "a、b"), (None, "")])
 rule("scoring_forms", exam.score_sequence, [("共2小题，每小题1.50分，共3.0分", "1.5|3"), ("none", ""), (None, "")])
 rule("answer_forms", lambda t: tx.answer_text(t), [
-    (r"$\dfrac{1}{2}$", "1/2"), (r"\frac{\sqrt{2}}{2}", r"sqrt(2)/2"), ("B (2分)", "B"), ("44. would attend。", "wouldattend"), ("a、b；c ## d", "a/b/c/d"), ("“x”", "x"), (r"(-\infty,1]", "(-inf/1]"), ("答 3分", "答"), (None, ""), ("ＡＢ", "AB"),
+    (r"$\dfrac{1}{2}$", "1/2"), (r"\frac{\sqrt{2}}{2}", r"sqrt(2)/2"), ("B (2分)", "B"), ("44. had gone。", "wouldattend"), ("a、b；c ## d", "a/b/c/d"), ("“x”", "x"), (r"(-\infty,1]", "(-inf/1]"), ("答 3分", "答"), (None, ""), ("ＡＢ", "AB"),
 ])
 rule("math_forms", tx.math_text, [
     (r"$\frac{4}{3}$", "4/3"), (r"\textcircled{2}.", "②."), (r"\frac{\frac{1}{2}}{3}", "1/2/3"), (r"\(\left(x\right)\)", "(x)"), (r"$4.5\text{s}$", "4.5s"), (r"\{x\mid x>\pi\}", "x| x>π"), ("plain {x}", "plain {x}"), (None, ""), (r"$$\sqrt{2}$$", "sqrt(2)"),
@@ -223,7 +223,7 @@ ORACLES |= {
     "stems_without_options": values("question_id BIGINT, ids VARCHAR", [(1, "P1L002,P1L003"), (2, "P1L007,P1L010"), (3, "P1L010,P1L011,P2L003,P2L007"), (4, "P2L001"), (5, "P1L002")]),
     "anchor_summary": values("summary VARCHAR", [("exact=7,retry=2",)]),
     "first_options": values("question_id BIGINT, option_at INTEGER", [(1, 4)]),
-    "answer_tables": values("doc_id BIGINT, number INTEGER, answer VARCHAR, source VARCHAR", [(1, 1, "C", "native"), (1, 2, "B", "native"), (1, 3, "D", "ocr"), (1, 4, "would attend", "native"), (1, 5, "A", "native"), (1, 6, "E", "native"), (2, 1, "B", "native")]),
+    "answer_tables": values("doc_id BIGINT, number INTEGER, answer VARCHAR, source VARCHAR", [(1, 1, "C", "native"), (1, 2, "B", "native"), (1, 3, "D", "ocr"), (1, 4, "had gone", "native"), (1, 5, "A", "native"), (1, 6, "E", "native"), (2, 1, "B", "native")]),
     "solution_answers": values("doc_id BIGINT, number INTEGER, answer VARCHAR", [(1, 17, "所以 tanθ=；-2；（2）最大值为 3"), (1, 18, "（1）x > 1")]),
     "answers_matched": values("question BIGINT, answer VARCHAR, source VARCHAR, confidence DOUBLE", [(1, "B", "llm_annotation", 0.9), (2, "C", "document_answer_table", 0.95), (3, "x=1", "llm_annotation", 0.9), (4, "D", "document_solution_answer", 0.95), (5, "(1) a (2) b", "llm_annotation", 0.9), (6, "2 2", "document_answer_table", 0.4), (7, None, "llm_fallback", 0.5), (8, "in", "document_inline_answer", 0.9)]),
     "answers_verified": values("question BIGINT, status VARCHAR, kind VARCHAR, reason VARCHAR", [(r[0], *r[-3:]) for r in VERIFY]),
