@@ -145,15 +145,14 @@ def nearest(left: DataFrame, right: DataFrame, page: str = "page") -> DataFrame:
     asked = left.where("box is not null").select("left_id", page, c["x"].alias("x"), c["y"].alias("y"))
     points = right.where("box is not null").select(page, F.col("box").alias("other"), "right_id").select(page, "right_id", o["x"].alias("rx"), o["y"].alias("ry"))
     points = points.groupBy(page, "rx", "ry").agg(F.min("right_id").alias("right_id"))
-    span = points.agg(F.min("rx").alias("x"), F.min("ry").alias("y"), (F.max("rx") - F.min("rx")).alias("w"), (F.max("ry") - F.min("ry")).alias("h")).first()
+    each = points.groupBy(page).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{c}") for k, f in (("a", F.min), ("b", F.max)) for c in ("rx", "ry")])
+    span = each.agg(F.max("n").alias("n"), F.min("arx").alias("x"), F.min("ary").alias("y"), (F.max("brx") - F.min("arx")).alias("w"), (F.max("bry") - F.min("ary")).alias("h")).first()
     size = max(span.w or 0.0, span.h or 0.0, 1e-9) * (1 + 1e-9)
     index = lambda v, origin, bits: F.least(F.floor((v - F.lit(origin or 0.0)) / F.lit(size) * (1 << bits)), F.lit((1 << bits) - 1))
-    bits = 0
-    while bits < DEEPEST:
-        full = points.groupBy(page, index(F.col("rx"), span.x, bits), index(F.col("ry"), span.y, bits)).count().agg(F.max("count")).first()[0]
-        if not full or full <= POINTS_PER_CELL:
-            break
+    bits, full = 0, span.n or 0
+    while bits < DEEPEST and full > POINTS_PER_CELL:
         bits += STEP_BITS
+        full = points.groupBy(page, index(F.col("rx"), span.x, bits), index(F.col("ry"), span.y, bits)).count().agg(F.max("count")).first()[0]
     points = points.withColumn("ix", index(F.col("rx"), span.x, bits)).withColumn("iy", index(F.col("ry"), span.y, bits))
     open_ = asked.withColumn("ix", F.lit(0).cast("long")).withColumn("iy", F.lit(0).cast("long"))
     for level in range(STEP_BITS, bits + 1, STEP_BITS):
