@@ -37,18 +37,20 @@ def _docx_lines(s, d):
 
 
 def _objects(s, d):
-    """Pages put as objects and fetched again by name."""
+    """Pages put as objects and fetched again by name. Contents end in the task that fetches them: only digests meet the index, and by a
+    shuffle, since sizes that Spark guesses for what Python returns would send all of it through the driver."""
     folder = work_folder(s, "objects")
     index = objects.put(read(s, d, "pages").select("page_id", "html"), "html", folder)
-    got = objects.fetched(index.select("name").distinct(), folder)
-    return index.join(got, "name").select("page_id", "name", "length", F.md5("content").alias("md5"), "error")
+    got = objects.fetched(index.select("name").distinct(), folder).select("name", F.md5("content").alias("md5"), "error")
+    return index.join(got.hint("merge"), "name").select("page_id", "name", "length", "md5", "error")
 
 
 def _objects_listed(s, d):
     folder = work_folder(s, "objects")
     objects.put(read(s, d, "pages").select("html"), "html", folder)
     objects.put(read(s, d, "pages").where("page_id % 2 = 0").select("html"), "html", folder)  # nothing new
-    return objects.listed(s, folder).join(objects.scanned(s, folder), "name").select("name", "length", F.md5("content").alias("md5"))
+    digests = objects.scanned(s, folder).select("name", F.md5("content").alias("md5"))
+    return objects.listed(s, folder).join(digests.hint("merge"), "name").select("name", "length", "md5")
 
 
 def _slices(rows, column, n):
