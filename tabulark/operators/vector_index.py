@@ -106,8 +106,11 @@ def search(queries: DataFrame, vectors: DataFrame, index: Index, k: int = 5, blo
             names = some.column("id").to_numpy()
             scores = np.round(_matrix(some.column("vec").combine_chunks(), index.dims) @ x.T, 6) + 0.0
             scores[names[:, None] == ids[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            found.append((np.repeat(names, order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()))
+            of, to = np.nonzero(scores >= np.partition(scores, -k, 1)[:, -k:][:, :1]) if scores.shape[1] > k else np.indices(scores.shape).reshape(2, -1)
+            order = np.lexsort((ids[to], -scores[of, to], of))  # only of each row's k best and what equals the last of them
+            of, to = of[order], to[order]
+            best = np.arange(len(of)) - np.searchsorted(of, of) < k
+            found.append((names[of[best]], ids[to[best]], scores[of[best], to[best]]))
         columns = [np.concatenate(c) for c in zip(*found)]
         keep = np.isfinite(columns[2])
         return pa.table([pa.array(c[keep], f.type) for c, f in zip(columns, HITS)], schema=HITS)
