@@ -13,11 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.session import shared_folder
+from tabulark.session import BATCH_BYTES, BATCH_SETTING, bound_batches, shared_folder  # noqa: F401
 
 #: The characters that separate words, and that lines are stripped of: [\x20\x09-\x0D].
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,14 +30,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold BATCH_BYTES at most in this session: a row count, the default, leaves their size to the
-    texts. A lower setting of the session stays."""
-    now = spark.conf.get(BATCH_SETTING, None) or ""
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-
-
 class Scratch:
     """Tables written in the shared folder to cut lineage: a lost executor then costs a re-read, not a rerun."""
 

@@ -9,12 +9,16 @@ from __future__ import annotations
 import warnings
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulark.functions.patterns import parent_and_sub
 from tabulark.operators.lines import in_order, so_far
+from tabulark.session import bound_batches
 
 
 def ordered(column: str, *more: str) -> Column:
@@ -50,11 +54,54 @@ def word_bank_groups(rows: DataFrame, is_bank: Column, at_least: int = 2) -> Dat
     return merged(marked, "doc_id", "section", "run").where(F.col("n") >= at_least)
 
 
-def shared_material(rows: DataFrame, rounds: int | None = None) -> DataFrame:
-    """doc_id, pos, head: questions that share a line of material, directly or over others, and the first of them.
-    Labels spread along shared lines until no label changes; each round about doubles the reach by following labels
-    of labels. Rounds are cut by checkpoints where a checkpoint folder is set. Rows with one pos count as one question. `rounds`
-    stops earlier, with a warning if labels still change; by default nothing stops them."""
+def shared_material(rows: DataFrame, rounds: int | None = None, small: int = 10_000) -> DataFrame:
+    """doc_id, pos, head: questions that share a line of material, directly or over others, and the first of them. Documents of at
+    most `small` questions and lines, nearly all, are each settled where their rows meet, in one shuffle; the labels of larger ones
+    spread in rounds. Rows with one pos count as one question. `rounds` sends all documents through so many rounds at most, with a
+    warning if labels still change; by default nothing stops them."""
+    rows = rows.where("doc_id is not null and pos is not null").select("doc_id", "pos", "shared_line_ids")
+    if rounds is not None:
+        return _spread(rows, rounds)
+    bound_batches(rows.sparkSession)
+    weight = F.greatest(F.size("shared_line_ids"), F.lit(0)) + 1
+    large = rows.groupBy("doc_id").agg(F.sum(weight).alias("n")).where(F.col("n") > small).select("doc_id").persist()
+    many = not large.isEmpty()
+    rest = rows.join(F.broadcast(large), "doc_id", "left_anti") if many else rows  # at most one in `small` rows and lines
+    met = rest.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.coalesce("shared_line_ids", F.array().cast("array<string>"))).alias("lines"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = met.mapInArrow(_settled, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, head {kinds['pos']}")
+    if many:
+        found = found.unionByName(_spread(rows.join(F.broadcast(large), "doc_id", "left_semi"), None))
+    large.unpersist()
+    return found
+
+
+def _settled(batches):
+    """doc_id, pos, head of documents (doc_id, their pos, their lines), a batch of documents at once."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(1)).to_numpy()
+        of, pos, lines = np.repeat(np.arange(len(sizes)), sizes), batch.column(1).flatten(), batch.column(2).flatten()
+        rank = np.unique(pos.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        node, first, number = np.unique(of * (rank.max(initial=0) + 1) + rank, return_index=True, return_inverse=True)
+        coded = lines.flatten().dictionary_encode()
+        there = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        question = np.repeat(np.arange(len(of)), pc.list_value_length(lines).to_numpy())[there]
+        code = coded.indices.drop_null().to_numpy()
+        line = np.unique(of[question] * (len(coded.dictionary) + 1) + code, return_inverse=True)[1]
+        at, head = number[question], np.arange(len(node))  # nodes go by document and pos, so the least is the first question
+        while True:
+            low, before = np.full(line.max(initial=-1) + 1, len(node)), head.copy()
+            np.minimum.at(low, line, head[at])
+            np.minimum.at(head, at, low[line])
+            head = head[head]
+            if (head == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first])), pos.take(pa.array(first)), pos.take(pa.array(first[head]))], names=["doc_id", "pos", "head"])
+
+
+def _spread(rows: DataFrame, rounds: int | None) -> DataFrame:
+    """Labels spread along shared lines until no label changes; each round about doubles the reach by following labels of labels.
+    Rounds are cut by checkpoints where a checkpoint folder is set."""
     links = rows.select("doc_id", "pos", F.explode("shared_line_ids").alias("line")).distinct()
     label = rows.select("doc_id", "pos").distinct().withColumn("head", F.col("pos"))
     reliable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
