@@ -76,10 +76,23 @@ def hybrid_similarity(a: Column, b: Column) -> Column:
 
 
 def chunk_coverage(text: Column, other: Column, size: int = 40) -> Column:
-    """Share of the text's `size`-character pieces that `other` contains; null for an empty text."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    return F.when(n > 0, F.size(F.filter(pieces, lambda p: F.contains(other, p))) / n)
+    """Share of the text's `size`-character pieces that `other` contains; null for an empty text. Pieces are looked up among the windows of
+    `other`, so that work follows the lengths of both and not their product."""
+
+    @F.pandas_udf(T.DoubleType())
+    def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(s, t):
+            if not s:
+                return None
+            pieces, t = [s[i : i + size] for i in range(0, len(s), size)], t or ""
+            found = set(pieces).intersection(t[i : i + size] for i in range(len(t) - size + 1))
+            if len(pieces[-1]) < size and pieces[-1] in t:
+                found.add(pieces[-1])
+            return sum(p in found for p in pieces) / len(pieces)
+
+        return pd.Series([one(s, t) for s, t in zip(a, b)], dtype=object)
+
+    return coverage(text, other)
 
 
 def box_iou(a: Column, b: Column) -> Column:
