@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulark.operators.bank import CONFIDENCE, Star
+from tabulark.session import bound_batches
 
 #: The same star in SQL.
 STAR_SQL = """
@@ -19,6 +20,8 @@ mappings AS (SELECT DISTINCT l_partkey AS question_id, n_name AS node FROM linei
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Whole texts go to Python in batches bounded by bytes, since rows say nothing of their size."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
