@@ -131,8 +131,9 @@ def admit(q: DataFrame, norm=normalize_text) -> DataFrame:
     stop at the first failure. Sequence ratios are computed for the rows that the cheap rules let through only."""
     cheap = rule_checks(q, norm)
     go_on = F.col("r01") & F.col("r02") & F.col("r03") & F.col("r04")
-    for c in ("stem", "answer", "source_lines"):  # Python gets nulls for rows that are decided
-        cheap = cheap.withColumn(f"_{c}", F.when(go_on, norm(F.when(go_on, F.col(c)))))
+    undecided = ~blank(F.col("stem")) & F.coalesce(F.length("stem") <= stem_limit(q), F.lit(True))
+    for c, text in (("stem", F.col("stem")), ("answer", F.col("answer")), ("source_lines", F.when(undecided, F.col("source_lines")))):
+        cheap = cheap.withColumn(f"_{c}", F.when(go_on, norm(text)))  # the same calls as in rule_checks, so that one Python stage makes them all
     stem, answer, lines = F.col("_stem"), F.col("_answer"), F.col("_source_lines")
     asked = (F.length(stem) > 20) & ~blank(F.col("answer"))
     alike = asked & (F.contains(answer, stem) | ratio_reaches(F.when(asked, stem), answer, 0.8))
