@@ -1,4 +1,4 @@
-"""Worker state machines as streams with timers: `transformWithStateInPandas` on RocksDB.
+"""Worker state machines as streams with timers: `transformWithState` on RocksDB.
 
 Events (key, ts, event_id, kind) are held in state until the watermark has passed them and are then taken in the order of
 time and event_id, so that results do not depend on how a replay is cut into batches. Timers run on event time: a key wakes
@@ -16,14 +16,21 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT_DDL = "key long, at timestamp, event_id long, what string, n int"
-Row = tuple  # at (ms), event_id, what, n
+OUT_DDL = "key long, at long, event_id long, what string, n int"
+Change = tuple  # at (ms), event_id, what, n
+Report = Row("key", "at", "event_id", "what", "n")
+CHUNK = 4096  # events that one entry of the waiting list holds
+
+
+def chunks(events: list[tuple]) -> list[tuple]:
+    """Events as entries of the waiting list."""
+    return [tuple(map(list, zip(*events[i : i + CHUNK]))) for i in range(0, len(events), CHUNK)]
 
 
 @dataclass
@@ -35,13 +42,13 @@ class Stale:
     schema = "since long, event_id long, watched boolean"
     start = (0, 0, False)
 
-    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Row]]:
+    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Change]]:
         return (ts, event_id, kind == "running" and key not in self.active), []
 
     def due(self, state) -> int | None:
         return state[0] + self.idle + 1 if state[2] else None
 
-    def fire(self, state) -> tuple[tuple, list[Row]]:
+    def fire(self, state) -> tuple[tuple, list[Change]]:
         return (state[0], state[1], False), [(state[0] + self.idle, state[1], "stale", 0)]
 
     def rests(self, state) -> bool:
@@ -58,7 +65,7 @@ class Breaker:
     schema = "run int, closes long, event_id long"
     start = (0, -1, 0)
 
-    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Row]]:
+    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Change]]:
         run, closes, opened = state
         run = run + 1 if kind == self.bad else 0
         if run == self.limit:
@@ -68,7 +75,7 @@ class Breaker:
     def due(self, state) -> int | None:
         return state[1] + 1 if state[1] >= 0 else None
 
-    def fire(self, state) -> tuple[tuple, list[Row]]:
+    def fire(self, state) -> tuple[tuple, list[Change]]:
         run, closes, opened = state
         return (run, -1, opened), [(closes, opened, "closed", 0)]
 
@@ -86,7 +93,7 @@ class Retry:
     schema = "status string, count int, since long, event_id long"
     start = ("pending", 0, -1, 0)
 
-    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Row]]:
+    def step(self, key, state, ts, event_id, kind) -> tuple[tuple, list[Change]]:
         status, count, since, of = state
         if kind == "reset":
             return ("pending", 0, -1, 0), []
@@ -103,7 +110,7 @@ class Retry:
     def due(self, state) -> int | None:
         return state[2] + self.delay + 1 if state[2] >= 0 else None
 
-    def fire(self, state) -> tuple[tuple, list[Row]]:
+    def fire(self, state) -> tuple[tuple, list[Change]]:
         status, count, since, of = state
         return (status, count, -1, of), [(since + self.delay, of, "due", count)]
 
@@ -111,14 +118,10 @@ class Retry:
         return state[0] in ("succeeded", "failed") or state[1] == 0
 
 
-def reported(key: tuple, rows: list[Row]) -> pd.DataFrame:
-    at, event_id, what, n = zip(*rows) if rows else ((), (), (), ())
-    return pd.DataFrame({"key": pd.Series([key[0]] * len(rows), dtype="int64"), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="ms"), "event_id": pd.Series(event_id, dtype="int64"), "what": pd.Series(what, dtype="object"), "n": pd.Series(n, dtype="int32")})
-
-
 class Ordered(StatefulProcessor):
     """Runs a machine for each key over its events in order. State of a key: the machine's, the time up to which events were taken, and the
-    events that wait for the watermark."""
+    events that wait for the watermark. Those wait in lists, an entry for each batch, and rows go in and out as such: frames and entries
+    for single events cost a key of a few dozen events far more than its machine."""
 
     def __init__(self, machine, keep: int):
         self.machine, self.keep = machine, keep
@@ -126,18 +129,17 @@ class Ordered(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("machine", f"{self.machine.schema}, seen long")
-        self.waiting = handle.getListState("waiting", "ts long, event_id long, kind string")
+        self.waiting = handle.getListState("waiting", "ts array<long>, event_id array<long>, kind array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [(int(t), int(i), k) for pdf in rows for t, i, k in zip(pdf["ms"], pdf["event_id"], pdf["kind"])]
-        self.waiting.appendList(found)
-        for ts in {min(t for t, _, _ in found)}:
-            self.handle.registerTimer(ts)
-        yield reported(key, [])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = [(row.ms, row.event_id, row.kind) for row in rows]
+        self.waiting.appendList(chunks(found))
+        self.handle.registerTimer(min(found, key=lambda e: e[0])[0])
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, machine = timerValues.getCurrentWatermarkInMs(), self.machine
-        *state, seen = self.state.get() if self.state.exists() else (*machine.start, -1)
+        *state, seen = self.state.get() or (*machine.start, -1)
         state, out = tuple(state), []
 
         def until(time: int) -> None:
@@ -146,7 +148,7 @@ class Ordered(StatefulProcessor):
                 state, rows = machine.fire(state)
                 out.extend(rows)
 
-        events = sorted(self.waiting.get())
+        events = sorted(e for chunk in self.waiting.get() for e in zip(*chunk))
         ready = [e for e in events if e[0] <= now]
         for ts, event_id, kind in ready:
             until(ts)
@@ -156,7 +158,7 @@ class Ordered(StatefulProcessor):
         until(now)  # a due time lies one behind the last moment at which an event would still have come first
         left = events[len(ready) :]
         if ready:
-            self.waiting.put(left) if left else self.waiting.clear()
+            self.waiting.put(chunks(left)) if left else self.waiting.clear()
         if not left and machine.rests(state) and now >= seen + self.keep:
             self.state.clear()
         else:
@@ -164,7 +166,7 @@ class Ordered(StatefulProcessor):
             wake = [machine.due(state), left[0][0] if left else None, seen + self.keep if machine.rests(state) else None]
             for at in {min(w for w in wake if w is not None)} if any(w is not None for w in wake) else ():
                 self.handle.registerTimer(max(at, now + 1))
-        yield reported(key, out)
+        return (Report(key[0], *row) for row in out)
 
     def close(self) -> None:
         pass
@@ -173,7 +175,8 @@ class Ordered(StatefulProcessor):
 def watched(events: DataFrame, machine, delay: str = "0 seconds", keep_days: float = 90) -> DataFrame:
     """key, at, event_id, what, n: what a machine reports of a stream of events. Rows later than `delay` are dropped."""
     slim = events.selectExpr("key", "date_trunc('millisecond', ts) AS ts", "event_id", "kind", "unix_millis(date_trunc('millisecond', ts)) AS ms").withWatermark("ts", delay)
-    return slim.groupBy("key").transformWithStateInPandas(Ordered(machine, int(keep_days * 86_400_000)), OUT_DDL, "append", "eventTime")
+    found = slim.groupBy("key").transformWithState(Ordered(machine, int(keep_days * 86_400_000)), OUT_DDL, "append", "eventTime")
+    return found.withColumn("at", F.timestamp_millis("at"))
 
 
 @contextmanager
