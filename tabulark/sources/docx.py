@@ -15,6 +15,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from xml.sax.saxutils import escape, quoteattr
 
 from pyarrow import fs
@@ -41,7 +42,8 @@ TYPES = (
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/></Relationships>'
 ILLEGAL = re.compile(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
 DEFAULT_LEVEL = {"format": "decimal", "template": "%1.", "start": 1}
-OPEN_COST = 256 * 1024
+OPEN_COST = 32 * 1024
+SMALL_PART = 1 << 20  # bytes of a document part that is parsed as a whole
 
 
 def w(name: str) -> str:
@@ -57,9 +59,13 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
 
 def _levels(archive: zipfile.ZipFile) -> dict[tuple[int, int], dict]:
     """What the numbering part says of each (list, level)."""
-    if "word/numbering.xml" not in archive.namelist():
-        return {}
-    root = ET.fromstring(archive.read("word/numbering.xml"))
+    return _levels_of(archive.read("word/numbering.xml")) if "word/numbering.xml" in archive.namelist() else {}
+
+
+@lru_cache(maxsize=64)
+def _levels_of(part: bytes) -> dict[tuple[int, int], dict]:
+    """Files of one origin mostly share their numbering part, so it is kept; the result is for reading only."""
+    root = ET.fromstring(part)
     value = lambda of, name: of.find(w(name)).get(w("val")) if of.find(w(name)) is not None else None
     abstract = {}
     for a in root.findall(w("abstractNum")):
@@ -116,26 +122,34 @@ def _numbering(paragraph: ET.Element, levels: dict) -> tuple:
     return (num_id, level, own["format"], own["template"], own["start"]) if own else (None,) * 5
 
 
+def _blocks(archive: zipfile.ZipFile) -> Iterator[ET.Element]:
+    """The body's blocks. Those of a large part are dropped from the tree once read."""
+    if archive.getinfo("word/document.xml").file_size <= SMALL_PART:
+        for body in ET.fromstring(archive.read("word/document.xml")).findall(w("body")):
+            yield from body
+        return
+    with archive.open("word/document.xml") as part:
+        parents = []
+        for event, element in ET.iterparse(part, ("start", "end")):
+            if event == "start":
+                parents.append(element)
+                continue
+            parents.pop()
+            if len(parents) == 2 and parents[-1].tag == w("body"):
+                yield element
+                parents[-1].clear()
+
+
 def parsed(stream) -> Iterator[tuple]:
-    """block_type, text and numbering columns of a file's blocks. Blocks are dropped from the tree once read."""
+    """block_type, text and numbering columns of a file's blocks."""
     with zipfile.ZipFile(stream) as archive:
         levels = _levels(archive)
-        with archive.open("word/document.xml") as part:
-            depth, parents = 0, []
-            for event, element in ET.iterparse(part, ("start", "end")):
-                if event == "start":
-                    parents.append(element)
-                    depth += 1
-                    continue
-                parents.pop()
-                depth -= 1
-                if depth == 2 and parents[-1].tag == w("body"):
-                    if element.tag == w("p"):
-                        yield ("text", _text(element), *_numbering(element, levels))
-                    elif element.tag == w("tbl"):
-                        for row in _table_rows(element):
-                            yield ("table", row, *(None,) * 5)
-                    parents[-1].clear()
+        for element in _blocks(archive):
+            if element.tag == w("p"):
+                yield ("text", _text(element), *_numbering(element, levels))
+            elif element.tag == w("tbl"):
+                for row in _table_rows(element):
+                    yield ("table", row, *(None,) * 5)
 
 
 @dataclass
@@ -193,9 +207,10 @@ def _document(blocks) -> str:
     return f'<w:document xmlns:w="{W}"><w:body>{"".join(out)}{"</w:tbl>" if in_table else ""}</w:body></w:document>'
 
 
-def _numbering_part(levels) -> str:
+@lru_cache(maxsize=64)
+def _numbering_part(levels: tuple) -> str:
     lists: dict[int, list] = {}
-    for n in levels or ():
+    for n in levels:
         lists.setdefault(n.num_id, []).append(n)
     level = lambda n: f'<w:lvl w:ilvl="{n.level}"><w:start w:val="{n.start}"/><w:numFmt w:val={quoteattr(n.format)}/><w:lvlText w:val={quoteattr(n.template)}/></w:lvl>'
     abstract = "".join(f'<w:abstractNum w:abstractNumId="{k}">{"".join(map(level, ls))}</w:abstractNum>' for k, ls in lists.items())
@@ -206,7 +221,7 @@ def packed(sink, blocks, numbering) -> None:
     """Write a file. The same blocks give the same bytes, so a task that runs again replaces a file by itself."""
     parts = {
         "[Content_Types].xml": TYPES, "_rels/.rels": RELS.format("officeDocument", "word/document.xml"), "word/_rels/document.xml.rels": RELS.format("numbering", "numbering.xml"),
-        "word/numbering.xml": _numbering_part(numbering), "word/document.xml": _document(blocks),
+        "word/numbering.xml": _numbering_part(tuple(numbering or ())), "word/document.xml": _document(blocks),
     }
     with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
         for name, text in parts.items():
@@ -219,10 +234,13 @@ class DocxWriter(DataSourceWriter):
 
     def write(self, rows) -> WriterCommitMessage:
         system, root = located(self.path)
+        made = set()
         for row in rows:
             target = f"{root}/{row.file}.docx"
             folder, _, name = target.rpartition("/")
-            system.create_dir(folder, recursive=True)
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
             half = f"{folder}/_{uuid.uuid4().hex}-{name}"  # seen by no reader; a lost task leaves at most this behind
             with system.open_output_stream(half) as sink:
                 packed(sink, row.blocks, row.numbering)
@@ -261,9 +279,10 @@ def read_docx(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def write_docx(rows: DataFrame, path: str) -> None:
-    """`rows` by WRITE_SCHEMA, a file each; files of the same name are replaced."""
+    """`rows` by WRITE_SCHEMA, a file each; files of the same name are replaced. Files are dealt out first, as the partitions of a
+    compressed table may be few and uneven for the work on their rows."""
     rows.sparkSession.dataSource.register(DocxSource)
-    rows.select("file", "blocks", "numbering").write.format("docx").mode("append").save(path)
+    rows.select("file", "blocks", "numbering").repartition("file").write.format("docx").mode("append").save(path)
 
 
 # --- lines ---------------------------------------------------------------------------------------------------
@@ -276,7 +295,7 @@ def stripped(text: Column) -> Column:
 def document_lines(paragraphs: DataFrame) -> DataFrame:
     """file, line_id, page_no, line_no, text, block_type: automatic numbers written out, counted per list and level from its start;
     blank lines go and the rest is numbered through. Files that could not be read have no lines."""
-    good = paragraphs.where("error is null")
+    good = paragraphs.where("error is null").repartition("file")  # one shuffle serves both windows
     counted = Window.partitionBy("file", "num_id", "level").orderBy("pos")
     label = number_label((F.row_number().over(counted) + F.col("start") - 1).cast("int"), F.col("format"))
     prefix = F.when(F.col("num_id").isNotNull(), F.trim(F.replace("template", F.lit("%1"), label))).otherwise("")
