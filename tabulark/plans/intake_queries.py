@@ -11,6 +11,7 @@ from tabulark.session import work_folder
 from tabulark.sources import docx, objects
 from tabulark.streaming import event_log, worker
 
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 LIST_LEVELS = [(1, 0, "decimal", "%1.", 1), (1, 1, "upperLetter", "(%1)", 3), (2, 0, "lowerRoman", "%1)", 1)]
 
 
@@ -60,26 +61,29 @@ def _slices(rows, column, n):
     return rows.crossJoin(F.broadcast(ends)).withColumn("slice", F.least(F.floor(share * n), F.lit(n - 1)).cast("int")).drop("a", "b")  # one row
 
 
-def _delivered(s, d, n=4):
-    """A folder to which events come span by span, each span again beside the next but one, in any order. One file a delivery: the
-    source takes files by age, and a delivery must not be torn."""
-    folder = work_folder(s, "deliveries")
-    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows = _slices(rows, "ts", n)
-    for k in range(n + 2):
-        rows.where(F.col("slice").isin(k, k - 2)).drop("slice").coalesce(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(folder)
-    return folder, rows.drop("slice").schema
+def _deliveries(s, d, n=4):
+    """Events span by span, each span again beside the next but one, in any order."""
+    rows = _slices(read(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", n)
+    return [rows.where(F.col("slice").isin(k, k - 2)).drop("slice").repartition("event_id").sortWithinPartitions(F.xxhash64("event_id")) for k in range(n + 2)]
 
 
 def _log(s, d, delay):
-    source, schema = _delivered(s, d)
-    late, folder = event_log.LateRows(), work_folder(s, "log")
+    """A delivery is many files, written by all tasks. It must not be torn, so the stream is started for each, and takes it as one batch;
+    batches without rows between them would move the watermark before the next delivery is there."""
+    source, folder = work_folder(s, "deliveries"), work_folder(s, "log")
+    late, before = event_log.LateRows(), s.conf.get(EMPTY_BATCHES)
     s.streams.addListener(late)
-    query = event_log.append_once(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), folder, delay=delay)
-    query.awaitTermination()
-    n_late = late.of(query)
-    s.streams.removeListener(late)
-    return event_log.read_log(s, folder, schema), n_late
+    s.conf.set(EMPTY_BATCHES, "false")
+    try:
+        for rows in _deliveries(s, d):
+            rows.write.mode("append").parquet(source)
+            query = event_log.append_once(s.readStream.schema(rows.schema).parquet(source), folder, delay=delay)
+            query.awaitTermination()
+            n_late = late.of(query)
+    finally:
+        s.conf.set(EMPTY_BATCHES, before)
+        s.streams.removeListener(late)
+    return event_log.read_log(s, folder, rows.schema), n_late
 
 
 def _log_once(s, d):
