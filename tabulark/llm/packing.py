@@ -19,6 +19,7 @@ import json
 import math
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,19 @@ UNUSUAL = r"[^\x20-\x7e¡-įı-ňŊ-ž]|<\|"
 
 class WordTokenizer:
     """Ids as the tokenizers library gives them. For a file with the rules above: the pre-tokenizer's pieces never reach
-    over white space and a piece's ids do not depend on its neighbours, so each distinct word of a batch is taken apart
-    once, each distinct piece is looked up once, and new pieces go to the library's model, many to a call; a piece's last
-    token is the only one whose name has the word-end suffix. Words with UNUSUAL characters go to the library whole. For
-    files with other rules all texts do. Pieces are remembered in two generations of `most` pieces at most."""
+    over white space and a piece's ids do not depend on its neighbours, so each distinct word of some parts of texts is
+    taken apart once, each distinct piece is looked up once, and new pieces go to the library's model, many to a call; a
+    piece's last token is the only one whose name has the word-end suffix. Words with UNUSUAL characters go to the library
+    whole. For files with other rules all texts do. Where more than `most` pieces are remembered, those that the words at
+    hand do not have are forgotten."""
 
     SUFFIX = "</w>"
 
-    def __init__(self, path: str, most: int = 80_000):
+    def __init__(self, path: str, most: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.library, self.young, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.library, self.most = Tokenizer.from_file(path), most
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -67,34 +69,36 @@ class WordTokenizer:
         self.by_words = every_byte and rules(self.library.normalizer) == NORMALIZER and rules(self.library.pre_tokenizer) == PRE_TOKENIZER
         if self.by_words:
             self.ends = np.array([(self.library.id_to_token(i) or "").endswith(self.SUFFIX) for i in range(size)])
-            self.parts = Tokenizer(model)  # the same model, without the normalizer
+            self.parts, self.ascii_parts = Tokenizer(model), Tokenizer(model)  # the same model, without the normalizer
             self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ascii_parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # a printable ASCII byte is its own letter
+            # Pieces have numbers: piece k has the ids of the k-th run of the pool. Number 0 is the empty piece.
+            self.numbers, self.pool, self.sizes = {"": 0}, np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
 
     def _learn(self, pieces: list[str], group: int = 1000) -> None:
-        for at in range(0, len(pieces), group):
-            some = pieces[at : at + group]
-            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (self.dtype.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data, start = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                self.young[p] = data[start:end]
-                start = end
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        old, young = self.old, self.young
-        if old:
-            young.update((p, old[p]) for p in pieces if p in old and p not in young)
-        self._learn([p for p in pieces if p and p not in young])
-        return [young[p] if p else b"" for p in pieces]
-
-    def _pool(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        return np.frombuffer(b"".join(found), self.dtype), sizes
+        plain, rest = [p for p in pieces if p.isascii()], [p for p in pieces if not p.isascii()]
+        found = [self.pool[:0]]
+        for parts, some in ((self.ascii_parts, plain), (self.parts, rest)):
+            for at in range(0, len(some), group):
+                text = " ".join(some[at : at + group])
+                found.append(np.array(parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype))
+        ids = np.concatenate(found)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        self.numbers.update(zip(plain + rest, range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        self.pool, self.sizes = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces; they hold until the next call."""
+        if len(self.numbers) > self.most:
+            kept = ["", *(p for p in pieces if p and p in self.numbers)]
+            self.pool, self.sizes = gathered(self.pool, self.sizes, np.fromiter(map(self.numbers.__getitem__, kept), np.int64, len(kept)))
+            self.numbers = dict(zip(kept, range(len(kept))))
+        self._learn([p for p in pieces if p not in self.numbers])
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each has."""
@@ -103,22 +107,39 @@ class WordTokenizer:
         mixed = pc.invert(pc.utf8_is_alpha(lower))
         parted = pc.replace_with_mask(lower, mixed, pc.replace_substring_regex(lower.filter(mixed), PIECE, r"\0 "))
         codes, pieces, at = text_words(parted, lower=False)
-        pool, sizes = self._pool(self._ids_of(pieces.to_pylist()))
-        plain, plain_sizes = gathered(pool, sizes, codes)
+        numbers = self._numbers(strings(pieces))
+        plain, plain_sizes = gathered(self.pool, self.sizes, numbers[codes])
         plain_sizes = np.diff(np.concatenate([[0], np.cumsum(plain_sizes)])[at])
-        rest, rest_sizes = self._pool(self._whole(words.filter(odd).to_pylist()))
         odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return plain, plain_sizes
+        rest, rest_sizes = self._whole(strings(words.filter(pa.array(odd))))
         order = np.empty(len(words), np.int64)  # word -> its place in plain, then rest
         order[~odd], order[odd] = np.arange(len(plain_sizes)), len(plain_sizes) + np.arange(len(rest_sizes))
         return gathered(np.concatenate([plain, rest]), np.concatenate([plain_sizes, rest_sizes]), order)
 
+    def ids_of_parts(self, parts: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each part, an array of texts: the ids of its texts, one after another, without end tokens, and how many
+        each has. The words of all parts are taken apart together."""
+        if not self.by_words:
+            yield from (self._whole(strings(pc.fill_null(texts, ""))) for texts in parts)
+            return
+        split = [text_words(texts, lower=False) for texts in parts]
+        words = pa.concat_arrays([words for _, words, _ in split]).dictionary_encode()
+        (pool, sizes), place, first = self._words(words.dictionary), words.indices.to_numpy(), 0
+        for codes, own, at in split:
+            out, n = gathered(pool, sizes, place[first : first + len(own)][codes])
+            first += len(own)
+            yield out, np.diff(np.concatenate([[0], np.cumsum(n)])[at])
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, without end tokens, and how many each has."""
-        if not self.by_words:
-            return self._pool(self._whole(pc.fill_null(texts, "").to_pylist()))
-        codes, words, at = text_words(texts, lower=False)
-        out, sizes = gathered(*self._words(words), codes)
-        return out, np.diff(np.concatenate([[0], np.cumsum(sizes)])[at])
+        return next(self.ids_of_parts([texts]))
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """As `to_pylist`, several times as fast."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 def gathered(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,14 +208,34 @@ PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens lo
 PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECE_DDL.split(", ")])
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n, key, crc, ids: the tokens of each document with its end token, and its place on the curve."""
+def part_lists(batches: Iterator[pa.RecordBatch], list_bytes: int, part_bytes: int = 1_000_000) -> Iterator[list[pa.RecordBatch]]:
+    """All rows in lists of small parts, each list with about `list_bytes`: what its parts share is done once for all."""
+    parts, weight = [], 0
+    for batch in batches:
+        for part in sub_batches(batch, part_bytes):
+            parts.append(part)
+            weight += part.nbytes
+            if weight >= list_bytes:
+                yield parts
+                parts, weight = [], 0
+    if parts:
+        yield parts
+
+
+#: Bytes of texts whose words are taken apart together, and pieces remembered at most: more of both costs a Python worker
+#: memory and saves it work (they hold about 260 MB in all, and 360 to 420 MB).
+LEAN, ROOMY = (4_000_000, 120_000), (24_000_000, 400_000)
+
+
+def tokens_of(path: str, room: tuple[int, int] = LEAN):
+    """A mapInArrow function from doc_id and text to TOKENS."""
+    list_bytes, most = room
 
     def run(batches):
         tokenizer, table = worker_tokenizer(path), directions()
-        for whole in batches:
-            for part in sub_batches(whole, 3_000_000):
-                bare, n = tokenizer.ids(part.column(1))
+        tokenizer.most = most
+        for parts in part_lists(batches, list_bytes):
+            for part, (bare, n) in zip(parts, tokenizer.ids_of_parts([p.column(1) for p in parts]), strict=True):
                 ends = np.cumsum(n + 1)
                 ids = np.full(ends[-1], END_ID, bare.dtype)
                 here = np.ones(len(ids), bool)
@@ -207,8 +248,13 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bytes_at.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1), pa.array((keys << TIE_BITS) | np.array(ties, np.int64)), pa.array(crcs, pa.int64()), raw], schema=TOKENS)
 
+    return run
+
+
+def tokenized(docs: DataFrame, path: str, room: tuple[int, int] = LEAN) -> DataFrame:
+    """doc_id, n, key, crc, ids: the tokens of each document with its end token, and its place on the curve."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(tidy(run), TOKEN_DDL)
+    return slim.mapInArrow(tidy(tokens_of(path, room)), TOKEN_DDL)
 
 
 def cut(length: int):
@@ -244,14 +290,14 @@ def running_starts(totals: DataFrame, bucket: str, segment: str, amount: str) ->
     return placed.join(F.broadcast(whole), segment).select(bucket, (F.col("_before") + F.col("_in")).alias("_first"))  # 256 rows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, rows_per_bucket: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, rows_per_bucket: int = 256, room: tuple[int, int] = LEAN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: the pieces of all documents."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession)
-    tokens = scratch.write(tokenized(docs, tokenizer), "tokens")
+    tokens = scratch.write(tokenized(docs, tokenizer, room), "tokens")
     bounds = range_bounds(tokens, "key")
     per_segment = max(1, math.ceil(tokens.count() / rows_per_bucket / 256))
     tokens = tokens.withColumn("bucket", range_bucket(F.col("key"), bounds, per_segment))

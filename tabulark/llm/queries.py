@@ -13,7 +13,7 @@ from tabulark.llm.line_dedup import dedup_lines
 from tabulark.llm.merkle import document_manifest
 from tabulark.llm.mixing import mixing_rates
 from tabulark.llm.near_dedup import near_duplicate_classes
-from tabulark.llm.packing import pack_documents
+from tabulark.llm.packing import ROOMY, pack_documents
 from tabulark.llm.quality_rules import weak_supervision
 from tabulark.llm.sharding import shard_documents
 
@@ -44,7 +44,7 @@ def op6_sharding(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), room=ROOMY)  # no other stage is at work
 
 
 def op8_line_dedup(spark, sf_dir):

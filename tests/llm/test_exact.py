@@ -53,6 +53,45 @@ def test_tokenizer_gives_the_library_its_ids():
     assert not other.by_words and ids.tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("Other rules").ids and n.tolist()[1] == 0
 
 
+def test_words_that_parts_share_are_taken_apart_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, taken, learned = public_tokenizers.path("word_bpe_49k.json"), [], []
+    words, learn = packing.WordTokenizer._words, packing.WordTokenizer._learn
+    monkeypatch.setattr(packing, "_WORKER", {})
+    monkeypatch.setattr(packing.WordTokenizer, "_words", lambda self, w: (taken.extend(w.to_pylist()), words(self, w))[1])
+    monkeypatch.setattr(packing.WordTokenizer, "_learn", lambda self, p: (learned.extend(p), learn(self, p))[1])
+    rng = random.Random(4)
+    bank = ["".join(rng.choice("abcdeéßÄ") for _ in range(9)) for _ in range(3000)] + ["İx", "don't", "a1,b2", "\x7f"]
+    texts = [" ".join(rng.choice(bank) for _ in range(1000)) for _ in range(280)] + [None, ""]  # 4 MB at most, as Spark sends them
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert 3_000_000 < batch.nbytes < 4_000_000
+    empty = batch.slice(0, 0)
+    rows = [r for b in packing.tokens_of(path)(iter([empty, batch, empty])) for r in b.to_pylist()]
+    assert len(taken) == len(set(taken)) and set(taken) - {""} == set(bank)
+    assert len(learned) == len(set(learned))
+    library = Tokenizer.from_file(path)
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for r, t in zip(rows, texts):
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_forgotten_pieces_are_learned_again():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path, most=20)
+    lists = [[f"w{i} a{'bcdé'[i % 4]}x{'yz' * (i % 3)}" for i in range(k, k + 40)] for k in (0, 30, 0, 500, 10)] + [[None], [], ["", " "]]
+    for texts in lists:
+        parts = [pa.array(texts[:25], pa.string()), pa.array(texts[25:], pa.string())]
+        for part, (ids, n) in zip(parts, own.ids_of_parts(parts), strict=True):
+            at = np.append(0, np.cumsum(n))
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+    assert len(own.numbers) <= 20 + 200 and len(own.sizes) == len(own.numbers)
+
+
 def test_every_id_lies_in_one_piece(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
