@@ -159,24 +159,33 @@ def _longest(s: str, t: str, own: dict[int, set], others: dict[int, set]) -> tup
     return i, t.find(s[i : i + n]), n
 
 
-def chunk_coverage(text: Column, other: Column, size: int = 40) -> Column:
-    """Share of the text's `size`-character pieces that `other` contains; null for an empty text. Pieces are looked up among the windows of
-    `other`, so that work follows the lengths of both and not their product."""
+def chunks_found(text: Column, other: Column, size: int = 40) -> Column:
+    """Number of the text's `size`-character pieces that `other` contains, of `n_chunks`; repeated pieces count each time. Pieces are looked up
+    among the windows of `other`, so that work follows the lengths of both and not their product."""
 
-    @F.pandas_udf(T.DoubleType())
-    def coverage(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.LongType())
+    def found_in(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(s, t):
-            if not s:
-                return None
-            pieces, t = [s[i : i + size] for i in range(0, len(s), size)], t or ""
+            s, t = s or "", t or ""
+            pieces = [s[i : i + size] for i in range(0, len(s), size)]
             found = set(pieces).intersection(t[i : i + size] for i in range(len(t) - size + 1))
-            if len(pieces[-1]) < size and pieces[-1] in t:
+            if pieces and len(pieces[-1]) < size and pieces[-1] in t:
                 found.add(pieces[-1])
-            return sum(p in found for p in pieces) / len(pieces)
+            return sum(p in found for p in pieces)
+
+        return pd.Series([one(s, t) for s, t in zip(a, b)], dtype="int64")
+
+    return found_in(text, other)
 
-        return pd.Series([one(s, t) for s, t in zip(a, b)], dtype=object)
 
-    return coverage(text, other)
+def n_chunks(text: Column, size: int = 40) -> Column:
+    """Number of the text's `size`-character pieces, the last one of any length; null for a null text."""
+    return F.ceil(F.length(text) / size)
+
+
+def chunk_coverage(text: Column, other: Column, size: int = 40) -> Column:
+    """Share of the text's `size`-character pieces that `other` contains; null for an empty text."""
+    return F.when(F.length(text) > 0, chunks_found(text, other, size) / n_chunks(text, size))
 
 
 def box_iou(a: Column, b: Column) -> Column:

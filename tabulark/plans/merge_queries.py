@@ -130,9 +130,9 @@ def _similar_lines(s, d):
 
 
 def _coverage(s, d):
-    """Each whole text against its first half."""
+    """Each whole text against its first half, by doc_id."""
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return read(s, d, "documents").select("doc_id", sm.chunk_coverage(F.col("text"), half).alias("coverage"))
+    return evals.piece_coverage(read(s, d, "documents"), "doc_id", "text", half)
 
 
 def _overlap(s, d):

@@ -68,6 +68,14 @@ def test_coverage_of_whole_texts(spark, far):
     same(spark, far, "coverage_ratio", mq.ORACLES["coverage_ratio"])
 
 
+def test_coverage_of_repeated_ids_and_empty_texts(spark, tmp_path):
+    docs = [(1, "ab" * 100), (1, "ab" * 100), (1, "abc" * 90 + "x"), (2, "xy" * 30 + "é" * 61), (3, ""), (4, None), (5, ""), (5, "z" * 81), (None, "ab" * 100), (None, "abcdefghi" * 37), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(spark, (str(tmp_path), con), "coverage_ratio", mq.ORACLES["coverage_ratio"])
+
+
 def test_verdicts_compare_whole_texts(spark, tmp_path):
     """The second side differs from the first behind 300 characters only."""
     head = "a" * 400
